@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .shared import drop_path, shared_path, text_bytes, written
 
 _SEED = 42
+#: Links of a round that one task writes at most, about.
+_LINKS_PER_FILE = 1_000_000
 #: Bytes of a text whose words are held at once.
 _SLICE = 1 << 20
 
@@ -121,7 +123,7 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    before = None
+    before, n = None, edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -129,11 +131,13 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
         new = shared_path(spark, "links")
-        small.write.parquet(new)
+        # A round has at most two rows for each link of the round before.
+        small.coalesce(1 + 2 * n // _LINKS_PER_FILE).write.parquet(new)
         edges = spark.read.schema("u bigint, v bigint").parquet(new)
         if path:
             drop_path(spark, path)
         path, now = new, signature(edges)
+        n = now[0]
         if now == before:
             break
         before = now
@@ -148,8 +152,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = written(fingerprints(df, id_col, text_col, words), "fingerprints")
     kinds = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
     pairs = written(links(kinds.select("fp"), max_bits, segments), "pairs")
-    found = written(components(pairs), "components")
+    found = components(pairs)
     member = kinds.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(member.join(heads, "root").select("fp", "component_id"), "named")
+    named = member.join(heads, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
