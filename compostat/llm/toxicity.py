@@ -133,7 +133,8 @@ def fit(
     max_toxic: int = 1500,
     max_ordinary: int = 3000,
     excerpt_chars: int = 3000,
-    contrast: float = 50.0,
+    lengths: tuple[int, ...] = (6, 8),
+    contrast: float = 20.0,
     cover: int = 4,
     least_share: float = 0.01,
     base_bytes: int = 16_384,
@@ -149,18 +150,31 @@ def fit(
     if not n1 or not n0:
         return ToxicityModel(b"", b"", level, window_words, (), counts.get(1, 0) / max(1, sum(counts.values())))
     words = {y: [[w for ws in words_of(t) for w in ws] for t in sample[y]] for y in (0, 1)}
-    half = {y: words[y][::2] for y in words} if min(n1, n0) >= 100 else words  # the other half calibrates
-    phrases = contrast_cover([_grams(w, (4, 6, 8)) for w in half[1]], [_grams(w, (4, 6, 8)) for w in half[0]], contrast, cover, max(4, math.ceil(least_share * len(half[1]))))
-    share = max(64, base_bytes // max(1, len(half[0])))
-    base = b" ".join(b" ".join(w)[:share] for w in half[0])[:base_bytes].ljust(64)
-    model = ToxicityModel(base, b"".join(phrases) + base, level, window_words, (), counts[1] / sum(counts.values()))
-    judge = {y: sample[y][1::2] for y in sample} if half is not words else sample
-    x = np.array([model.features(t) for y in (0, 1) for t in judge[y]])
-    target = np.repeat([0.0, 1.0], [len(judge[0]), len(judge[1])])
+    grams = {y: [_grams(w, lengths) for w in words[y]] for y in words}
+
+    def build(chosen: dict[int, list[int]]) -> ToxicityModel:
+        least = max(4, math.ceil(least_share * len(chosen[1])))
+        phrases = contrast_cover([grams[1][i] for i in chosen[1]], [grams[0][i] for i in chosen[0]], contrast, cover, least)
+        share = max(64, base_bytes // max(1, len(chosen[0])))
+        # Words with a phrase in them would let the ordinary dictionary save on it too.
+        plain = [b" ".join(w for w in words[0][i] if not any(p in b" " + w + b" " for p in phrases))[:share] for i in chosen[0]]
+        base = b" ".join(plain)[:base_bytes].ljust(64)
+        return ToxicityModel(base, b"".join(phrases) + base, level, window_words, (), counts[1] / sum(counts.values()))
+
+    # The curve is calibrated on features of texts that the phrases didn't come from.
+    x, target = [], []
+    for part in (0, 1):
+        model = build({y: [i for i in range(len(words[y])) if i % 2 != part or len(words[y]) < 2] for y in words})
+        for y in words:
+            for t in sample[y][part::2]:
+                x.append(model.features(t))
+                target.append(float(y))
+    x, target = np.array(x), np.array(target)
+    model = build({y: list(range(len(words[y]))) for y in words})
     weights = _logistic(x, target)
     # From the sample's odds of label 1 to those of all labelled rows.
-    weights[0] += math.log(counts[1] / counts[0]) - math.log(len(judge[1]) / len(judge[0]))
-    return ToxicityModel(base, model.toxic, level, window_words, tuple(weights.tolist()), model.prior)
+    weights[0] += math.log(counts[1] / counts[0]) - math.log(n1 / n0)
+    return ToxicityModel(model.ordinary, model.toxic, level, window_words, tuple(weights.tolist()), model.prior)
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
