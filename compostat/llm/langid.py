@@ -24,6 +24,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .zdict import sizer, words_of
 
-_LOADED: dict[str, list] = {}
+_LOADED: dict[tuple[str, int], list] = {}
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,12 @@ class LanguageModel:
     window: int
     fine_level: int = 19
 
+    @cached_property
+    def key(self) -> str:
+        return hashlib.sha1(repr(self.dictionaries).encode()).hexdigest()
+
     def sizers(self, level: int) -> list:
-        key = hashlib.sha1(repr((self.dictionaries, level)).encode()).hexdigest()
+        key = self.key, level
         if key not in _LOADED:
             _LOADED[key] = [(lang, sizer(d, level)) for lang, d in self.dictionaries]
         return _LOADED[key]
@@ -53,11 +58,11 @@ class LanguageModel:
         totals = [0] * len(sizers)
         for words in words_of(text):
             data = b" ".join(words)
-            for at in range(0, len(data), self.window):
-                part = data[at : at + self.window]
-                windows += 1
-                for k, (_, size) in enumerate(sizers):
-                    totals[k] += size(part)
+            parts = [data[at : at + self.window] for at in range(0, len(data), self.window)]
+            windows += len(parts)
+            # Language by language, so that one dictionary at a time fills the cache.
+            for k, (_, size) in enumerate(sizers):
+                totals[k] += sum(map(size, parts))
         return totals, windows
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
