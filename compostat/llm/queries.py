@@ -53,8 +53,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = docs.filter(fold("doc_id", 5) != 0).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.fit(labelled)
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
+    model = toxicity.fit(docs.filter(fold("doc_id", 5) != 0), labels)
     held = fold("doc_id", 5) == 0
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 

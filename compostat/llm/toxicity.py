@@ -13,7 +13,7 @@ A text's features (over all its windows: the largest saving, the share of window
 that save, the mean saving) go through a logistic curve calibrated on the sample.
 
 The sample is bounded: at most ``max_toxic`` toxic and ``max_ordinary`` ordinary
-excerpts of ``excerpt_chars`` characters, chosen by a hash of the text from all
+excerpts of ``excerpt_chars`` characters, chosen by a hash of the key from all
 labelled rows given.  Every text is scored whole.
 
 Defined cases: null and empty texts have no window and score as zero saving; rows
@@ -28,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,14 @@ class ToxicityModel:
     weights: tuple[float, ...]
     prior: float
 
+    @cached_property
+    def key(self) -> str:
+        return hashlib.sha1(self.ordinary + b"|" + self.toxic + str(self.level).encode()).hexdigest()
+
     def sizers(self) -> tuple:
-        key = hashlib.sha1(self.ordinary + b"|" + self.toxic + str(self.level).encode()).hexdigest()
-        if key not in _LOADED:
-            _LOADED[key] = sizer(self.ordinary, self.level), sizer(self.toxic, self.level)
-        return _LOADED[key]
+        if self.key not in _LOADED:
+            _LOADED[self.key] = sizer(self.ordinary, self.level), sizer(self.toxic, self.level)
+        return _LOADED[self.key]
 
     def features(self, text: str | None) -> list[float]:
         size0, size1 = self.sizers()
@@ -128,11 +132,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(
     labelled: DataFrame,
+    labels: DataFrame | None = None,
+    key_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_toxic: int = 1500,
-    max_ordinary: int = 3000,
-    excerpt_chars: int = 3000,
+    max_toxic: int = 1200,
+    max_ordinary: int = 2400,
+    excerpt_chars: int = 2400,
     lengths: tuple[int, ...] = (6, 8),
     contrast: float = 20.0,
     cover: int = 4,
@@ -141,16 +147,33 @@ def fit(
     level: int = 12,
     window_words: int = 12,
 ) -> ToxicityModel:
-    rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("t")).filter("y IN (0, 1)")
-    rows = rows.withColumn("h", F.xxhash64(F.lit("sample"), "t"))
-    excerpt = F.expr(f"substring(t, cast(1 + pmod(h, greatest(1, coalesce(char_length(t), 0) - {excerpt_chars} + 1)) as int), {excerpt_chars})")
-    sample = {y: [r["x"] or "" for r in rows.filter(F.col("y") == y).select("h", excerpt.alias("x")).orderBy("h", "x").limit(n).collect()] for y, n in ((1, max_toxic), (0, max_ordinary))}
-    n1, n0 = len(sample[1]), len(sample[0])
+    """Fit on rows of ``labelled``; their labels are a column of it or, by key, the table
+    ``labels``."""
+    texts = labelled.select(F.col(key_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    marks = (labels if labels is not None else labelled).select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
+    # Only keys and hashes are joined and ordered; texts are fetched for the sample alone.
+    order = F.abs(F.xxhash64(F.lit("sample"), "k") % 2**40)
+    rows = marks.join(texts.select("k", F.lit(True).alias("there")), "k").select("k", "y", order.alias("h"))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    drawn = []
+    for y, most in ((1, max_toxic), (0, max_ordinary)):
+        upto = int(2**40 * min(1.0, 3.0 * most / max(1, counts.get(y, 0))))  # leaves about three times the sample
+        drawn += rows.filter((F.col("y") == y) & (F.col("h") <= upto)).orderBy("h", "k").limit(most).collect()
+    sample: dict[int, list[str]] = {0: [], 1: []}
+    if drawn:
+        wanted = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in drawn], rows.schema).distinct())
+        place = f"cast(1 + h % greatest(1, coalesce(char_length(t), 0) - {excerpt_chars} + 1) as int)"
+        found = texts.join(wanted, "k").select("y", "h", F.expr(f"coalesce(substring(t, {place}, {excerpt_chars}), '')").alias("x"))
+        for r in sorted(found.collect(), key=lambda r: (r["h"], r["x"])):
+            sample[r["y"]].append(r["x"])
+    n1, n0 = len(sample[1]), len(sample[0])
     if not n1 or not n0:
         return ToxicityModel(b"", b"", level, window_words, (), counts.get(1, 0) / max(1, sum(counts.values())))
     words = {y: [[w for ws in words_of(t) for w in ws] for t in sample[y]] for y in (0, 1)}
-    grams = {y: [_grams(w, lengths) for w in words[y]] for y in words}
+    # Grams that too few toxic texts have can't be chosen; leaving them out saves memory.
+    often = Counter(g for w in words[1] for g in _grams(w, lengths))
+    often = {g for g, c in often.items() if c >= 4}
+    grams = {y: [_grams(w, lengths) & often for w in words[y]] for y in words}
 
     def build(chosen: dict[int, list[int]]) -> ToxicityModel:
         least = max(4, math.ceil(least_share * len(chosen[1])))
