@@ -2,5 +2,29 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name; without ``sql`` its rows are tested elsewhere."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Meta-analysis of CLR contrasts on the smallest tables."""
+    return QUERIES["meta_dl"](spark, "/root/testdata/sf0.001")
+
+
+from .plans import queries_data, queries_eav, queries_graph, queries_stats  # noqa: E402, F401  they register themselves
