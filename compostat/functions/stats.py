@@ -23,7 +23,7 @@ def normal_two_sided(z: np.ndarray) -> np.ndarray:
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, terms: int = 400) -> np.ndarray:
     """Regularised, by its continued fraction (modified Lentz), over arrays."""
-    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    a, b, x = (np.atleast_1d(np.asarray(v, float)) for v in np.broadcast_arrays(a, b, x))
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     tiny = 1e-300
