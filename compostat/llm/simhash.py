@@ -146,12 +146,14 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, segments: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, segments: int = 4, files: int | None = None) -> DataFrame:
     """``(id, fingerprint, component_id)`` per row: 16 hexadecimal digits, and the
-    smallest id reachable over links of at most ``max_bits`` differing bits."""
+    smallest id reachable over links of at most ``max_bits`` differing bits.  The links
+    are written to ``files`` files at most, if given."""
     marked = written(fingerprints(df, id_col, text_col, words), "fingerprints")
     kinds = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
-    pairs = written(links(kinds.select("fp"), max_bits, segments), "pairs")
+    near = links(kinds.select("fp"), max_bits, segments)
+    pairs = written(near.coalesce(files) if files else near, "pairs")
     found = components(pairs)
     member = kinds.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = member.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -3,7 +3,9 @@ decontamination, byte-level BPE.
 
 ``STAGES`` are applied in order; each takes (spark, docs, sf_dir) and returns a
 DataFrame that is written as Parquet and read again as the next one's ``docs``.  All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``.  A stage that joins texts with its
+decisions gives no more partitions than it read, so that filtering a small table
+doesn't leave a file for every shuffle partition.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_MARGIN = 0.1
 
 
+def files_of(docs: DataFrame) -> int:
+    """Tasks that read a table.  ``docs`` is a plain scan, so this runs no job."""
+    return max(1, docs.rdd.getNumPartitions())
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter or with a margin of under
     ``MIN_MARGIN`` per cent go."""
@@ -32,16 +39,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; ``n_chars`` follows the text."""
     done = linededup.clean(docs.select(COLUMNS))
-    return done.withColumn("text", F.col("__kept")).withColumn("n_chars", F.char_length("__kept").cast("bigint")).select(COLUMNS)
+    return done.withColumn("text", F.col("__kept")).withColumn("n_chars", F.char_length("__kept").cast("bigint")).select(COLUMNS).coalesce(files_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id stays (rows that share that
     id count as one document)."""
     docs = docs.select(COLUMNS)
-    found = simhash.near_duplicates(docs)
+    found = simhash.near_duplicates(docs, files=files_of(docs))
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__stays"]), "left_semi")
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__stays"]), "left_semi").coalesce(files_of(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.select(COLUMNS)
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     goes = found.filter("contaminated").select(F.col("doc_id").alias("__goes")).distinct()
-    return docs.join(goes, docs["doc_id"].eqNullSafe(goes["__goes"]), "left_anti")
+    return docs.join(goes, docs["doc_id"].eqNullSafe(goes["__goes"]), "left_anti").coalesce(files_of(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
