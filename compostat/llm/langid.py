@@ -3,8 +3,9 @@
 For every language a raw-content zstandard dictionary is filled with snippets of its
 training texts.  A text's letters are compressed, window by window, with each
 dictionary; the language whose dictionary gives the fewest bytes wins.  Where the
-two best are within a per cent, as in texts of a few words, all are compressed
-again at ``fine_level``, which also uses shorter matches.  ``margin``
+two best are within a per cent, as in texts of a few words that raw content can't
+shrink, the text is compressed again with dictionaries that zstandard trained on the
+same snippets (they have entropy tables besides content).  ``margin``
 is how many per cent more bytes the runner-up needs; narrow margins are rejected by
 ``identify(..., min_margin)`` (column ``rejected``), as are texts without a letter.
 
@@ -30,31 +31,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .zdict import sizer, words_of
+from .zdict import sizer, trained, words_of
 
-_LOADED: dict[tuple[str, int], list] = {}
+_LOADED: dict[tuple[str, bool], list] = {}
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     dictionaries: tuple[tuple[str, bytes], ...]
+    #: The same languages, with entropy tables; empty if they couldn't be trained.
+    trained: tuple[tuple[str, bytes], ...]
     level: int
     window: int
-    fine_level: int = 19
 
     @cached_property
     def key(self) -> str:
-        return hashlib.sha1(repr(self.dictionaries).encode()).hexdigest()
+        return hashlib.sha1(repr((self.dictionaries, self.trained, self.level)).encode()).hexdigest()
 
-    def sizers(self, level: int) -> list:
-        key = self.key, level
+    def sizers(self, raw: bool) -> list:
+        key = self.key, raw
         if key not in _LOADED:
-            _LOADED[key] = [(lang, sizer(d, level)) for lang, d in self.dictionaries]
+            _LOADED[key] = [(lang, sizer(d, self.level, raw)) for lang, d in (self.dictionaries if raw else self.trained)]
         return _LOADED[key]
 
-    def sizes(self, text: str, level: int) -> tuple[list[int], int]:
+    def sizes(self, text: str, raw: bool = True) -> tuple[list[int], int]:
         """Compressed bytes of the whole text by language, and the number of windows."""
-        sizers, windows = self.sizers(level), 0
+        sizers, windows = self.sizers(raw), 0
         totals = [0] * len(sizers)
         for words in words_of(text):
             data = b" ".join(words)
@@ -69,10 +71,10 @@ class LanguageModel:
         """(language or ``und``, score, margin in per cent)."""
         if not text or not self.dictionaries or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
-        totals, windows = self.sizes(text, self.level)
+        totals, windows = self.sizes(text)
         low = sorted(totals)[:2]
-        if low[-1] - low[0] <= 0.01 * low[0]:  # near a tie, search for shorter matches too
-            totals, windows = self.sizes(text, self.fine_level)
+        if self.trained and low[-1] - low[0] <= 0.01 * low[0]:
+            totals, windows = self.sizes(text, raw=False)
         order = sorted(range(len(totals)), key=lambda k: (totals[k], k))
         best = totals[order[0]]
         if len(order) == 1:
@@ -102,7 +104,7 @@ def fit(
     if len(counts) > max_languages:
         raise ValueError(f"over {max_languages} languages")
     if not counts:
-        return LanguageModel((), level, window)
+        return LanguageModel((), (), level, window)
     spark = train.sparkSession
     # A share of each language that leaves about 3 x per_language rows, whatever its size.
     shares = spark.createDataFrame([(r["lang"], int(2**40 * min(1.0, 3.0 * per_language / r["count"]))) for r in counts], "lang string, upto bigint")
@@ -119,8 +121,10 @@ def fit(
     for r in drawn:
         content.setdefault(r["lang"], []).append(b" ".join(w for ws in words_of(r["snippet"]) for w in ws))
     made = [(lang, b" ".join(parts)[:dictionary_bytes]) for lang, parts in sorted(content.items())]
+    pieces = {lang: [b" " + s[k : k + 40] + b" " for s in parts for k in range(0, len(s), 40)] for lang, parts in content.items()}
+    second = [(lang, trained(pieces[lang], dictionary_bytes // 2, level)) for lang, _ in made]
     # zstandard ignores dictionaries of under 8 bytes; pad so that every language counts.
-    return LanguageModel(tuple((lang, d.ljust(64)) for lang, d in made), level, window)
+    return LanguageModel(tuple((lang, d.ljust(64)) for lang, d in made), tuple(second) if all(d for _, d in second) else (), level, window)
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0, keep: list[str] | None = None) -> DataFrame:

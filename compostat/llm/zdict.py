@@ -20,11 +20,23 @@ def words_of(text: str, chars: int = 1 << 20) -> Iterator[list[bytes]]:
         at = to
 
 
-def sizer(content: bytes, level: int) -> Callable[[bytes], int]:
-    """The compressed size of a window, given ``content`` as raw-content dictionary."""
+def trained(samples: list[bytes], size: int, level: int) -> bytes | None:
+    """A dictionary with entropy tables, with which texts of a few words shrink too; None
+    where there is too little to train on."""
     import zstandard
 
-    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    try:
+        return zstandard.train_dictionary(size, samples, level=level).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
+def sizer(content: bytes, level: int, raw: bool = True) -> Callable[[bytes], int]:
+    """The compressed size of a window, given ``content`` as raw-content dictionary (or as
+    a trained one)."""
+    import zstandard
+
+    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)
     known.precompute_compress(level=level)
     compress = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress
     return lambda window: len(compress(window))
