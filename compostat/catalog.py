@@ -27,4 +27,4 @@ def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["meta_dl"](spark, "/root/testdata/sf0.001")
 
 
-from .plans import queries_data, queries_eav, queries_graph, queries_stats  # noqa: E402, F401  they register themselves
+from .plans import queries_data, queries_eav, queries_graph, queries_more, queries_stats  # noqa: E402, F401  they register themselves

@@ -94,3 +94,9 @@ def rarefy(counts: DataFrame, depth: int, seed: int = 42) -> DataFrame:
 
 def edge_weight(relative, scale: float = 1e4):
     return F.log1p(relative * F.lit(scale))
+
+
+def agreement(a: DataFrame, b: DataFrame, value: str = "clr") -> DataFrame:
+    """Correlation per taxon of two versions of the same values."""
+    met = a.select("sample", "taxon", F.col(value).alias("x")).join(b.select("sample", "taxon", F.col(value).alias("y")), ["sample", "taxon"])
+    return met.groupBy("taxon").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))

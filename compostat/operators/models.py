@@ -110,3 +110,80 @@ def simplified_graph_features(edges: DataFrame, vertices: DataFrame, hops: int =
     for _ in range(hops):
         out = combine(out, propagate(edges, out), 0.5, 0.5)
     return out
+
+
+def paired_gaps(scores: DataFrame, by: Sequence[str], arm: str, base: str, other: str, metric: str = "auc", seed: str = "seed") -> DataFrame:
+    """Per group the mean and deviation over seeds of ``other`` less ``base``, paired by
+    seed after averaging folds."""
+    per = scores.groupBy(*by, seed).pivot(arm, [base, other]).agg(F.avg(metric)).withColumn("gap", F.col(other) - F.col(base))
+    return per.groupBy(*by).agg(F.avg("gap").alias("gap_mean"), F.coalesce(F.stddev_samp("gap"), F.lit(0.0)).alias("gap_sd"), F.count("gap").alias("n_seeds"))
+
+
+def drop_small_classes(df: DataFrame, label: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of classes with at least ``least`` rows, and what was dropped: classes, rows."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    kept = df.join(sizes.filter(F.col("n") >= least).select(label), label, "left_semi")
+    return kept, sizes.agg(F.count(F.lit(1)).alias("n_classes"), F.count_if(F.col("n") < least).alias("n_classes_dropped"), F.coalesce(F.sum(F.when(F.col("n") < least, F.col("n"))), F.lit(0)).alias("n_rows_dropped"))
+
+
+def class_scores(df: DataFrame, kinds: Sequence[str], label: str = "project", features: str = "features", key: str = "sample", folds: int = 5, least: int = 25, seed: int = 42, **kw) -> DataFrame:
+    """Out-of-fold scores ``(model, fold, key, label, cls, score)`` of every class, classes
+    as codes in label order; small classes are dropped first."""
+    from pyspark.ml.functions import vector_to_array
+
+    from .sampling import stratified_folds
+
+    kept = encode_labels(drop_small_classes(df, label, least)[0], label).withColumn("code", F.col("code").cast("double"))
+    dealt = stratified_folds(kept, "code", key, folds, seed)
+    n_classes = dealt.select("code").distinct().count()
+    width = len(dealt.select(vector_to_array(features)).first()[0])
+    out = None
+    for f in range(folds):
+        train, test = _scaled(dealt.filter(F.col("fold") != f), dealt.filter(F.col("fold") == f), features)
+        for kind in kinds:
+            args = {"layers": [width, *kw.get("hidden", (64,)), n_classes], **kw} if kind == "mlp" else kw
+            got = make_model(kind, "__x", "code", **args).fit(train).transform(test)
+            one = got.select(F.lit(kind).alias("model"), "fold", key, F.col("code").cast("int").alias("label"), F.posexplode(vector_to_array("probability")).alias("cls", "score"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def class_summary(scores: DataFrame, key: str = "sample", k: int = 5) -> DataFrame:
+    """Accuracy, balanced accuracy, top-k accuracy and baseline per model and fold."""
+    w = Window.partitionBy("model", "fold", key).orderBy(F.desc("score"), "cls")
+    best = scores.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k)
+    per = best.groupBy("model", "fold", key, "label").agg(F.min_by("cls", "__k").alias("prediction"), F.bool_or(F.col("cls") == F.col("label")).alias("hit"))
+    top = per.groupBy("model", "fold").agg(F.avg(F.col("hit").cast("double")).alias("topk_accuracy"))
+    return accuracy(per, ["model", "fold"]).join(top, ["model", "fold"])
+
+
+def graph_cross_validated(edges: DataFrame, vertices: DataFrame, labels: DataFrame, protocols: Sequence[str] = ("transductive", "inductive", "receivers"), hops: int = 2) -> DataFrame:
+    """Out-of-fold scores of a flat classifier on propagated features, for ``labels (sample, y,
+    fold)``.  transductive: all edges; inductive: training sees only edges among training
+    samples; receivers: held-out samples take messages but send none."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from .graphs import induced, receivers_only
+
+    def features(e: DataFrame) -> DataFrame:
+        got = simplified_graph_features(e, vertices, hops).filter("type = 'sample'")
+        return got.groupBy(F.col("id").alias("sample")).agg(array_to_vector(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"])).alias("features"))
+
+    out = None
+    for f in sorted(r[0] for r in labels.select("fold").distinct().collect()):
+        train, test = labels.filter(F.col("fold") != f), labels.filter(F.col("fold") == f)
+        for protocol in protocols:
+            if protocol == "transductive":
+                seen = tested = features(edges)
+            elif protocol == "inductive":
+                seen, tested = features(induced(edges, train)), features(edges)
+            elif protocol == "receivers":
+                seen = tested = features(receivers_only(edges, train))
+            else:
+                raise ValueError(f"no protocol {protocol!r}")
+            fit_on = balanced_weights(train.join(seen, "sample"), "y").persist()  # read by the scaler and by every step of the fit
+            a, b = _scaled(fit_on, test.join(tested, "sample"), "features")
+            got = make_model("logreg", "__x", "y").fit(a).transform(b)
+            one = got.select(F.lit(protocol).alias("protocol"), F.lit(f).cast("int").alias("fold"), "sample", "y", vector_to_array("probability")[1].alias("score"))
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -178,13 +178,13 @@ def qc_kept(spark, d):
 
 
 # Labels thinned so that some nations lack cases, or labels.
-_LABELLED = f"""WITH {SAMPLES}, lab AS (SELECT row_id, sample, nation AS project, disease_category, CASE WHEN row_id % 3 = 0 THEN NULL WHEN nation LIKE 'C%' THEN 'healthy' ELSE disease_label END AS disease_label FROM samples),
+_LABELLED = f"""WITH {SAMPLES}, lab AS (SELECT row_id, sample, nation AS project, disease_category, CASE WHEN row_id % 3 = 0 THEN NULL WHEN nation LIKE '%1' THEN 'healthy' ELSE disease_label END AS disease_label FROM samples),
 tab AS (SELECT project, count(*) FILTER (WHERE disease_label = 'healthy') AS n_healthy, count(*) FILTER (WHERE disease_label = 'case') AS n_case FROM lab GROUP BY project)"""
 
 
 def _labelled(spark, d):
     s = V.samples(spark, d)
-    label = F.when(F.col("row_id") % 3 != 0, F.when(F.col("nation").like("C%"), "healthy").otherwise(F.col("disease_label")))
+    label = F.when(F.col("row_id") % 3 != 0, F.when(F.col("nation").like("%1"), "healthy").otherwise(F.col("disease_label")))
     return s.select("row_id", "sample", F.col("nation").alias("project"), "disease_category", label.alias("disease_label"))
 
 
@@ -193,16 +193,16 @@ def label_crosstab(spark, d):
     return H.label_crosstab(_labelled(spark, d))
 
 
-@query(_LABELLED + " SELECT sample, project, disease_label FROM lab WHERE disease_label IS NOT NULL AND project IN (SELECT project FROM tab WHERE n_case >= 18 AND n_healthy >= 18 AND project > 'E')")
+@query(_LABELLED + " SELECT sample, project, disease_label FROM lab WHERE disease_label IS NOT NULL AND project IN (SELECT project FROM tab WHERE n_case >= 18 AND n_healthy >= 18 AND project > 'NATION_2')")
 def cohort_within(spark, d):
     df = _labelled(spark, d)
-    return H.within_project_cohort(df, df.filter("project > 'E'").select("project"), 18, 18)[0].select("sample", "project", "disease_label")
+    return H.within_project_cohort(df, df.filter("project > 'NATION_2'").select("project"), 18, 18)[0].select("sample", "project", "disease_label")
 
 
-@query(_LABELLED + " SELECT project, n_healthy, n_case FROM tab WHERE project > 'E' AND NOT (n_case >= 18 AND n_healthy >= 18)")
+@query(_LABELLED + " SELECT project, n_healthy, n_case FROM tab WHERE project > 'NATION_2' AND NOT (n_case >= 18 AND n_healthy >= 18)")
 def cohort_excluded(spark, d):
     df = _labelled(spark, d)
-    return H.within_project_cohort(df, df.filter("project > 'E'").select("project"), 18, 18)[1].select("project", "n_healthy", "n_case")
+    return H.within_project_cohort(df, df.filter("project > 'NATION_2'").select("project"), 18, 18)[1].select("project", "n_healthy", "n_case")
 
 
 @query(_LABELLED + " SELECT sample, project FROM lab WHERE disease_label IS NOT NULL")
@@ -271,10 +271,10 @@ def lopo_folds(spark, d):
     return S.group_folds(V.samples(spark, d), "project").select("sample", "project", "fold")
 
 
-@query(f"""WITH {SAMPLES}, f AS (SELECT nation AS fold, CAST(disease_label = 'case' AND nation NOT LIKE 'C%' AS INT) AS y FROM samples), a AS (SELECT sum(y) AS p, count(*) AS c FROM f)
+@query(f"""WITH {SAMPLES}, f AS (SELECT nation AS fold, CAST(disease_label = 'case' AND nation NOT LIKE '%1' AS INT) AS y FROM samples), a AS (SELECT sum(y) AS p, count(*) AS c FROM f)
 SELECT fold, count(*) AS n_test, min(c) - count(*) AS n_train, CAST(sum(y) AS BIGINT) AS n_test_pos FROM f, a GROUP BY fold HAVING sum(y) > 0 AND sum(y) < count(*) AND min(p) - sum(y) > 0 AND min(p) - sum(y) < min(c) - count(*)""")
 def usable_folds(spark, d):
-    df = V.samples(spark, d).select(F.col("nation").alias("fold"), ((F.col("disease_label") == "case") & ~F.col("nation").like("C%")).cast("int").alias("y"))
+    df = V.samples(spark, d).select(F.col("nation").alias("fold"), ((F.col("disease_label") == "case") & ~F.col("nation").like("%1")).cast("int").alias("y"))
     return S.usable_folds(df)
 
 

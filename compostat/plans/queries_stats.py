@@ -357,16 +357,16 @@ def topk_accuracy(spark, d):
     return M.top_k(s, "sample")
 
 
-@query(f"""WITH {_SCORES}, r AS (SELECT CASE WHEN fold < 'G' THEN 'lopo' ELSE 'random' END AS cv_scheme, substr(fold, 2, 1) AS model, avg(score) AS auc FROM sc GROUP BY fold), g AS (SELECT model, avg(auc) FILTER (WHERE cv_scheme = 'lopo') AS lopo, avg(auc) FILTER (WHERE cv_scheme = 'random') AS random FROM r GROUP BY model)
+@query(f"""WITH {_SCORES}, r AS (SELECT CASE WHEN fold < 'NATION_2' THEN 'lopo' ELSE 'random' END AS cv_scheme, right(fold, 1) AS model, avg(score) AS auc FROM sc GROUP BY fold), g AS (SELECT model, avg(auc) FILTER (WHERE cv_scheme = 'lopo') AS lopo, avg(auc) FILTER (WHERE cv_scheme = 'random') AS random FROM r GROUP BY model)
 SELECT model, round(lopo, 6) AS lopo, round(random, 6) AS random, round(random - lopo, 6) AS gap FROM g""")
 def leakage_gap(spark, d):
-    s = _scores(spark, d).groupBy("fold").agg(F.avg("score").alias("auc")).select(F.when(F.col("fold") < "G", "lopo").otherwise("random").alias("cv_scheme"), F.substring("fold", 2, 1).alias("model"), "auc")
+    s = _scores(spark, d).groupBy("fold").agg(F.avg("score").alias("auc")).select(F.when(F.col("fold") < "NATION_2", "lopo").otherwise("random").alias("cv_scheme"), F.right("fold", F.lit(1)).alias("model"), "auc")
     return rounded(M.leakage_gap(s, ["model"]), "lopo", "random", "gap")
 
 
-@query(f"WITH {_SCORES}, r AS (SELECT substr(fold, 2, 1) AS model, fold, avg(score) AS auc FROM sc GROUP BY fold) SELECT model, round(avg(auc), 6) AS mean_score, round(stddev_samp(auc), 6) AS sd_score, count(*) AS n_folds FROM r GROUP BY model")
+@query(f"WITH {_SCORES}, r AS (SELECT right(fold, 1) AS model, fold, avg(score) AS auc FROM sc GROUP BY fold) SELECT model, round(avg(auc), 6) AS mean_score, round(stddev_samp(auc), 6) AS sd_score, count(*) AS n_folds FROM r GROUP BY model")
 def leakage_summary(spark, d):
-    s = _scores(spark, d).groupBy(F.substring("fold", 2, 1).alias("model"), "fold").agg(F.avg("score").alias("auc"))
+    s = _scores(spark, d).groupBy(F.right("fold", F.lit(1)).alias("model"), "fold").agg(F.avg("score").alias("auc"))
     return rounded(M.summary(s, ["model"]), "mean_score", "sd_score")
 
 
