@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, sharding, simhash, tiff, toxicity, warc
+from . import bpe, decontam, langid, licences, linededup, sharding, simhash, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def language_model(docs: DataFrame) -> langid.LanguageModel:
     return langid.fit(docs.filter(fold("doc_id", 4) != 2), key=F.col("doc_id"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_resharding": op3_resharding,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_licence_scan": op6_licence_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_tiff": op8_tiff,
     "op9_decontamination": op9_decontamination,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_licence_scan": licences.oracle_sql(),
     # The line rules of op7, with a window over all documents in place of runs.
     "op7_line_dedup": r"""
 WITH lines AS (
@@ -121,4 +127,15 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to,
        url AS target_uri, TRUE AS digest_ok
 FROM d JOIN f ON d.html = f.fh""",
+    # Windows as texts, joined whole; positions of a hit are spread and counted once.
+    "op9_decontamination": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (SELECT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT *, least(10, len(w)) AS n FROM iw WHERE len(w) > 0))),
+cand AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, p, c.n, item_id FROM cand c JOIN wins USING (n, t)),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
 }

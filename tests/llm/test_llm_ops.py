@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from compostat.llm import bpe, decontam, langid, linededup, sharding, simhash, tiff, toxicity, warc
+from compostat.llm import bpe, decontam, langid, licences, linededup, sharding, simhash, tiff, toxicity, warc
 from compostat.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -131,6 +131,46 @@ def test_components_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
+def brute_licences(rows, known=licences.SENTENCES, rules=licences.RULES, max_gap=3):
+    ids, out = {s: i for i, s in reversed(known)}, []
+    for doc, t in rows:
+        seq = []
+        for p, s in enumerate(re.sub(r"([.!?])[ \t\r\n]+", r"\1\n", t or "").split("\n")):
+            low = s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            key = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", low).strip(" ")
+            if key in ids:
+                seq.append((p, ids[key]))
+        runs, found = [], []
+        for k, (p, i) in enumerate(seq):
+            if not k or p - seq[k - 1][0] > max_gap:
+                runs.append([])
+            runs[-1].append(i)
+        for licence, want in rules:
+            k = 0
+            while k < len(runs):
+                at = next((j for j in range(len(runs[k]) - len(want) + 1) if tuple(runs[k][j : j + len(want)]) == tuple(want)), None)
+                if at is None:
+                    k += 1
+                    continue
+                found.append(licence)
+                runs[k : k + 1] = [runs[k][:at], runs[k][at + len(want) :]]
+        out.append((doc, len(seq), ",".join(i for _, i in seq), ",".join(dict.fromkeys(found)), sum(map(len, runs))))
+    return sorted(out, key=repr)
+
+
+def test_licence_scan_matches_brute_force(spark, docs):
+    text = dict(licences.SENTENCES)
+    mit = ". ".join(text[i].upper() for i in ("mit_grant", "mit_notice", "mit_as_is")) + "."
+    bsd = ".\n".join(text[i] for i in ("bsd_grant", "bsd_source", "bsd_binary"))
+    rows = [(1, mit + " All rights reserved."), (2, bsd), (3, bsd + "!\na\nb\nc\nd\n" + text["bsd_endorse"]), (4, "x. Licensed under the Apache License, Version 2.0. Licensed under the MIT License."), (5, text["mit_notice"]), (6, None), (6, None), (7, "All rights reserved.\n" * 3), (None, "(All, rights -- reserved)")]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cols = ("doc_id", "n_known", "sentence_ids", "licenses", "n_unmatched")
+    for df in (made, docs, Q.table(spark, SF, "documents"), docs.limit(0)):
+        assert rows_of(licences.scan(df), *cols) == brute_licences([(r["doc_id"], r["text"]) for r in df.collect()])
+    got = {r["doc_id"]: (r["licenses"], r["n_unmatched"]) for r in licences.scan(made).collect()}
+    assert got[1] == ("MIT,all rights reserved", 0) and got[2] == ("BSD-2-Clause", 0) and got[3] == ("BSD-2-Clause", 1) and got[5] == ("", 1)
+
+
 def brute_lines(rows):
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(upper)
