@@ -1,11 +1,11 @@
-"""Every registered query of the library against its SQL, on the smallest tables."""
+"""Every registered query of the library against its SQL."""
 
 import duckdb
 import pytest
 
 from compostat import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -32,8 +32,8 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    catalog.QUERIES[name](spark, SF).toPandas()
+    assert len(catalog.QUERIES[name](spark, SF).toPandas())
 
 
 def test_entry(spark):
-    assert catalog.entry(spark).schema.names
+    assert catalog.entry(spark).count() > 0
