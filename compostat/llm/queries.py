@@ -68,8 +68,10 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = linededup.clean(docs)
+    # As many result files as tasks that read the table, not one for every shuffle partition.
+    return done.coalesce(max(1, docs.rdd.getNumPartitions())).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
