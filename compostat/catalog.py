@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name; without ``sql`` its rows are tested elsewhere."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+from .plans import queries_data, queries_eav, queries_graph, queries_more, queries_stats  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES  # noqa: F401
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -33,6 +19,3 @@ def entry(spark: SparkSession) -> DataFrame:
     moments = differential.contrast_moments(values, zeros, views.frame(spark, folder), 0.1)
     contrasts = differential.ols_contrasts(moments.filter("n_case >= 2 AND n_control >= 2"))
     return differential.meta_analysis(contrasts, with_p=False)
-
-
-from .plans import queries_data, queries_eav, queries_graph, queries_more, queries_stats  # noqa: E402, F401  they register themselves

@@ -22,11 +22,14 @@ def relative_abundance(counts: DataFrame) -> DataFrame:
     return counts.withColumn("__t", checked).select("sample", "taxon", (F.col("n") / F.col("__t")).alias("relative"))
 
 
-def _per_sample(counts: DataFrame, n_taxa: int | None) -> DataFrame:
-    present = counts.filter("n > 0")
-    taxa = present.agg(F.count_distinct("taxon").alias("T")) if n_taxa is None else counts.sparkSession.range(1).select(F.lit(n_taxa).cast("bigint").alias("T"))
-    sums = present.groupBy("sample").agg(F.sum(F.ln("n")).alias("s"), F.sum(F.col("n").cast("double")).alias("N"), F.count(F.lit(1)).alias("k"))
-    return sums.join(F.broadcast(taxa))
+def _with_sample_sums(counts: DataFrame, n_taxa: int | None) -> DataFrame:
+    """Present cells with their sample's sum of logs ``s``, ``total`` and number ``k``, and
+    the number of ``taxa``: one shuffle by sample, no join back."""
+    present, w = counts.filter("n > 0"), Window.partitionBy("sample")
+    summed = present.withColumns({"s": F.sum(F.ln("n")).over(w), "total": F.sum(F.col("n").cast("double")).over(w), "k": F.count(F.lit(1)).over(w)})
+    if n_taxa is not None:
+        return summed.withColumn("taxa", F.lit(n_taxa).cast("bigint"))
+    return summed.join(F.broadcast(present.agg(F.count_distinct("taxon").alias("taxa"))))
 
 
 def clr(counts: DataFrame, pseudocount: float = 0.5, method: str = "additive", n_taxa: int | None = None, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -40,25 +43,26 @@ def clr(counts: DataFrame, pseudocount: float = 0.5, method: str = "additive", n
         raise ValueError(f"no CLR method {method!r}")
     if pseudocount <= 0:
         raise ValueError("the pseudocount must be positive")
-    stats, low = _per_sample(counts, n_taxa), math.log(pseudocount)
+    cells, low = _with_sample_sums(counts, n_taxa), math.log(pseudocount)
+    crowded = None
     if method == "additive":
-        rows = stats.withColumn("m", (F.col("s") + (F.col("T") - F.col("k")) * F.lit(low)) / F.col("T")).withColumn("shift", -F.col("m")).withColumn("zero_clr", F.lit(low) - F.col("m"))
-        crowded = None
+        mean = (F.col("s") + (F.col("taxa") - F.col("k")) * F.lit(low)) / F.col("taxa")
+        rows = cells.withColumns({"shift": -mean, "zero_clr": F.lit(low) - mean})
     else:
         # Shares n / N * (1 - z d) with d = pseudocount / N for each of z zeros.
-        taken = (F.col("T") - F.col("k")) * F.lit(pseudocount) / F.col("N")
-        stats = stats.withColumn("taken", taken)
-        crowded = stats.filter("taken >= 1")
-        shrink = F.ln((1 - F.col("taken")) / F.col("N"))
-        zero = F.lit(low) - F.ln("N")
-        mean = (F.col("s") + F.col("k") * shrink + (F.col("T") - F.col("k")) * zero) / F.col("T")
-        rows = stats.filter("taken < 1").withColumn("shift", shrink - mean).withColumn("zero_clr", zero - mean)
-    values = counts.filter("n > 0").join(rows.select("sample", "shift"), "sample").select("sample", "taxon", (F.ln("n") + F.col("shift")).alias("clr"))
-    excluded = crowded.select("sample", F.lit("zeros take the whole composition").alias("reason")) if crowded is not None else counts.sparkSession.createDataFrame([], "sample string, reason string")
+        taken = (F.col("taxa") - F.col("k")) * F.lit(pseudocount) / F.col("total")
+        crowded = cells.filter(taken >= 1)
+        shrink = F.ln((1 - taken) / F.col("total"))
+        zero = F.lit(low) - F.ln("total")
+        mean = (F.col("s") + F.col("k") * shrink + (F.col("taxa") - F.col("k")) * zero) / F.col("taxa")
+        rows = cells.filter(taken < 1).withColumns({"shift": shrink - mean, "zero_clr": zero - mean})
+    values = rows.select("sample", "taxon", (F.ln("n") + F.col("shift")).alias("clr"))
+    zeros = rows.groupBy("sample").agg(F.max("zero_clr").alias("zero_clr"))
+    excluded = crowded.select("sample").distinct().select("sample", F.lit("zeros take the whole composition").alias("reason")) if crowded is not None else counts.sparkSession.createDataFrame([], "sample string, reason string")
     if samples is not None:
-        empty = samples.select("sample").distinct().join(stats.select("sample"), "sample", "left_anti").select("sample", F.lit("no reads in any prevalent taxon").alias("reason"))
+        empty = samples.select("sample").distinct().join(counts.filter("n > 0").select("sample"), "sample", "left_anti").select("sample", F.lit("no reads in any prevalent taxon").alias("reason"))
         excluded = excluded.unionByName(empty)
-    return values, rows.select("sample", "zero_clr"), excluded
+    return values, zeros, excluded
 
 
 def dense(values: DataFrame, zeros: DataFrame, taxa: DataFrame, value: str = "clr", zero: str = "zero_clr") -> DataFrame:
@@ -75,9 +79,9 @@ def vectors(values: DataFrame, zeros: DataFrame, taxa: DataFrame, value: str = "
 
 def log_relative(counts: DataFrame, pseudocount: float = 0.5, n_taxa: int | None = None) -> tuple[DataFrame, DataFrame]:
     """log10 of shares with zeros at the pseudocount: CLR without the centring."""
-    stats = _per_sample(counts, n_taxa).withColumn("N2", F.col("N") + (F.col("T") - F.col("k")) * F.lit(pseudocount))
-    values = counts.filter("n > 0").join(stats.select("sample", "N2"), "sample").select("sample", "taxon", (F.log10("n") - F.log10("N2")).alias("log_relative"))
-    return values, stats.select("sample", (F.lit(math.log10(pseudocount)) - F.log10("N2")).alias("zero_log_relative"))
+    cells = _with_sample_sums(counts, n_taxa).withColumn("filled", F.col("total") + (F.col("taxa") - F.col("k")) * F.lit(pseudocount))
+    values = cells.select("sample", "taxon", (F.log10("n") - F.log10("filled")).alias("log_relative"))
+    return values, cells.groupBy("sample").agg((F.lit(math.log10(pseudocount)) - F.log10(F.max("filled"))).alias("zero_log_relative"))
 
 
 def rarefy(counts: DataFrame, depth: int, seed: int = 42) -> DataFrame:

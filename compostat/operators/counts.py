@@ -46,9 +46,11 @@ def prevalent(counts: DataFrame, threshold: float, samples: DataFrame | None = N
 
 def mean_relative_abundance(counts: DataFrame, n_samples: int | None = None) -> DataFrame:
     """Mean share per taxon over all samples; samples without the taxon count as 0."""
-    depth = sample_depth(counts).select("sample", "depth")
-    total = depth.agg(F.count(F.lit(1)).alias("n_total")) if n_samples is None else counts.sparkSession.range(1).select(F.lit(n_samples).alias("n_total"))
-    shares = counts.join(depth, "sample").groupBy("taxon").agg(F.sum(F.col("n") / F.col("depth")).alias("s"))
+    depth = F.sum(F.col("n").cast("double")).over(Window.partitionBy("sample"))
+    shares = counts.withColumn("__d", depth).groupBy("taxon").agg(F.sum(F.col("n") / F.nullif(F.col("__d"), F.lit(0.0))).alias("s"))
+    if n_samples is not None:
+        return shares.select("taxon", (F.col("s") / F.lit(n_samples)).alias("mean_relative"))
+    total = counts.agg(F.count_distinct("sample").alias("n_total"))
     return shares.join(F.broadcast(total)).select("taxon", (F.col("s") / F.col("n_total")).alias("mean_relative"))
 
 

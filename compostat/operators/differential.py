@@ -149,19 +149,22 @@ def within_project(values: DataFrame, zeros: DataFrame, frame: DataFrame, min_pr
 def meta_analysis(per_project: DataFrame, min_projects: int = 2, scenario: Sequence[str] = (), with_p: bool = True) -> DataFrame:
     """DerSimonian-Laird random effects per (scenario, category, taxon); q per category."""
     by = [*scenario, "disease_category", "taxon"]
+    # Both passes are windows over the same key, so everything is one shuffle.
+    over = Window.partitionBy(*by)
+    total = lambda c: F.sum(c).over(over)
     fit = per_project.filter("effect IS NOT NULL AND se > 0").withColumn("v", F.col("se") * F.col("se")).withColumn("w", 1.0 / F.col("v"))
-    one = fit.groupBy(*by).agg(F.count(F.lit(1)).alias("k_projects"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"), F.sum(F.col("w") * F.col("effect")).alias("swy"), F.sum(F.col("w") * F.col("effect") * F.col("effect")).alias("swyy"), F.sum("n_case").alias("n_case"), F.sum("n_control").alias("n_control"))
-    one = one.filter(F.col("k_projects") >= min_projects)
-    q = F.greatest(F.lit(0.0), F.col("swyy") - F.col("swy") * F.col("swy") / F.col("sw"))
-    c = F.col("sw") - F.col("sww") / F.col("sw")
-    one = one.withColumn("q_stat", q).withColumn("tau2", F.coalesce(F.greatest(F.lit(0.0), (F.col("q_stat") - (F.col("k_projects") - 1)) / F.nullif(c, F.lit(0.0))), F.lit(0.0)))
-    again = fit.join(one.select(*by, "tau2"), by).withColumn("w2", 1.0 / (F.col("v") + F.col("tau2")))
-    two = again.groupBy(*by).agg(F.sum("w2").alias("s"), F.sum(F.col("w2") * F.col("effect")).alias("sy"), F.sum(F.signum("effect")).alias("signs"))
-    mu, se = F.col("sy") / F.col("s"), F.sqrt(1.0 / F.col("s"))
-    i2 = F.when(F.col("q_stat") > 0, F.greatest(F.lit(0.0), (F.col("q_stat") - (F.col("k_projects") - 1)) / F.nullif(F.col("q_stat"), F.lit(0.0))) * 100.0).otherwise(0.0)
+    one = fit.withColumns({"k": F.count(F.lit(1)).over(over), "sw": total(F.col("w")), "sww": total(F.col("w") * F.col("w")), "swy": total(F.col("w") * F.col("effect")), "swyy": total(F.col("w") * F.col("effect") * F.col("effect"))})
+    one = one.filter(F.col("k") >= min_projects).withColumn("qs", F.greatest(F.lit(0.0), F.col("swyy") - F.col("swy") * F.col("swy") / F.col("sw")))
+    excess = F.col("qs") - (F.col("k") - 1)
+    one = one.withColumn("t2", F.coalesce(F.greatest(F.lit(0.0), excess / F.nullif(F.col("sw") - F.col("sww") / F.col("sw"), F.lit(0.0))), F.lit(0.0))).withColumn("w2", 1.0 / (F.col("v") + F.col("t2")))
+    two = one.withColumns({"s": total(F.col("w2")), "sy": total(F.col("w2") * F.col("effect"))})
     # Share of projects whose effect has the pooled effect's sign.
-    agree = fit.join(two.select(*by, F.signum(F.col("sy")).alias("sg")), by).groupBy(*by).agg(F.avg((F.signum("effect") == F.col("sg")).cast("double")).alias("sign_consistency"))
-    out = one.join(two, by).join(agree, by).select(*by, "k_projects", mu.alias("pooled_effect"), se.alias("se"), (mu - 1.96 * se).alias("ci_low"), (mu + 1.96 * se).alias("ci_high"), (mu / se).alias("z"), F.col("q_stat"), i2.alias("i2"), "tau2", "n_case", "n_control", "sign_consistency")
+    agrees = (F.signum("effect") == F.signum("sy")).cast("double")
+    same = {c: F.max(c).alias(c) for c in ("k", "qs", "t2", "s", "sy")}
+    got = two.groupBy(*by).agg(*same.values(), F.sum("n_case").alias("n_case"), F.sum("n_control").alias("n_control"), F.avg(agrees).alias("sign_consistency"))
+    mu, se = F.col("sy") / F.col("s"), F.sqrt(1.0 / F.col("s"))
+    i2 = F.when(F.col("qs") > 0, F.greatest(F.lit(0.0), (F.col("qs") - (F.col("k") - 1)) / F.nullif(F.col("qs"), F.lit(0.0))) * 100.0).otherwise(0.0)
+    out = got.select(*by, F.col("k").alias("k_projects"), mu.alias("pooled_effect"), se.alias("se"), (mu - 1.96 * se).alias("ci_low"), (mu + 1.96 * se).alias("ci_high"), (mu / se).alias("z"), F.col("qs").alias("q_stat"), i2.alias("i2"), F.col("t2").alias("tau2"), "n_case", "n_control", "sign_consistency")
     return bh_fdr(out.withColumn("p", normal_p("z")), by=[*scenario, "disease_category"]) if with_p else out
 
 

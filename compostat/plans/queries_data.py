@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..functions.lineage import genus_label, last_rank, parse_lineage, prefixes
 from ..operators import cohorts as H
 from ..operators import compose as C

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..functions import parse as P
 from ..functions import text as X
 from ..operators import cohorts as H

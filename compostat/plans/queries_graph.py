@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..operators import compose as C
 from ..operators import counts as N
 from ..operators import graphs as G
