@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from compostat import catalog
@@ -18,7 +19,7 @@ def duck():
 
 
 def rows(pdf):
-    cell = lambda v: "~" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+    cell = lambda v: "~" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v)
     pdf = pdf[sorted(pdf.columns)].astype(object)
     return sorted(tuple(cell(v) for v in r) for r in pdf.itertuples(index=False))
 
