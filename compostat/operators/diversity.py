@@ -52,6 +52,65 @@ def bray_curtis(relative: DataFrame) -> DataFrame:
     return pairs.join(met, ["a", "b"], "left").select("a", "b", F.greatest(F.lit(0.0), 1 - F.coalesce("s", F.lit(0.0))).alias("d"))
 
 
+def _bray_curtis_blocks(relative: DataFrame, use, schema: str, block: int) -> DataFrame:
+    """``use(ids, ids of others, distances)`` of every sample and the later ones, over pairs
+    of blocks of samples.  ``relative`` may have a column ``g``, which ``ids`` then carry."""
+    extra = [c for c in ("g",) if c in relative.columns]
+    rows = relative.groupBy("sample", *extra).agg(F.collect_list(F.struct("taxon", "relative")).alias("v"))
+    blocks = max(1, -(-relative.select("sample").distinct().count() // block))
+    packed = rows.withColumn("b", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct(F.col("sample").alias("id"), *extra, "v")).alias("rows"))
+    pairs = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1")).join(packed.select(F.col("b").alias("b2"), F.col("rows").alias("r2")), F.col("b1") <= F.col("b2"))
+
+    def matrix(found, at):
+        out = np.zeros((len(found), len(at)))
+        for i, r in enumerate(found):
+            for c in r["v"]:
+                out[i, at[c["taxon"]]] = c["relative"]
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            for b1, b2, r1, r2 in zip(pdf["b1"], pdf["b2"], pdf["r1"], pdf["r2"], strict=True):
+                at = {t: k for k, t in enumerate(sorted({c["taxon"] for r in (*r1, *r2) for c in r["v"]}))}
+                a, b = matrix(r1, at), matrix(r2, at)
+                for i, u in enumerate(a):
+                    first = i + 1 if b1 == b2 else 0
+                    own = np.flatnonzero(u)
+                    if first < len(b):
+                        yield use(r1[i], r2[first:], np.maximum(0.0, 1 - np.minimum(b[first:][:, own], u[own]).sum(axis=1)))
+
+    return pairs.repartition(min(4096, blocks * blocks)).mapInPandas(run, schema)
+
+
+def bray_curtis_blocked(relative: DataFrame, block: int = 512) -> DataFrame:
+    """What ``bray_curtis`` gives, over whole tables: rows are dealt into blocks and every
+    pair of blocks is one Arrow task, so no pair is ever shuffled."""
+
+    def use(x, others, d):
+        ids = [o["id"] for o in others]
+        return pd.DataFrame({"a": [min(x["id"], i) for i in ids], "b": [max(x["id"], i) for i in ids], "d": d})
+
+    kind = relative.schema["sample"].dataType.simpleString()
+    return _bray_curtis_blocks(relative.select("sample", "taxon", "relative"), use, f"a {kind}, b {kind}, d double", block)
+
+
+def permanova_bray(relative: DataFrame, groups: DataFrame, factor: str, block: int = 512) -> DataFrame:
+    """``permanova_pairs`` of Bray-Curtis distances over whole tables: each pair of blocks
+    gives sums of squares by level, never its pairs."""
+    g = groups.filter(F.col(factor).isNotNull()).select("sample", F.col(factor).cast("string").alias("g"))
+    rows = relative.select("sample", "taxon", "relative").join(g, "sample")
+
+    def use(x, others, d):
+        same = np.array([o["g"] == x["g"] for o in others])
+        return pd.DataFrame({"level": [x["g"]], "inside": [float((d[same] ** 2).sum())], "s": [float((d**2).sum())]})
+
+    sums = _bray_curtis_blocks(rows, use, "level string, inside double, s double", block).groupBy("level").agg(F.sum("inside").alias("inside"), F.sum("s").alias("s"))
+    sizes = rows.select("sample", F.col("g").alias("level")).distinct().groupBy("level").agg(F.count(F.lit(1)).alias("m"))
+    zero = F.lit(0.0)
+    row = sizes.join(sums, "level", "left").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.coalesce("inside", zero) / F.col("m")).alias("ssw"), F.sum(F.coalesce("s", zero)).alias("s")).withColumn("sst", F.col("s") / F.col("n"))
+    return row.select(F.lit(factor).alias("factor"), "n", F.col("g").alias("n_groups"), *_f_and_r2(F.col("sst"), F.col("ssw"), F.col("n"), F.col("g")))
+
+
 def squared_distance(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 

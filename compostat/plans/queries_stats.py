@@ -49,6 +49,11 @@ def bray_curtis(spark, d):
     return rounded(B.bray_curtis(C.relative_abundance(N.keep_samples(V.counts(spark, d), sub))), "d")
 
 
+@query()
+def bray_curtis_all(spark, d):
+    return rounded(B.bray_curtis_blocked(C.relative_abundance(V.counts(spark, d))), "d")
+
+
 _DIST = "sqrt(list_sum(list_transform(list_zip(x.vec, y.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 
@@ -57,6 +62,11 @@ def aitchison(spark, d):
     return rounded(B.euclidean_pairs(V.vectors(spark, d).filter("sample < 80")), "d")
 
 
+@query()
+def aitchison_all(spark, d):
+    return rounded(B.euclidean_pairs(V.vectors(spark, d)), "d")
+
+
 _CELLS = "cells AS (SELECT sample, project, unnest(vec) AS x, generate_subscripts(vec, 1) AS j FROM vectors)"
 
 
@@ -86,6 +96,11 @@ def permanova_bray(spark, d):
     return rounded(B.permanova_pairs(B.bray_curtis(rel), groups, "project"), "pseudo_f", "r2")
 
 
+@query()
+def permanova_bray_all(spark, d):
+    return rounded(B.permanova_bray(C.relative_abundance(V.counts(spark, d)), V.samples(spark, d), "project"), "pseudo_f", "r2")
+
+
 @query()
 def permanova_permutations(spark, d):
     return B.permanova_p(V.vectors(spark, d), "project", 99)
