@@ -197,7 +197,11 @@ def meta_with_fdr(spark, d):
     return D.meta_analysis(_contrasts(spark, d))
 
 
-def _cells(spark, d, like="SMALL.Brand#1%"):
+#: The taxa of the queries whose SQL says so; all other queries take every taxon.
+_SOME = "SMALL.Brand#1%"
+
+
+def _cells(spark, d, like="%"):
     counts, values, zeros = _clr(spark, d)
     taxa = counts.filter(F.col("taxon").like(like)).select("taxon").distinct()
     return C.dense(values, zeros, taxa).withColumnRenamed("clr", "v").join(V.frame(spark, d), "sample")
@@ -207,7 +211,16 @@ def _cells(spark, d, like="SMALL.Brand#1%"):
 g AS (SELECT disease_category, project, taxon, count(*) FILTER (WHERE y = 1) AS n_case, count(*) FILTER (WHERE y = 0) AS n_control, sum(r) FILTER (WHERE y = 1) AS r1, CAST(sum(t * t - 1) AS DOUBLE) AS ties, min(v) < max(v) AS varies FROM r GROUP BY 1, 2, 3)
 SELECT disease_category, project, taxon, n_case, n_control, CASE WHEN ok THEN u END AS u, round(CASE WHEN ok THEN 2 * u / (n_case * n_control) - 1 END, 6) + 0.0 AS rank_biserial, ties FROM (SELECT *, r1 - n_case * (n_case + 1) / 2.0 AS u, n_case >= 3 AND n_control >= 3 AND varies AS ok FROM g)""")
 def wilcoxon_u(spark, d):
-    return rounded(D.rank_sums(_cells(spark, d).withColumn("v", F.round("v", 9))), "rank_biserial")
+    return _wilcoxon_u(_cells(spark, d, _SOME))
+
+
+def _wilcoxon_u(cells):
+    return rounded(D.rank_sums(cells.withColumn("v", F.round("v", 9))), "rank_biserial")
+
+
+@query()
+def wilcoxon_u_all(spark, d):
+    return _wilcoxon_u(_cells(spark, d))
 
 
 @query()
@@ -240,7 +253,16 @@ combat AS (SELECT disease_category, taxon, project, sample, y, v, (z - gamma) /
 
 @query(f"WITH {_COMBAT} SELECT disease_category, taxon, project, sample, y, round(adjusted, 5) + 0.0 AS adjusted FROM combat")
 def combat_ls(spark, d):
-    return D.combat(_cells(spark, d), eb=False).select("disease_category", "taxon", "project", "sample", "y", (F.round("adjusted", 5) + 0.0).alias("adjusted"))
+    return _combat_ls(_cells(spark, d, _SOME))
+
+
+def _combat_ls(cells):
+    return D.combat(cells, eb=False).select("disease_category", "taxon", "project", "sample", "y", (F.round("adjusted", 5) + 0.0).alias("adjusted"))
+
+
+@query()
+def combat_ls_all(spark, d):
+    return _combat_ls(_cells(spark, d))
 
 
 @query()
@@ -252,10 +274,19 @@ def combat_eb(spark, d):
 s AS (SELECT *, sqrt((n1 * v1 + n0 * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS se FROM m)
 SELECT disease_category, taxon, n1 AS n_case, n0 AS n_control, k AS k_projects, round(e, 5) + 0.0 AS effect, round(se, 5) AS se, round(e / se, 4) + 0.0 AS stat, CAST(n1 + n0 - 2 AS DOUBLE) AS dof FROM s""")
 def pooled_ols(spark, d):
-    out = D.pooled_ols(D.combat(_cells(spark, d), eb=False), with_p=False)
+    return _pooled_ols(_cells(spark, d, _SOME))
+
+
+def _pooled_ols(cells):
+    out = D.pooled_ols(D.combat(cells, eb=False), with_p=False)
     return out.withColumns({"effect": F.round("effect", 5) + 0.0, "se": F.round("se", 5), "stat": F.round("stat", 4) + 0.0})
 
 
+@query()
+def pooled_ols_all(spark, d):
+    return _pooled_ols(_cells(spark, d))
+
+
 @query()
 def mixedlm(spark, d):
     return D.mixed_model(_cells(spark, d))

@@ -13,6 +13,9 @@ WHOLE = {
     "bray_curtis_all": ("bray_curtis", {" WHERE row_id < 60": ""}),
     "permanova_bray_all": ("permanova_bray", {" WHERE row_id < 60": ""}),
     "aitchison_all": ("aitchison", {" AND y.sample < 80": ""}),
+    "wilcoxon_u_all": ("wilcoxon_u", {" WHERE taxon LIKE 'SMALL.Brand#1%'": ""}),
+    "combat_ls_all": ("combat_ls", {" WHERE taxon LIKE 'SMALL.Brand#1%'": ""}),
+    "pooled_ols_all": ("pooled_ols", {" WHERE taxon LIKE 'SMALL.Brand#1%'": ""}),
 }
 
 
@@ -48,3 +51,11 @@ def test_bray_curtis_in_several_blocks(spark):
     groups = V.samples(spark, SF)
     p, q = B.permanova_pairs(B.bray_curtis(relative), groups.join(relative.select("sample").distinct(), "sample", "left_semi"), "project").first(), B.permanova_bray(relative, groups, "project", 16).first()
     assert p["n"] == q["n"] and p["pseudo_f"] == pytest.approx(q["pseudo_f"]) and p["r2"] == pytest.approx(q["r2"])
+
+
+@pytest.mark.parametrize("name", ["wilcoxon_p", "ols_contrast_cov", "combat_eb", "mixedlm"])
+def test_tests_of_all_taxa(spark, name):
+    from compostat.plans import views as V
+
+    want = {r[0] for r in V.counts(spark, SF).select("taxon").distinct().collect()}
+    assert {r[0] for r in catalog.QUERIES[name](spark, SF).select("taxon").distinct().collect()} == want
