@@ -14,6 +14,9 @@ from . import views as V
 from .views import COUNTS, SAMPLES
 
 
+MAX_WIDE = 10_000
+
+
 def r6(c):
     return (F.round(c, 6) + F.lit(0.0))
 
@@ -106,12 +109,21 @@ def log_relative(spark, d):
 @query(f"""WITH {COUNTS}, {CLR}, grid AS (SELECT sample, taxon, zero_clr FROM zeros CROSS JOIN (SELECT DISTINCT taxon FROM counts WHERE taxon LIKE 'SMALL%') x)
 SELECT sample, taxon, round(coalesce(clr, zero_clr), 6) + 0.0 AS clr FROM grid LEFT JOIN clr USING (sample, taxon)""")
 def clr_dense(spark, d):
+    return _clr_dense(spark, d, "SMALL%")
+
+
+def _clr_dense(spark, d, like="%"):
     counts = V.counts(spark, d)
     values, zeros, _ = C.clr(counts)
-    taxa = counts.filter("taxon LIKE 'SMALL%'").select("taxon").distinct()
+    taxa = counts.filter(F.col("taxon").like(like)).select("taxon").distinct()
     return rounded(C.dense(values, zeros, taxa), "clr")
 
 
+@query()
+def clr_dense_all(spark, d):
+    return _clr_dense(spark, d)
+
+
 @query(f"""WITH {COUNTS}, reads AS (SELECT sample, taxon, unnest(range(1, n + 1)) AS k FROM counts),
 o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY md5('42|' || sample || '|' || taxon || '|' || CAST(k AS VARCHAR)), taxon, k) AS place, count(*) OVER (PARTITION BY sample) AS total FROM reads)
 SELECT sample, taxon, count(*) AS n FROM o WHERE total >= 500 AND place <= 500 GROUP BY 1, 2""")
@@ -131,6 +143,15 @@ def wide_round_trip(spark, d):
     return N.from_wide(N.to_wide(V.counts(spark, d).filter(F.col("taxon").isin(taxa)), taxa))
 
 
+@query()
+def wide_round_trip_all(spark, d):
+    counts = V.counts(spark, d)
+    taxa = [r[0] for r in counts.select("taxon").distinct().orderBy("taxon").limit(MAX_WIDE + 1).collect()]
+    if len(taxa) > MAX_WIDE:
+        raise ValueError(f"over {MAX_WIDE} taxa for a wide table")
+    return N.from_wide(N.to_wide(counts, taxa))
+
+
 @query("SELECT p_type AS type_name, p_brand AS brand_name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1, 2")
 def lineage_parse(spark, d):
     parts = parse_lineage(F.concat_ws(".", "p_type", "p_brand"), 2)

@@ -215,7 +215,7 @@ def healthy_only(spark, d):
 
 @query()
 def subset_sum_labels(spark, d):
-    counts = V.tags(spark, d).filter("tag = 'view_status' AND value RLIKE '[a-z]'").groupBy("project", "tag", "value").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
+    counts = V.tags(spark, d).groupBy("project", "tag", "value").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
     # Totals that a curator would have noted: controls say control or healthy, cases say case or positive.
     review = counts.groupBy("project", F.col("tag").alias("field")).agg(F.sum(F.when(F.lower("value").rlike("control|healthy"), F.col("n")).otherwise(0)).alias("controls"), F.sum(F.when(F.lower("value").rlike("case|positive"), F.col("n")).otherwise(0)).alias("cases")).withColumn("bucket", F.lit("CONFIRMED"))
     return L.resolved_contrasts(counts, review)
@@ -223,7 +223,7 @@ def subset_sum_labels(spark, d):
 
 @query()
 def derived_labels(spark, d):
-    t = V.tags(spark, d).filter("tag = 'view_status' AND value RLIKE '[a-z]'")
+    t = V.tags(spark, d)
     counts = t.groupBy("project", "tag", "value").agg(F.count(F.lit(1)).alias("n"))
     review = counts.groupBy("project", F.col("tag").alias("field")).agg(F.sum(F.when(F.lower("value").rlike("control|healthy"), F.col("n")).otherwise(0)).cast("double").alias("controls"), F.sum(F.when(F.lower("value").rlike("case|positive"), F.col("n")).otherwise(0)).cast("double").alias("cases")).withColumn("bucket", F.lit("CONFIRMED"))
     conditions = spark.createDataFrame([(f"P{i}", f"C{i}") for i in range(6)], "project string, condition_category string")

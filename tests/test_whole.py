@@ -19,6 +19,8 @@ WHOLE = {
     "pooled_ols_all": ("pooled_ols", {" WHERE taxon LIKE 'SMALL.Brand#1%'": ""}),
     **{f"{n}_all": (n, {" WHERE taxon LIKE 'SMALL%'": ""}) for n in ("typed_edges", "induced_subgraph", "receivers_only", "neighbor_fanout", "message_pass_mean", "scaled_features", "degree_normalised")},
     "sample_graphs_all": ("sample_graphs", {" WHERE taxon LIKE 'SMALL.Brand#1%'": "", "SELECT NULL, 100": "SELECT NULL, (SELECT count(DISTINCT taxon) FROM counts)"}),
+    "clr_dense_all": ("clr_dense", {" WHERE taxon LIKE 'SMALL%'": ""}),
+    "wide_round_trip_all": ("wide_round_trip", {" WHERE taxon IN ('SMALL.Brand#1', 'LARGE.Brand#2', 'PROMO.Brand#3')": ""}),
 }
 
 
@@ -80,3 +82,21 @@ def test_graph_classifier_takes_all_taxa(spark, monkeypatch):
     monkeypatch.setattr(queries_more.M, "graph_cross_validated", lambda edges, *a, f=queries_more.M.graph_cross_validated, **k: seen.append(edges) or f(edges, *a, **k))
     catalog.QUERIES["graph_leakage_cv"](spark, SF)
     assert seen[0].filter("rel = 'abundance'").count() == V.counts(spark, SF).count()
+
+
+def test_labels_of_all_tags(spark, duck):
+    from compostat.plans.views import TAGS
+
+    tags = duck.sql(f"WITH {TAGS} SELECT project, tag, value, count(*) AS n FROM tags WHERE value IS NOT NULL GROUP BY ALL").df()
+    word = lambda v, *w: any(x in v.lower() for x in w)
+    got = {}
+    for r in catalog.QUERIES["subset_sum_labels"](spark, SF).collect():
+        got.setdefault((r["project"], r["tag"]), {})[r["value"]] = r["label"]
+    for (project, tag), part in tags.groupby(["project", "tag"]):
+        n = dict(zip(part["value"], part["n"], strict=True))
+        controls, cases = sum(c for v, c in n.items() if word(v, "control", "healthy")), sum(c for v, c in n.items() if word(v, "case", "positive"))
+        found = got.pop((project, tag), {})
+        assert [sum(n[v] for v, x in found.items() if x == k) for k in ("healthy", "case")] == [controls, cases]
+    assert not got
+    derived = {(r["project"], r["disease_field"]) for r in catalog.QUERIES["derived_labels"](spark, SF).collect()}
+    assert {t for _, t in derived} == set(tags["tag"])
