@@ -100,3 +100,12 @@ def test_labels_of_all_tags(spark, duck):
     assert not got
     derived = {(r["project"], r["disease_field"]) for r in catalog.QUERIES["derived_labels"](spark, SF).collect()}
     assert {t for _, t in derived} == set(tags["tag"])
+
+
+def test_leakage_cv_scores_every_row_in_both_schemes(spark):
+    from compostat.plans import views as V
+
+    v, got = V.vectors(spark, SF), catalog.QUERIES["leakage_cv"](spark, SF).collect()
+    for scheme, folds in (("random", 3), ("lopo", v.selectExpr("sample % 5").distinct().count())):
+        per = [r for r in got if r["cv_scheme"] == scheme]
+        assert len(per) == folds and sum(r["n_test"] for r in per) == v.count()
