@@ -3,7 +3,10 @@
 A text is cut into sentences (at line feeds and after ``.``, ``!`` or ``?`` before a
 blank), each sentence is normalised (ASCII lower case, runs of other ASCII characters
 than letters and digits become one space), and known licence sentences are replaced
-by their identifiers.  Identifiers at most ``max_gap`` sentences apart form a sequence;
+by their identifiers.  Lines that no ``.``, ``!`` or ``?`` and no blank line parts are
+also tried together, from any line to any later one, so wrapped sentences are found in
+texts and, as marks other than letters and digits count as blanks, in comments; of
+overlapping finds the first and then the longest counts.  Identifiers at most ``max_gap`` sentences apart form a sequence;
 ordered rules, longest claims first, each take their sequence of identifiers out of
 it and name a licence.  What no rule takes is counted as unmatched.
 
@@ -106,17 +109,28 @@ def scan(
     text order and licences in rule order, joined by commas."""
     if len(known) > MAX_SENTENCES:
         raise ValueError(f"over {MAX_SENTENCES} known sentences")
-    lengths = [len(s) for _, s in known]
+    words = max((len(s.split(" ")) for _, s in known), default=1)
     table = F.broadcast(df.sparkSession.createDataFrame(list(known), "__sid string, __key string").dropDuplicates(["__key"]))
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__row", F.xxhash64("__id", "__text"))
-    cut = rows.select("__id", "__row", F.posexplode(sentences(F.col("__text"))).alias("__pos", "__s"))
-    # A sentence shorter than every known one can't become longer by normalising.
-    cut = cut.filter(F.char_length("__s") >= min(lengths, default=0)).select("__id", "__row", "__pos", normalised(F.col("__s")).alias("__key"))
-    found = cut.join(table, "__key").groupBy("__id", "__row").agg(F.array_sort(F.collect_set(F.struct("__pos", "__sid"))).alias("__seq"))
+    # A known sentence starts at a line that is one or starts one: all starts are in a broadcast join.
+    starts = table.select(F.split("__key", " ").alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.xxhash64(F.array_join(F.slice("w", 1, n), " ")))).alias("__hash")).distinct()
+    cut = rows.select("__id", "__row", sentences(F.col("__text")).alias("__all")).select("__id", "__row", "__all", F.posexplode("__all").alias("__pos", "__s"))
+    begun = cut.withColumn("__hash", F.xxhash64(normalised(F.col("__s")))).join(F.broadcast(starts), "__hash").select("__id", "__row", "__pos", F.slice("__all", F.col("__pos") + 1, words).alias("__next"))
+    # Lines from there to the first that ends a sentence or comes before a blank one.
+    ends = F.array_position(F.transform("__next", lambda x: F.right(x, F.lit(1)).isin(".", "!", "?")), True)
+    blank = F.array_position(F.transform("__next", lambda x: normalised(x) == ""), True)
+    n_lines = F.least(F.size("__next"), F.nullif(ends, F.lit(0)), F.nullif(blank, F.lit(0)) - 1)
+    tried = begun.select("__id", "__row", "__pos", "__next", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(1), n_lines).cast("bigint"))).alias("__n"))
+    tried = tried.select("__id", "__row", "__pos", F.col("__n").cast("int").alias("__n"), normalised(F.array_join(F.slice("__next", 1, F.col("__n").cast("int")), " ")).alias("__key"))
+    found = tried.join(table, "__key").groupBy("__id", "__row").agg(F.array_sort(F.collect_set(F.struct("__pos", (-F.col("__n")).alias("__m"), "__sid"))).alias("__seq"))
+    # What starts within an earlier find goes, and so do shorter finds at the same line.
+    none = F.struct(F.filter("__seq", lambda x: F.lit(False)).alias("s"), F.lit(-1).alias("e"))
+    apart = F.aggregate("__seq", none, lambda a, x: F.when(x["__pos"] > a["e"], F.struct(F.concat(a["s"], F.array(x)).alias("s"), (x["__pos"] - x["__m"] - 1).alias("e"))).otherwise(a), lambda a: a["s"])
+    found = found.withColumn("__seq", F.when(F.exists("__seq", lambda x: x["__m"] < -1), apart).otherwise(F.col("__seq")))
     # Identifiers in angle brackets; a bar where a sequence breaks.
     start = F.struct(F.lit("").alias("t"), F.lit(-1_000_000).alias("p"))
     token = F.aggregate(
-        "__seq", start, lambda a, x: F.struct(F.concat(a["t"], F.when(x["__pos"] - a["p"] > max_gap, F.lit("|")).otherwise(F.lit("")), F.lit("<"), x["__sid"], F.lit(">")).alias("t"), x["__pos"].alias("p")), lambda a: a["t"]
+        "__seq", start, lambda a, x: F.struct(F.concat(a["t"], F.when(x["__pos"] - a["p"] > max_gap, F.lit("|")).otherwise(F.lit("")), F.lit("<"), x["__sid"], F.lit(">")).alias("t"), (x["__pos"] - x["__m"] - 1).alias("p")), lambda a: a["t"]
     )
     marked = found.withColumn("__t", token).withColumn("__found", F.array().cast("array<string>"))
     for licence, ids in rules:
@@ -133,7 +147,8 @@ def scan(
 
 
 def oracle_sql(known: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, max_gap: int = 3) -> str:
-    """The same scan of ``documents`` in DuckDB's SQL."""
+    """The same scan of ``documents`` in DuckDB's SQL, each line by itself: it knows nothing
+    of wrapped sentences."""
     values = ", ".join(f"('{i}', '{s}')" for i, s in dict((s, (i, s)) for i, s in known).values())
     steps, last = [], "r0"
     for k, (licence, ids) in enumerate(rules):

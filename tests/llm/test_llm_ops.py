@@ -171,6 +171,29 @@ def test_licence_scan_matches_brute_force(spark, docs):
     assert got[1] == ("MIT,all rights reserved", 0) and got[2] == ("BSD-2-Clause", 0) and got[3] == ("BSD-2-Clause", 1) and got[5] == ("", 1)
 
 
+def test_licence_scan_finds_wrapped_texts(spark):
+    import textwrap
+
+    text = dict(licences.SENTENCES)
+    para = lambda i, mark="", width=72: "\n".join(mark + x for x in textwrap.wrap(text[i].capitalize() + ".", width))
+    mit, bsd = ("mit_grant", "mit_notice", "mit_as_is"), ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 A\n\n" + "\n\n".join(para(i) for i in mit)),
+        (2, "/*\n * Copyright 2020 A\n" + "\n *\n".join(para(i, " * ") for i in mit) + "\n */\nint main;"),
+        (3, para(bsd[0])[:-1] + ":\n\n1. " + para(bsd[1], "   ").strip() + "\n\n2. " + para(bsd[2], "   ").strip()),
+        (4, para(bsd[0])[:-1] + ":\n* " + para(bsd[1], "  ").strip() + "\n* " + para(bsd[2], "  ").strip() + "\n* " + para(bsd[3], "  ").strip()),
+        (5, "\n#\n".join(para(i, "# ", 40) for i in ("gpl_free", "gpl_hope", "gpl_copy"))),
+        (6, "\r\n\r\n".join(para(i).replace("\n", "\r\n") for i in ("gpl2_free", "gpl_hope", "gpl_copy"))),
+        (7, "Licensed under the\nMIT License\nAll rights reserved\nmore"),
+        (8, 'Licensed under the Apache License, Version 2.0\n(the "License");\nyou may not use this file except in\ncompliance with the License.\nYou may obtain a copy\nof the License at'),
+        (9, "Licensed under the\n\nMIT License"),
+        (10, "Licensed under the MIT.\nLicense"),
+    ]
+    got = {r["doc_id"]: (r["licenses"], r["n_known"], r["n_unmatched"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {1: ("MIT", 3, 0), 2: ("MIT", 3, 0), 3: ("BSD-2-Clause", 3, 0), 4: ("BSD-3-Clause", 4, 0), 5: ("GPL-3.0-or-later", 3, 0), 6: ("GPL-2.0-or-later", 3, 0), 7: ("MIT,all rights reserved", 2, 0), 8: ("Apache-2.0", 3, 0), 9: ("", 0, 0), 10: ("", 0, 0)}
+    assert got == want
+
+
 def brute_lines(rows):
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(upper)
