@@ -1,26 +1,37 @@
 """The folder that the driver and all executors share, and tables written there.
 
 Lineage is cut by writing a table below ``spark.checkpoint.dir``.  The setting is
-read from the session; only where it is unset (tests, a laptop) is a folder made.
+read from the session.  Only a local master, whose executors are the driver itself,
+may leave it unset: a temporary folder is made then.  Elsewhere that is an error, as
+every executor would write to a disk of its own.
+
+Operators delete what they no longer need; what a lazy result still reads is deleted
+when the interpreter ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_LEFT: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="compostat-shared-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -28,8 +39,35 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; deleted when the interpreter ends, at the latest."""
+    if not _LEFT:
+        atexit.register(_clear)
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
+def _clear() -> None:
+    for path, spark in list(_LEFT.items()):
+        # The session may have ended before the interpreter.
+        with contextlib.suppress(Exception):
+            drop_path(spark, path)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Session settings (``__`` for a dot) for the jobs run inside, restored after."""
+    before = {k: spark.conf.get(k, None) for k in (name.replace("__", ".") for name in values)}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name.replace("__", "."), str(value))
+        yield
+    finally:
+        for k, old in before.items():
+            if old is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, old)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +82,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _LEFT.pop(path, None)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, from file sizes where it is a scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def text_bytes(col: str):

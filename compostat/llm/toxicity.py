@@ -1,24 +1,35 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share ordinary text; the toxic one also holds phrases
-trained on toxic text.  They are chosen by a greedy cover in the manner of
-zstandard's own dictionary trainer, but contrastively: of all letter sequences that
-are at least ``contrast`` times as frequent in toxic as in ordinary sample texts,
-the one that covers most toxic texts is taken, and again, until every toxic text is
-covered ``cover`` times or nothing frequent is left.  Both dictionaries being equal
-otherwise, a window of words that compresses better with the toxic one holds
-something toxic; what ordinary words save cancels out.
-
-A text's features (over all its windows: the largest saving, the share of windows
-that save, the mean saving) go through a logistic curve calibrated on the sample.
+Two zstandard dictionaries are trained, each by zstandard's own trainer: one on ordinary
+text, one on toxic text.  A window of words is compressed knowing ordinary text alone,
+and knowing ordinary and toxic text; what the toxic dictionary saves is the window's
+compression distance.  (In place of the toxic dictionary the first has as many bytes 0,
+so that everything else lies equally far back and costs the same.)
+
+The toxic dictionary is trained on what recurs in toxic text and not in ordinary text:
+words of at least ``least_share`` of the toxic excerpts that are ``contrast`` times as
+frequent there as in ordinary ones, excerpt by excerpt.  Trained on whole toxic texts it
+holds mostly ordinary words, and the noise of two dictionaries that fit them by chance
+differently is larger than what a few toxic words save (figures in the README).
+
+Thresholds are calibrated on halves of the sample that the dictionaries weren't trained
+on: the number of bytes from which a window counts is the one whose share of windows
+tells the texts apart best (area under the curve), a logistic curve goes over that share
+and the number and strength of such windows, and its middle is moved to the cut with the
+best F1.5 (recall weighs more than precision) at the labelled rows' own odds.  Windows are counted where they lie, over whole
+texts.
 
 The sample is bounded: at most ``max_toxic`` toxic and ``max_ordinary`` ordinary
 excerpts of ``excerpt_chars`` characters, chosen by a hash of the key from all
-labelled rows given.  Every text is scored whole.
+labelled rows given, and all of it is used.  Dictionaries have at most
+``ordinary_bytes`` and ``toxic_bytes``.  Every text is scored whole.
 
 Defined cases: null and empty texts have no window and score as zero saving; rows
-with a null label aren't learned from; without labels of both kinds every score is
-the share of label 1 (0 without any label); equal texts get equal scores; other columns are ignored.
+with a null label or a null key aren't learned from; without labels of both kinds every
+score is the share of label 1 (0 without any label); without recurring toxic words every
+score is the curve's value at zero; equal texts get equal scores, and null or repeated
+ids one row each; very long texts are scored in windows, one slice of 2**20 characters at a
+time; an empty table gives an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +38,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -35,9 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .zdict import sizer, words_of
+from .zdict import sizer, trained, words_of
 
 _LOADED: dict[str, tuple] = {}
+#: Savings are counted by byte up to this many.
+_MOST = 8
 
 
 @dataclass(frozen=True)
@@ -45,76 +58,52 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     level: int
+    min_match: int
     window_words: int
-    weights: tuple[float, ...]
     prior: float
+    #: Bytes that a window must save to count.
+    least_saving: int = 1
+    weights: tuple[float, ...] = ()
 
     @cached_property
     def key(self) -> str:
-        return hashlib.sha1(self.ordinary + b"|" + self.toxic + str(self.level).encode()).hexdigest()
+        return hashlib.sha1(self.ordinary + b"|" + self.toxic + repr((self.level, self.min_match)).encode()).hexdigest()
 
     def sizers(self) -> tuple:
         if self.key not in _LOADED:
-            _LOADED[self.key] = sizer(self.ordinary, self.level), sizer(self.toxic, self.level)
+            _LOADED[self.key] = sizer(self.ordinary + bytes(len(self.toxic)), self.level, self.min_match), sizer(self.ordinary + self.toxic, self.level, self.min_match)
         return _LOADED[self.key]
 
-    def features(self, text: str | None) -> list[float]:
-        size0, size1 = self.sizers()
-        n = total = saving = most = 0
+    def savings(self, text: str | None) -> list[int]:
+        """How many windows save 0 bytes or less, 1, 2, ... or at least ``_MOST`` bytes."""
+        alone, both = self.sizers()
+        counts = [0] * (_MOST + 1)
         for words in words_of(text or ""):
             for at in range(0, len(words), self.window_words):
                 window = b" " + b" ".join(words[at : at + self.window_words]) + b" "
-                d = size0(window) - size1(window)
-                n += 1
-                total += d
-                saving += d >= 2
-                most = max(most, d)
-        return [min(most, 8.0), min(math.sqrt(saving), 4.0), saving / max(1, n), total / max(1, n)]
+                counts[min(max(alone(window) - both(window), 0), _MOST)] += 1
+        return counts
 
     def score(self, text: str | None) -> float:
         if not self.weights:
             return self.prior
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))
+        x = features(np.array([self.savings(text)]), self.least_saving)[0]
+        z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x.tolist(), strict=True))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _grams(words: list[bytes], lengths: tuple[int, ...]) -> set[bytes]:
-    """Letter sequences within a word and its surrounding spaces."""
-    out: set[bytes] = set()
-    for w in set(words):
-        s = b" " + w + b" "
-        for g in lengths:
-            out.update(s[i : i + g] for i in range(len(s) - g + 1))
-    return out
-
-
-def contrast_cover(toxic: list[set[bytes]], ordinary: list[set[bytes]], contrast: float, cover: int, least: int) -> list[bytes]:
-    n1, n0 = len(toxic), len(ordinary)
-    d1 = Counter(g for s in toxic for g in s)
-    frequent = {g for g, c in d1.items() if c >= least}
-    d0 = Counter(g for s in ordinary for g in s & frequent)
-    fit = {g for g in frequent if d0[g] * n1 * contrast <= d1[g] * n0}
-    texts = [s & fit for s in toxic]
-    gain, left, chosen = Counter(g for s in texts for g in s), [cover] * n1, []
-    while gain:
-        best = max(gain, key=lambda g: (gain[g], len(g), g))
-        if gain[best] < least:
-            break
-        chosen.append(best)
-        # What overlaps the phrase just taken would cover the same words again.
-        same = {g for g in gain if g.strip() in best or best.strip() in g}
-        for i, s in enumerate(texts):
-            if best in s and left[i]:
-                left[i] -= 1
-                if not left[i]:
-                    for g in s:
-                        gain[g] -= 1
-                    texts[i] = set()
-        for g in same:
-            gain.pop(g, None)
-            for s in texts:
-                s.discard(g)
-    return chosen
+def features(savings: np.ndarray, least: int) -> np.ndarray:
+    """Share of windows that count, their number, and how many save two bytes more."""
+    count = savings[:, least:].sum(axis=1)
+    strong = savings[:, min(least + 2, _MOST) :].sum(axis=1)
+    return np.column_stack([np.sqrt(count / np.maximum(1, savings.sum(axis=1))), np.minimum(np.log1p(count), 4.0), np.minimum(np.log1p(strong), 4.0)])
+
+
+def area_under_curve(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """Ties count a half."""
+    both = np.sort(scores[~toxic])
+    below = np.searchsorted(both, scores[toxic], "left") + np.searchsorted(both, scores[toxic], "right")
+    return float(below.mean() / (2 * max(1, len(both))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -130,6 +119,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def best_cut(z: np.ndarray, toxic: np.ndarray, weight: np.ndarray, beta: float = 1.5) -> float:
+    """The value from which calling a text toxic has the best F-beta, halfway to the next lower one."""
+    order = np.argsort(-z, kind="stable")
+    z, hit, miss = z[order], np.cumsum((weight * toxic)[order]), np.cumsum((weight * ~toxic)[order])
+    ends = np.flatnonzero(np.append(z[:-1] != z[1:], True))
+    k = ends[np.argmax(hit[ends] / (hit[ends] + miss[ends] + beta**2 * hit[-1]))]
+    return float(z[k] if k + 1 == len(z) else (z[k] + z[k + 1]) / 2)
+
+
+def _windows(words: list[bytes], n: int) -> list[bytes]:
+    return [b" " + b" ".join(words[at : at + n]) + b" " for at in range(0, len(words), n)]
+
+
 def fit(
     labelled: DataFrame,
     labels: DataFrame | None = None,
@@ -139,13 +141,13 @@ def fit(
     max_toxic: int = 1200,
     max_ordinary: int = 2400,
     excerpt_chars: int = 2400,
-    lengths: tuple[int, ...] = (6, 8),
     contrast: float = 20.0,
-    cover: int = 4,
     least_share: float = 0.01,
-    base_bytes: int = 16_384,
+    ordinary_bytes: int = 98_304,
+    toxic_bytes: int = 1536,
     level: int = 12,
-    window_words: int = 12,
+    min_match: int = 5,
+    window_words: int = 8,
 ) -> ToxicityModel:
     """Fit on rows of ``labelled``; their labels are a column of it or, by key, the table
     ``labels``."""
@@ -153,51 +155,57 @@ def fit(
     marks = (labels if labels is not None else labelled).select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
     # Only keys and hashes are joined and ordered; texts are fetched for the sample alone.
     order = F.abs(F.xxhash64(F.lit("sample"), "k") % 2**40)
-    rows = marks.join(texts.select("k", F.lit(True).alias("there")), "k").select("k", "y", order.alias("h"))
+    rows = marks.join(texts.select("k"), "k").select("k", "y", order.alias("h"))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     drawn = []
     for y, most in ((1, max_toxic), (0, max_ordinary)):
         upto = int(2**40 * min(1.0, 3.0 * most / max(1, counts.get(y, 0))))  # leaves about three times the sample
         drawn += rows.filter((F.col("y") == y) & (F.col("h") <= upto)).orderBy("h", "k").limit(most).collect()
     sample: dict[int, list[str]] = {0: [], 1: []}
+    spark = labelled.sparkSession
     if drawn:
-        wanted = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in drawn], rows.schema).distinct())
+        wanted = F.broadcast(spark.createDataFrame([tuple(r) for r in drawn], rows.schema).distinct())
         place = f"cast(1 + h % greatest(1, coalesce(char_length(t), 0) - {excerpt_chars} + 1) as int)"
         found = texts.join(wanted, "k").select("y", "h", F.expr(f"coalesce(substring(t, {place}, {excerpt_chars}), '')").alias("x"))
         for r in sorted(found.collect(), key=lambda r: (r["h"], r["x"])):
             sample[r["y"]].append(r["x"])
     n1, n0 = len(sample[1]), len(sample[0])
     if not n1 or not n0:
-        return ToxicityModel(b"", b"", level, window_words, (), counts.get(1, 0) / max(1, sum(counts.values())))
+        return ToxicityModel(b"", b"", level, min_match, window_words, counts.get(1, 0) / max(1, sum(counts.values())))
     words = {y: [[w for ws in words_of(t) for w in ws] for t in sample[y]] for y in (0, 1)}
-    # Grams that too few toxic texts have can't be chosen; leaving them out saves memory.
-    often = Counter(g for w in words[1] for g in _grams(w, lengths))
-    often = {g for g, c in often.items() if c >= 4}
-    grams = {y: [_grams(w, lengths) & often for w in words[y]] for y in words}
 
     def build(chosen: dict[int, list[int]]) -> ToxicityModel:
-        least = max(4, math.ceil(least_share * len(chosen[1])))
-        phrases = contrast_cover([grams[1][i] for i in chosen[1]], [grams[0][i] for i in chosen[0]], contrast, cover, least)
-        share = max(64, base_bytes // max(1, len(chosen[0])))
-        # Words with a phrase in them would let the ordinary dictionary save on it too.
-        plain = [b" ".join(w for w in words[0][i] if not any(p in b" " + w + b" " for p in phrases))[:share] for i in chosen[0]]
-        base = b" ".join(plain)[:base_bytes].ljust(64)
-        return ToxicityModel(base, b"".join(phrases) + base, level, window_words, (), counts[1] / sum(counts.values()))
-
-    # The curve is calibrated on features of texts that the phrases didn't come from.
-    x, target = [], []
-    for part in (0, 1):
-        model = build({y: [i for i in range(len(words[y])) if i % 2 != part or len(words[y]) < 2] for y in words})
-        for y in words:
-            for t in sample[y][part::2]:
-                x.append(model.features(t))
-                target.append(float(y))
-    x, target = np.array(x), np.array(target)
+        seen = {y: Counter(w for i in chosen[y] for w in set(words[y][i])) for y in (0, 1)}
+        m1, m0 = len(chosen[1]), max(1, len(chosen[0]))
+        least = max(4, math.ceil(least_share * m1))
+        recurs = {w for w, c in seen[1].items() if c >= least and seen[0][w] * m1 * contrast <= c * m0}
+        toxic = [b" " + b" ".join(found) + b" " for i in chosen[1] if (found := [w for w in words[1][i] if w in recurs])]
+        plain = [w for i in chosen[0] for w in _windows(words[0][i], window_words)]
+        return ToxicityModel(trained(plain, ordinary_bytes, level), trained(toxic, toxic_bytes, level) if toxic else b"", level, min_match, window_words, counts[1] / sum(counts.values()))
+
+    # Each half is measured by dictionaries trained on the other.
+    halves = [build({y: [i for i in range(len(words[y])) if i % 2 != part or len(words[y]) < 2] for y in words}) for part in (0, 1)]
+    shipped = spark.sparkContext.broadcast(halves)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shipped.value[p].savings(t) for p, t in zip(b.column("part").to_pylist(), b.column("t").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(got, pa.list_(pa.int64()))], ["y", "savings"])
+
+    excerpts = [(y, i % 2, t) for y in (0, 1) for i, t in enumerate(sample[y])]
+    tries = spark.createDataFrame(excerpts, "y int, part int, t string").repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(measure, "y int, savings array<bigint>").collect()
+    savings, toxic = np.array([r["savings"] for r in tries]), np.array([r["y"] == 1 for r in tries])
+    shipped.unpersist()
+    least = max(range(1, _MOST - 1), key=lambda k: (area_under_curve(features(savings, k)[:, 0], toxic), -k))
+    x = features(savings, least)
+    # The order of rows that come back isn't fixed; sums over them shall be.
+    by = np.lexsort([*x.T, toxic])
+    x, toxic = x[by], toxic[by]
+    weights = _logistic(x, toxic.astype(float))
+    weight = np.where(toxic, counts[1] / n1, counts[0] / n0)
+    weights[0] -= best_cut(weights[0] + x @ weights[1:], toxic, weight)
     model = build({y: list(range(len(words[y]))) for y in words})
-    weights = _logistic(x, target)
-    # From the sample's odds of label 1 to those of all labelled rows.
-    weights[0] += math.log(counts[1] / counts[0]) - math.log(n1 / n0)
-    return ToxicityModel(model.ordinary, model.toxic, level, window_words, tuple(weights.tolist()), model.prior)
+    return replace(model, least_saving=least, weights=tuple(weights.tolist()))
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

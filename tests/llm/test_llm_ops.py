@@ -368,15 +368,96 @@ def auc(scores, labels):
     return (order[y].sum() - y.sum() * (y.sum() + 1) / 2) / y.sum() / (~y).sum()
 
 
+def compressed(content, level, min_match=0):
+    """Plain zstandard: a function from bytes to the size of their frame."""
+    import zstandard
+
+    kind = zstandard.DICT_TYPE_FULLDICT if content[:4] == bytes.fromhex("37a430ec") else zstandard.DICT_TYPE_RAWCONTENT
+    how = zstandard.ZstdCompressionParameters.from_level(level, source_size=512, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False, **({"min_match": min_match} if min_match else {}))
+    known = zstandard.ZstdCompressionDict(content, dict_type=kind)
+    known.precompute_compress(compression_params=how)
+    plain = zstandard.ZstdCompressor(compression_params=how, dict_data=known)
+    return lambda data: len(plain.compress(data))
+
+
+def letters(text):
+    """Lower-case words of letters; other ASCII characters part them."""
+    return re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())
+
+
+def test_toxicity_matches_plain_zstandard(spark, docs):
+    table = Q.table(spark, "/root/testdata/sf0.01", "documents")
+    m = toxicity.fit(table, Q.table(spark, "/root/testdata/sf0.01", "labels"))
+    assert 256 <= len(m.toxic) <= 1536 and len(m.ordinary) <= 98_304 and m.weights
+    alone, both = compressed(m.ordinary + bytes(len(m.toxic)), m.level, m.min_match), compressed(m.ordinary + m.toxic, m.level, m.min_match)
+
+    def brute(text):
+        words = letters(text)
+        saved = [alone(w) - both(w) for w in (b" " + b" ".join(words[k : k + m.window_words]) + b" " for k in range(0, len(words), m.window_words))]
+        count, strong = sum(s >= m.least_saving for s in saved), sum(s >= min(m.least_saving + 2, 8) for s in saved)
+        z = m.weights[0] + m.weights[1] * np.sqrt(count / max(1, len(saved))) + m.weights[2] * min(np.log1p(count), 4.0) + m.weights[3] * min(np.log1p(strong), 4.0)
+        return float(1 / (1 + np.exp(-z)))
+
+    for df in (docs, Q.table(spark, SF, "documents").filter("char_length(text) < 4000")):
+        got = {(r["doc_id"], round(r["score"], 9), r["predicted"]) for r in toxicity.score(df, m).collect()}
+        assert got == {(r["doc_id"], round(brute(r["text"]), 9), int(brute(r["text"]) >= 0.5)) for r in df.collect()}
+
+
+def test_toxicity_learns_what_recurs(spark):
+    rng = random.Random(4)
+    plain = "river stone meadow cloud window paper candle silver garden winter".split()
+    rows = [(k, " ".join(["grumbleface" if k % 4 == 0 and j % 9 == 4 else rng.choice(plain) for j in range(60)]), int(k % 4 == 0), "clash", None) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, score string, __text string")
+    m = toxicity.fit(df.filter("doc_id < 300"))
+    assert b"grumbleface" in m.toxic and b"meadow" not in m.toxic
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, m).collect()}
+    assert got == {k: y for k, _, y, _, _ in rows}
+    parts = toxicity.score(df.repartition(7), toxicity.fit(df.filter("doc_id < 300").repartition(5)))
+    assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in toxicity.score(df, m).collect()}
+
+
+def test_cuts_and_curves():
+    y = np.array([True, True, False, False, True])
+    assert toxicity.area_under_curve(np.array([3.0, 1.0, 1.0, 0.0, 2.0]), y) == (2 + 1.5 + 2) / 6
+    cut = toxicity.best_cut(np.array([3.0, 1.0, 1.0, 0.0, 2.0]), y, np.ones(5))
+    assert cut == 0.5
+    assert langid.wrong_below([(0.1, False), (0.2, False), (0.3, True), (0.4, False), (5.0, True)]) == 0.3
+    assert langid.wrong_below([(0.1, True), (3.0, False)]) == 0.0 and langid.wrong_below([]) == 0.0
+    assert langid.wrong_below([(0.0, False), (0.0, True), (0.0, False), (2.0, True)]) == 2.0
+
+
+def test_languages_match_plain_zstandard(spark, docs):
+    m = Q.language_model(Q.table(spark, "/root/testdata/sf0.01", "documents"))
+    known = [(lang, compressed(d, m.level), d[len(d) // 2 :][:64]) for lang, d in m.dictionaries]
+
+    def brute(text):
+        if not text or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        data, totals = b" ".join(letters(text)), []
+        for lang, size, lead in known:
+            totals.append((sum(size(lead + b" " + data[k : k + m.window]) - size(lead) for k in range(0, len(data), m.window)), lang))
+        totals.sort()
+        return totals[0][1], round(100.0 * (totals[1][0] - totals[0][0]) / max(1, totals[0][0]), 9)
+
+    for df in (docs, Q.table(spark, SF, "documents").filter("char_length(text) < 2000")):
+        got = {(r["doc_id"], r["lang_pred"], round(r["margin"], 9)) for r in langid.identify(df, m).collect()}
+        assert got == {(r["doc_id"], *brute(r["text"])) for r in df.collect()}
+
+
 def test_language_and_toxicity_accuracy(spark):
     sf = "/root/testdata/sf0.1"
-    docs = Q.table(spark, sf, "documents")
-    held = Q.op10_language(spark, sf).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
-    assert (held["lang"] == held["lang_pred"]).mean() > 0.98 and held["score"].between(0, 1).all()
+    docs = Q.table(spark, sf, "documents").withColumn("n_words", F.size(F.split(F.trim("text"), r"\s+")))
+    found = Q.op10_language(spark, sf)
+    held = found.filter("held_out").join(docs.select("doc_id", "lang", "n_words"), "doc_id").filter("lang IS NOT NULL").toPandas()
+    right = held["lang"] == held["lang_pred"]
+    assert right.mean() > 0.99 and held["score"].between(0, 1).all()
+    short = held["n_words"] < 8
+    assert short.sum() > 10 and right[short].mean() >= 0.9
     tox = Q.op5_toxicity(spark, sf).filter("held_out").join(Q.table(spark, sf, "labels"), "doc_id").toPandas()
     # This small table has a few hundred toxic texts to learn from, in four languages.
-    assert auc(tox["score"], tox["toxic"]) > 0.85 and tox["score"].between(0, 1).all()
-    assert ((tox["predicted"] == 1) & (tox["toxic"] == 0)).sum() < 0.05 * (tox["toxic"] == 0).sum()
+    assert auc(tox["score"], tox["toxic"]) > 0.92 and tox["score"].between(0, 1).all()
+    assert ((tox["predicted"] == 1) & (tox["toxic"] == 1)).sum() > 0.8 * (tox["toxic"] == 1).sum()
+    assert ((tox["predicted"] == 1) & (tox["toxic"] == 0)).sum() < 0.1 * (tox["toxic"] == 0).sum()
 
 
 def test_classifiers_on_odd_rows(spark, docs):
