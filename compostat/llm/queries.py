@@ -71,8 +71,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = linededup.clean(docs)
     digests = done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
-    # Rows without texts are small: gathered into a file for every 16 tasks that read texts.
-    return digests.repartition(max(1, docs.rdd.getNumPartitions() // 16))
+    # Rows without texts are small: tasks of the last join take several partitions each.
+    return digests.coalesce(linededup.files_for(docs))
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

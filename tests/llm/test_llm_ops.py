@@ -208,24 +208,47 @@ def brute_lines(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batches", [1, 7])
-def test_line_dedup_matches_brute_force(spark, docs, batches):
-    for df in (docs, Q.table(spark, SF, "documents")):
-        got = linededup.clean(df, batches=batches, fan_out=2)
-        assert got.columns[: len(df.columns)] == df.columns
+@pytest.mark.parametrize(("batches", "hot_lines"), [(1, 100_000), (7, 100_000), (4, 3)])
+def test_line_dedup_matches_brute_force(spark, docs, batches, hot_lines):
+    long = docs.limit(1).select(F.lit(77).cast("bigint").alias("doc_id"), F.lit("a line of some length\n" * 60_000 + "x" * 1_500_000).alias("text"))
+    clashing = docs.unionByName(long, allowMissingColumns=True).withColumn("__text", F.lit(1)).withColumn("doc", F.lit("d")).withColumn("drop", F.lit(None).cast("int")).withColumn("__kept", F.lit("gone"))
+    for df in (clashing, Q.table(spark, SF, "documents")):
+        got = linededup.clean(df, batches=batches, fan_out=2, hot_lines=hot_lines)
+        names = [c for c in df.columns if c != "__kept"]
+        assert got.columns == [*names, "__kept", "__n_lines", "__n_dropped"]
         assert rows_of(got, "doc_id", "__n_lines", "__n_dropped", "__kept") == brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
+        others = [c for c in names if c not in ("doc_id", "text")]
+        assert rows_of(got, *others) == rows_of(df, *others)
     assert linededup.clean(docs.limit(0)).count() == 0
 
 
-def test_runs_merge_without_shuffling_the_index(spark):
+def test_runs_merge_without_shuffling_or_sorting_the_index(spark):
     runs = linededup.LineRuns(spark, buckets=4, fan_out=2)
-    frame = lambda lo, hi: spark.range(lo, hi).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), F.col("id").alias("owner"))
+    frame = lambda lo, hi: spark.range(lo, hi).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), F.col("id").alias("doc"))
     for k in range(5):
-        runs.add(runs.unseen(frame(0, 10 * (k + 1))))
+        runs.add(linededup.owners_of(frame(0, 10 * (k + 1))))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert sorted(r["owner"] for r in runs.owners().collect()) == list(range(50))
-    plan = runs.unseen(frame(0, 60))._jdf.queryExecution().toString()
-    assert plan.count("Exchange hashpartitioning") <= 3 and "SortMergeJoin" in plan
+    held = [r["owner"] for t in runs.runs() for r in spark.table(t).collect()]
+    assert sorted(held) == list(range(50))
+    with runs.planned():
+        for plan in (runs.unseen(linededup.owners_of(frame(0, 60))), runs.strangers(frame(0, 60))):
+            lines = [x.strip(" :+-*") for x in plan._jdf.queryExecution().executedPlan().toString().splitlines()]
+            assert sum("LeftAnti" in x and "SortMergeJoin" in x for x in lines) == 2 and sum("Bucketed: true" in x for x in lines) == 2
+            # One shuffle and one sort: of the batch.
+            assert sum(x.startswith("Exchange") for x in lines) == 1 and sum(x.startswith("Sort ") for x in lines) == 1
+            assert plan.count() == 10
+    tables, paths = runs.runs(), list(runs.paths.values())
+    runs.close()
+    from pathlib import Path
+
+    assert not any(spark.catalog.tableExists(t) for t in tables) and not any(Path(p.removeprefix("file://")).exists() for p in paths)
+
+
+def test_the_registered_line_dedup_compacts(spark, monkeypatch):
+    seen, add = [], linededup.LineRuns.add
+    monkeypatch.setattr(linededup.LineRuns, "add", lambda self, owners: (add(self, owners), seen.append([len(x) for x in self.levels]))[0])
+    assert Q.op7_line_dedup(spark, SF).count() == Q.table(spark, SF, "documents").count()
+    assert seen == [[1], [2], [0, 1], [1, 1]]
 
 
 def brute_contamination(rows, items, window=10):
