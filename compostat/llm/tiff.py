@@ -6,8 +6,12 @@ horizontal predictor and gives one page per directory.  Samples have 8 bits; 1 t
 samples a pixel, chunky.  The writer makes strips or tiles in any of these codings.
 
 Defined cases: null media has no page; bytes that aren't a readable TIFF give one row
-with ``error`` and no samples; a directory chain that loops is an error; an image
-without pixels has empty samples; other columns are ignored unless kept by name.
+with ``error`` and no samples after the pages read so far, whatever is wrong with them
+(sizes that don't fit, missing strips, blocks outside the file or cut short, separate
+planes); a directory chain that loops is an error; an image without pixels has empty
+samples; a page of over ``MAX_SAMPLES`` bytes is an error.  Null texts are stored as empty
+ones; null or repeated ids give one row each, equal texts equal values; very long texts
+get several pages; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ from .shared import text_bytes
 # Tag numbers and codes of TIFF 6.0 and its technical notes (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 _OLD_DEFLATE = 32946
 _SIZES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+#: Bytes of a page's samples, at most.
+MAX_SAMPLES = 1 << 30
 
 
 @dataclass
@@ -46,9 +52,9 @@ class Page:
     samples: bytes
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MAX_SAMPLES) -> bytes:
     out, at, n = bytearray(), 0, len(data)
-    while at < n:
+    while at < n and len(out) < most:
         head = data[at]
         if head < 128:
             out += data[at + 1 : at + 2 + head]
@@ -87,12 +93,12 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MAX_SAMPLES) -> bytes:
     """Most significant bit first, 9 to 12 bits, codes widen one code early."""
     clear, end = 256, 257
     first = [bytes([k]) for k in range(256)] + [b"", b""]
     table, out, previous = list(first), [], b""
-    held = bits = 0
+    held = bits = size = 0
     width = 9
     for byte in data:
         held = (held << 8) | byte
@@ -118,6 +124,9 @@ def lzw_decode(data: bytes) -> bytes:
             if len(table) + 1 >= 1 << width and width < 12:
                 width += 1
         out.append(entry)
+        size += len(entry)
+        if size >= most:
+            break
         previous = entry
     return b"".join(out)
 
@@ -164,15 +173,17 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decode(data: bytes, code: int) -> bytes:
+def _decode(data: bytes, code: int, most: int) -> bytes:
+    """Decoded bytes; decoders stop once they have ``most``."""
     if code == 1:
         return data
     if code == CODES["packbits"]:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     if code == CODES["lzw"]:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if code in (CODES["deflate"], _OLD_DEFLATE):
-        return zlib.decompress(data)
+        # A limit of 0 would mean none.
+        return zlib.decompressobj().decompress(data, max(1, most))
     raise ValueError(f"compression {code} isn't known")
 
 
@@ -241,8 +252,8 @@ def read_pages(data: bytes) -> Iterator[Page]:
     """Pages in directory order; ValueError for what can't be read."""
     try:
         yield from _read_pages(data)
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
-        raise ValueError(f"not a readable TIFF: {e}") from e
+    except (struct.error, zlib.error, KeyError, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError(f"not a readable TIFF: {type(e).__name__} {e}") from e
 
 
 def _read_pages(data: bytes) -> Iterator[Page]:
@@ -274,30 +285,42 @@ def _page(data: bytes, tags: dict[int, list[int]], number: int) -> Page:
     depth = tags.get(SAMPLES, [1])[0]
     if set(tags.get(BITS, [1])) != {8}:
         raise ValueError("samples must have 8 bits")
+    if not 1 <= depth <= 4 or (depth > 1 and tags.get(PLANAR, [1])[0] != 1):
+        raise ValueError("1 to 4 samples a pixel, one after the other, can be read")
+    if width * height * depth > MAX_SAMPLES:
+        raise ValueError(f"a page of over {MAX_SAMPLES} bytes")
     code, predictor = tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0]
     if predictor not in (1, 2):
         raise ValueError(f"predictor {predictor} isn't known")
+    if not width or not height:
+        return Page(number, width, height, depth, code, predictor, b"")
 
     def block(offset: int, count: int, rows: int, columns: int) -> np.ndarray:
-        raw = np.frombuffer(_decode(data[offset : offset + count], code), np.uint8)
-        if raw.size < rows * columns * depth:
+        need = rows * columns * depth
+        if offset + count > len(data):
+            raise ValueError("a strip or tile lies outside the file")
+        raw = np.frombuffer(_decode(data[offset : offset + count], code, need), np.uint8)
+        if raw.size < need:
             raise ValueError("a strip or tile is cut short")
-        got = raw[: rows * columns * depth].reshape(rows, columns, depth)
+        got = raw[:need].reshape(rows, columns, depth)
         # Each row's differences add up, modulo 256.
         return np.add.accumulate(got, axis=1, dtype=np.uint8) if predictor == 2 else got
 
-    if TILE_OFFSETS in tags:
-        image = np.zeros((height, width, depth), np.uint8)
-        tw, th = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
-        across = -(-width // tw)
-        for k, (o, c) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], strict=True)):
-            y, x = k // across * th, k % across * tw
-            image[y : y + th, x : x + tw] = block(o, c, th, tw)[: height - y, : width - x]
-        samples = image.tobytes()
-    else:
-        rows = min(tags.get(ROWS_PER_STRIP, [height])[0], height)
-        samples = b"".join(block(o, c, min(rows, height - k * rows), width).tobytes() for k, (o, c) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_COUNTS], strict=True)))
-    return Page(number, width, height, depth, code, predictor, samples)
+    tiled = TILE_OFFSETS in tags
+    # A strip is a block as wide as the page whose last one ends with it.
+    columns = tags[TILE_WIDTH][0] if tiled else width
+    rows = tags[TILE_HEIGHT][0] if tiled else min(tags.get(ROWS_PER_STRIP, [height])[0], height)
+    places = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True))
+    if not rows or not columns or columns * rows * depth > MAX_SAMPLES:
+        raise ValueError("strips or tiles of no size, or too large")
+    across = -(-width // columns)
+    if len(places) != across * -(-height // rows):
+        raise ValueError("as many strips or tiles as don't fill the page")
+    image = np.empty((height, width, depth), np.uint8)
+    for k, (o, c) in enumerate(places):
+        y, x = k // across * rows, k % across * columns
+        image[y : y + rows, x : x + columns] = block(o, c, rows if tiled else min(rows, height - y), columns)[: height - y, : width - x]
+    return Page(number, width, height, depth, code, predictor, image.tobytes())
 
 
 def tiff_pages(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
@@ -328,12 +351,20 @@ def tiff_pages(df: DataFrame, media_col: str = "media", id_col: str = "doc_id")
 _COLUMNS, _PAGE_ROWS = 64, 1 << 16
 
 
+#: Ways to store a text, taken in turn by a checksum of it: compression, tile, byte order.
+WAYS = (
+    ("deflate", None, False), ("packbits", None, False), ("deflate", (16, 64), True), ("deflate", None, True),
+    ("lzw", None, False), ("deflate", (64, 32), False), ("none", (16, 16), False), ("deflate", None, False),
+)
+
+
 def text_to_tiff(data: bytes) -> bytes:
     """The text, padded with bytes 0 to a positive multiple of 64, as pages of 64
-    columns; deflate strips with a horizontal predictor."""
+    columns; strips or tiles in one of ``WAYS``, LZW and deflate with a horizontal predictor."""
     padded = data + b"\0" * (-len(data) % _COLUMNS or (0 if data else _COLUMNS))
     image = np.frombuffer(padded, np.uint8).reshape(-1, _COLUMNS)
-    return write_tiff([image[at : at + _PAGE_ROWS] for at in range(0, len(image), _PAGE_ROWS)])
+    compression, tile, big_endian = WAYS[zlib.crc32(data) % len(WAYS)]
+    return write_tiff([image[at : at + _PAGE_ROWS] for at in range(0, len(image), _PAGE_ROWS)], compression, tile=tile, big_endian=big_endian)
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -385,6 +385,72 @@ def test_tiff_pages_and_text_media(spark, docs):
     assert got == sorted(want, key=repr)
 
 
+def brute_media(text):
+    """Features of the padded bytes, counted one by one; the stored form only by its size and digest."""
+    import json
+    import math
+    from collections import Counter
+
+    data = (text or "").encode()
+    padded = data + b"\0" * (64 if not data else -len(data) % 64)
+    counts = Counter(padded)
+    mean = sum(b * c for b, c in counts.items()) / len(padded)
+    deviation = math.sqrt(max(0.0, sum(b * b * c for b, c in counts.items()) / len(padded) - mean * mean))
+    entropy = -sum(c / len(padded) * math.log2(c / len(padded)) for c in counts.values())
+    media = tiff.text_to_tiff(data)
+    assert b"".join(p.samples for p in tiff.read_pages(media)) == padded
+    return json.loads(json.dumps({"mean": mean, "deviation": deviation, "entropy": entropy, "levels": len(counts)})), len(media), hashlib.sha256(media).hexdigest()
+
+
+def test_media_columns_match_brute_force(spark, docs):
+    import json
+
+    table = Q.table(spark, SF, "documents")
+    long = spark.createDataFrame([(1, "y" * 70_000 * 64 + "end")], "doc_id bigint, text string")
+    texts = [r["text"] for df in (docs, table, long) for r in df.collect()]
+    assert {zlib.crc32((t or "").encode()) % len(tiff.WAYS) for t in texts} == set(range(len(tiff.WAYS)))
+    for df in (docs, table, long):
+        want = {r["text"]: brute_media(r["text"]) for r in df.collect()}
+        for r in tiff.text_media(df).join(df.withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i"))).dropDuplicates(["media_sha256", "text"]).collect():
+            if (r["doc_id"], r["text"]) in {(x["doc_id"], x["text"]) for x in df.collect()} and hashlib.sha256(tiff.text_to_tiff((r["text"] or "").encode())).hexdigest() == r["media_sha256"]:
+                features, size, digest = want[r["text"]]
+                got = json.loads(r["feature"])
+                assert (r["media_bytes"], r["media_sha256"]) == (size, digest) and got.keys() == features.keys()
+                assert all(abs(got[k] - features[k]) < 1e-3 for k in got)
+        assert sorted(r["media_sha256"] for r in tiff.text_media(df).collect()) == sorted(brute_media(r["text"])[2] for r in df.collect())
+    assert tiff.text_media(docs.limit(0)).count() == 0
+
+
+def test_malformed_tiffs_give_error_rows(spark):
+    import struct
+
+    page = np.arange(200, dtype=np.uint8).reshape(20, 10)
+
+    def patched(data, tag, value):
+        at = struct.unpack_from("<I", data, 4)[0]
+        for k in range(struct.unpack_from("<H", data, at)[0]):
+            spot = at + 2 + 12 * k
+            if struct.unpack_from("<H", data, spot)[0] == tag:
+                return data[: spot + 8] + struct.pack("<I", value) + data[spot + 12 :]
+        raise KeyError(tag)
+
+    strips, tiles = tiff.write_tiff([page], rows_per_strip=5), tiff.write_tiff([page], tile=(16, 16))
+    bad = [patched(tiles, tiff.TILE_WIDTH, 0), patched(tiles, tiff.TILE_HEIGHT, 0), patched(strips, tiff.ROWS_PER_STRIP, 0), patched(strips, tiff.HEIGHT, 50), patched(strips, tiff.HEIGHT, 2**32 - 1),
+           patched(strips, tiff.WIDTH, 2**32 - 1), patched(tiles, tiff.TILE_WIDTH, 2**31), patched(strips, tiff.STRIP_OFFSETS, 2**31), patched(tiles, tiff.TILE_COUNTS, 2), patched(strips, tiff.SAMPLES, 9)]
+    bad.append(patched(tiff.write_tiff([np.zeros((4, 4, 3), np.uint8)]), tiff.PHOTOMETRIC, 2).replace(struct.pack("<HHI", 262, 3, 1), struct.pack("<HHI", 284, 3, 1)))
+    got = tiff.tiff_pages(spark.createDataFrame(list(enumerate(bad)), "doc_id int, media binary")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(bad))) and all(r["error"] and r["samples"] is None for r in got)
+    rng = random.Random(8)
+    for _ in range(3000):
+        data = bytearray(rng.choice([strips, tiles, tiff.write_tiff([page], "lzw"), tiff.write_tiff([page], "packbits")]))
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        try:
+            assert all(len(p.samples) == p.width * p.height * p.samples_per_pixel for p in tiff.read_pages(bytes(data[: rng.choice([len(data), rng.randrange(len(data))])])))
+        except ValueError:
+            pass
+
+
 def auc(scores, labels):
     order = np.argsort(np.argsort(scores, kind="stable"), kind="stable") + 1
     y = np.array(labels) == 1
