@@ -14,8 +14,9 @@ Defined cases: a null payload counts as empty; of records with equal payloads of
 least ``min_revisit_bytes`` bytes the one with the smallest id is a response and the
 others revisit it (rows with that same id all are responses; null ids revisit, or are
 responses if no other id has the payload); null URLs leave the header out; control
-characters in URLs are percent-encoded; an empty table gives no archive and no row;
-other columns are ignored.
+characters in URLs are percent-encoded; a very long payload is one record, held whole by
+its task; repeated rows have a record each; an empty table gives no archive and no row;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_path, text_bytes, written
+from .shared import drop_path, shared_path, table_bytes, text_bytes, written
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _URN = "urn:x-row:"
@@ -125,13 +126,21 @@ def inflate_records(source) -> Iterator[bytes]:
         raise ValueError("the last WARC record is cut short")
 
 
+#: Bytes of the table of repeated digests up to which it is broadcast; beyond, it is joined
+#: by a shuffle.
+_BROADCAST_BYTES = 32 << 20
+
+
 def classified(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """``(id, url, payload, refers_to, revisit)``: who is a response, who revisits whom."""
+    """``(id, url, payload, refers_to, revisit)``: who is a response, who revisits whom.
+    Digests and ids are grouped by a shuffle; payloads stay where they are read unless
+    the digests that occur more than once fill over ``_BROADCAST_BYTES``."""
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_bytes(payload_col).alias("payload"))
-    rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= min_revisit_bytes, F.sha1("payload")).otherwise(F.concat(F.lit("small-"), F.xxhash64("id").cast("string"))))
-    # Only payloads that occur more than once have to be met by key.
-    several = rows.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("sha", "first")
-    met = rows.join(several, "sha", "left")
+    # A null digest meets no other.
+    rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= min_revisit_bytes, F.unhex(F.sha1("payload"))))
+    several = rows.filter("sha IS NOT NULL").groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("sha", "first")
+    several = written(several, "digests")
+    met = rows.join(F.broadcast(several) if table_bytes(several) <= _BROADCAST_BYTES else several, "sha", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return met.select("id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -250,6 +259,7 @@ def archive_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "u
     id_type = df.schema[id_col].dataType.simpleString()
     archives = write_archives(classified(df, id_col, url_col, payload_col, min_revisit_bytes), raw)
     index = normalise(archives, raw, whole)
+    drop_path(spark, raw)
     bare = lambda c: F.nullif(F.expr(f"substring({c}, {len(_URN) + 1})"), F.lit("null")).cast(id_type)
     read = read_records(index, whole)
     return read.select(bare("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", bare("refers_to").alias("refers_to"), "target_uri", "digest_ok")
