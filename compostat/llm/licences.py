@@ -15,9 +15,10 @@ All of it is DataFrame operations: sentences meet the known ones in a broadcast
 sentences are ever shuffled.
 
 Defined cases: null and empty texts have no sentence and no licence; repeated
-sentences count each time; a licence found twice is named once; rows with the same id
-have one row each and equal rows equal results; empty tables give empty tables; other
-columns are ignored.
+sentences count each time; a licence found twice is named once; of identifiers that share
+a sentence the first in the table counts, of rules that fit the first; rows with the same
+id have one row each and equal rows equal results; very long texts are scanned in blocks of
+lines; empty tables give empty tables; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +31,40 @@ from pyspark.sql import functions as F
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_SENTENCES = 100_000
+#: Lines exploded together.
+_BLOCK = 64
 
 # Normalised sentences of public licence texts, and statements of licence.
 SENTENCES: tuple[tuple[str, str], ...] = (
     ("mit_grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mit_notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit_as_is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit_liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit_name", "released under the mit license"),
     ("mit_name", "licensed under the mit license"),
     ("apache2_name", "licensed under the apache license version 2 0"),
     ("apache2_name", "licensed under the apache license version 2 0 the license"),
     ("apache2_comply", "you may not use this file except in compliance with the license"),
     ("apache2_copy", "you may obtain a copy of the license at"),
+    ("apache2_basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache2_see", "see the license for the specific language governing permissions and limitations under the license"),
+    ("mpl2_subject", "this source code form is subject to the terms of the mozilla public license v"),
+    ("mpl2_copy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mpl2_copy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("mpl2_name", "licensed under the mozilla public license version 2 0"),
+    ("lgpl21_free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl3_free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl_hope", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("lgpl_copy", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl3_free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl_copy", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("isc_grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc_grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc_as_is", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("zero_bsd_grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense_free", "this is free and unencumbered software released into the public domain"),
+    ("zlib_as_is", "this software is provided as is without any express or implied warranty"),
+    ("zlib_grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
     ("gpl_free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl2_free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("gpl_hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
@@ -52,6 +75,10 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("bsd_source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd_binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd_endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd_as_is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("cc_by4_name", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc_by_sa4_name", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc_by_nc4_name", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc_by_nc4_name", "licensed under cc by nc 4 0"),
     ("cc_by4_name", "licensed under cc by 4 0"),
     ("cc_by_sa4_name", "licensed under cc by sa 4 0"),
@@ -61,21 +88,54 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("spdx_mit", "spdx license identifier mit"),
     ("spdx_apache2", "spdx license identifier apache 2 0"),
     ("spdx_gpl3", "spdx license identifier gpl 3 0 or later"),
+    ("spdx_gpl3_only", "spdx license identifier gpl 3 0 only"),
+    ("spdx_gpl2", "spdx license identifier gpl 2 0 or later"),
+    ("spdx_gpl2_only", "spdx license identifier gpl 2 0 only"),
+    ("spdx_lgpl21", "spdx license identifier lgpl 2 1 or later"),
+    ("spdx_lgpl3", "spdx license identifier lgpl 3 0 or later"),
+    ("spdx_agpl3", "spdx license identifier agpl 3 0 or later"),
+    ("spdx_mpl2", "spdx license identifier mpl 2 0"),
+    ("spdx_bsd2", "spdx license identifier bsd 2 clause"),
+    ("spdx_bsd3", "spdx license identifier bsd 3 clause"),
+    ("spdx_isc", "spdx license identifier isc"),
+    ("spdx_cc0", "spdx license identifier cc0 1 0"),
+    ("spdx_unlicense", "spdx license identifier unlicense"),
 )
 
 #: Ordered rules: (licence, sequence of sentence identifiers).
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is")),
     ("MIT", ("mit_grant", "mit_notice")),
+    ("Apache-2.0", ("apache2_name", "apache2_comply", "apache2_copy", "apache2_basis", "apache2_see")),
+    ("Apache-2.0", ("apache2_name", "apache2_comply", "apache2_copy", "apache2_basis")),
     ("Apache-2.0", ("apache2_name", "apache2_comply", "apache2_copy")),
+    ("MPL-2.0", ("mpl2_subject", "mpl2_copy")),
     ("GPL-3.0-or-later", ("gpl_free", "gpl_hope", "gpl_copy")),
     ("GPL-3.0-or-later", ("gpl_free",)),
     ("GPL-2.0-or-later", ("gpl2_free", "gpl_hope", "gpl_copy")),
     ("GPL-2.0-or-later", ("gpl2_free",)),
+    ("LGPL-2.1-or-later", ("lgpl21_free", "lgpl_hope", "lgpl_copy")),
+    ("LGPL-2.1-or-later", ("lgpl21_free", "lgpl_hope")),
+    ("LGPL-2.1-or-later", ("lgpl21_free",)),
+    ("LGPL-3.0-or-later", ("lgpl3_free", "lgpl_hope", "lgpl_copy")),
+    ("LGPL-3.0-or-later", ("lgpl3_free", "lgpl_hope")),
+    ("LGPL-3.0-or-later", ("lgpl3_free",)),
+    ("AGPL-3.0-or-later", ("agpl3_free", "gpl_hope", "agpl_copy")),
+    ("AGPL-3.0-or-later", ("agpl3_free", "gpl_hope")),
+    ("AGPL-3.0-or-later", ("agpl3_free",)),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
+    ("ISC", ("isc_grant", "isc_as_is")),
+    ("ISC", ("isc_grant",)),
+    ("0BSD", ("zero_bsd_grant", "isc_as_is")),
+    ("Zlib", ("zlib_as_is", "zlib_grant")),
+    ("Unlicense", ("unlicense_free",)),
     ("MIT", ("mit_name",)),
     ("Apache-2.0", ("apache2_name",)),
+    ("MPL-2.0", ("mpl2_name",)),
     ("GPL-3.0-only", ("gpl3_name",)),
     ("CC-BY-NC-4.0", ("cc_by_nc4_name",)),
     ("CC-BY-4.0", ("cc_by4_name",)),
@@ -85,6 +145,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("spdx_mit",)),
     ("Apache-2.0", ("spdx_apache2",)),
     ("GPL-3.0-or-later", ("spdx_gpl3",)),
+    ("GPL-3.0-only", ("spdx_gpl3_only",)),
+    ("GPL-2.0-or-later", ("spdx_gpl2",)),
+    ("GPL-2.0-only", ("spdx_gpl2_only",)),
+    ("LGPL-2.1-or-later", ("spdx_lgpl21",)),
+    ("LGPL-3.0-or-later", ("spdx_lgpl3",)),
+    ("AGPL-3.0-or-later", ("spdx_agpl3",)),
+    ("MPL-2.0", ("spdx_mpl2",)),
+    ("BSD-2-Clause", ("spdx_bsd2",)),
+    ("BSD-3-Clause", ("spdx_bsd3",)),
+    ("ISC", ("spdx_isc",)),
+    ("CC0-1.0", ("spdx_cc0",)),
+    ("Unlicense", ("spdx_unlicense",)),
     ("all rights reserved", ("reserved",)),
 )
 
@@ -109,13 +181,18 @@ def scan(
     text order and licences in rule order, joined by commas."""
     if len(known) > MAX_SENTENCES:
         raise ValueError(f"over {MAX_SENTENCES} known sentences")
+    # Of identifiers that share a sentence the first in the table counts.
+    known = [(i, s) for s, i in {s: i for i, s in reversed(known)}.items()]
     words = max((len(s.split(" ")) for _, s in known), default=1)
-    table = F.broadcast(df.sparkSession.createDataFrame(list(known), "__sid string, __key string").dropDuplicates(["__key"]))
+    table = F.broadcast(df.sparkSession.createDataFrame(list(known), "__sid string, __key string"))
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__row", F.xxhash64("__id", "__text"))
     # A known sentence starts at a line that is one or starts one: all starts are in a broadcast join.
     starts = table.select(F.split("__key", " ").alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.xxhash64(F.array_join(F.slice("w", 1, n), " ")))).alias("__hash")).distinct()
-    cut = rows.select("__id", "__row", sentences(F.col("__text")).alias("__all")).select("__id", "__row", "__all", F.posexplode("__all").alias("__pos", "__s"))
-    begun = cut.withColumn("__hash", F.xxhash64(normalised(F.col("__s")))).join(F.broadcast(starts), "__hash").select("__id", "__row", "__pos", F.slice("__all", F.col("__pos") + 1, words).alias("__next"))
+    # Lines are exploded block by block, so that each carries a block of lines and not its text.
+    cut = rows.select("__id", "__row", sentences(F.col("__text")).alias("__all"))
+    blocks = F.transform(F.sequence(F.lit(0), F.size("__all") - 1, F.lit(_BLOCK)), lambda at: F.struct(at.alias("at"), F.slice("__all", at + 1, _BLOCK + words).alias("lines")))
+    cut = cut.select("__id", "__row", F.explode(blocks).alias("__b")).select("__id", "__row", "__b", F.posexplode(F.slice("__b.lines", 1, _BLOCK)).alias("__in", "__s"))
+    begun = cut.withColumn("__hash", F.xxhash64(normalised(F.col("__s")))).join(F.broadcast(starts), "__hash").select("__id", "__row", (F.col("__b.at") + F.col("__in")).alias("__pos"), F.slice("__b.lines", F.col("__in") + 1, words).alias("__next"))
     # Lines from there to the first that ends a sentence or comes before a blank one.
     ends = F.array_position(F.transform("__next", lambda x: F.right(x, F.lit(1)).isin(".", "!", "?")), True)
     blank = F.array_position(F.transform("__next", lambda x: normalised(x) == ""), True)

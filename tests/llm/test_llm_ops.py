@@ -188,9 +188,13 @@ def test_licence_scan_finds_wrapped_texts(spark):
         (8, 'Licensed under the Apache License, Version 2.0\n(the "License");\nyou may not use this file except in\ncompliance with the License.\nYou may obtain a copy\nof the License at'),
         (9, "Licensed under the\n\nMIT License"),
         (10, "Licensed under the MIT.\nLicense"),
+        (11, "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"),
+        (12, "\n#\n".join(para(i, "# ") for i in ("lgpl21_free", "lgpl_hope", "lgpl_copy"))),
+        (13, "filler line\n" * 500 + "\n\n".join(para(i) for i in ("isc_grant", "isc_as_is")) + "\nfiller line" * 500),
+        (14, para(bsd[0])[:-1] + ":\n\n" + "\n\n".join(para(i) for i in (*bsd[1:], "bsd_as_is"))),
     ]
     got = {r["doc_id"]: (r["licenses"], r["n_known"], r["n_unmatched"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    want = {1: ("MIT", 3, 0), 2: ("MIT", 3, 0), 3: ("BSD-2-Clause", 3, 0), 4: ("BSD-3-Clause", 4, 0), 5: ("GPL-3.0-or-later", 3, 0), 6: ("GPL-2.0-or-later", 3, 0), 7: ("MIT,all rights reserved", 2, 0), 8: ("Apache-2.0", 3, 0), 9: ("", 0, 0), 10: ("", 0, 0)}
+    want = {1: ("MIT", 3, 0), 2: ("MIT", 3, 0), 3: ("BSD-2-Clause", 3, 0), 4: ("BSD-3-Clause", 4, 0), 5: ("GPL-3.0-or-later", 3, 0), 6: ("GPL-2.0-or-later", 3, 0), 7: ("MIT,all rights reserved", 2, 0), 8: ("Apache-2.0", 3, 0), 9: ("", 0, 0), 10: ("", 0, 0), 11: ("MPL-2.0", 2, 0), 12: ("LGPL-2.1-or-later", 3, 0), 13: ("ISC", 2, 0), 14: ("BSD-3-Clause", 5, 0)}
     assert got == want
 
 
@@ -295,9 +299,13 @@ def test_slices_keep_hits_across_cuts(monkeypatch):
     assert n == 35 and items == {"1"} and decontam._covered(spans) == 30
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_warc_round_trip(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(warc, "_BROADCAST_BYTES", 0)
     rows = [(1, "http://a/", "same"), (2, "http://b/ c\n", "same"), (3, None, None), (4, "http://d/", ""), (5, "u", "é" * 9000), (5, "u", "é" * 9000), (None, "n", "same"), (9, "z", "\r\n\r\nContent-Length: 3\r\n\r\n")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    rows = [(*r, b"clash") for r in rows]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, sha binary")
     got = warc.archive_round_trip(df).collect()
     assert all(r["digest_ok"] for r in got)
     want = [(1, 4, "response", None), (2, 4, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 18000, "response", None), (5, 18000, "response", None), (None, 4, "revisit", 1), (9, 25, "response", None)]
