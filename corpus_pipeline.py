@@ -6,6 +6,20 @@ DataFrame that is written as Parquet and read again as the next one's ``docs``.
 but the last return the columns of ``documents``.  A stage that joins texts with its
 decisions gives no more partitions than it read, so that filtering a small table
 doesn't leave a file for every shuffle partition.
+
+Defined cases, in every stage: columns beyond those of ``documents`` are left out, whatever
+their names; an empty table gives an empty one; repeated rows stay repeated unless a line
+above says otherwise; very long texts are handled whole.  By stage:
+
+* language ID: null texts, texts without a letter and texts whose margin is below the
+  calibrated one go; a null language isn't learned from, and ``lang`` isn't changed.
+* line dedup: a null or empty text becomes an empty one; ``n_chars`` follows the text.
+* near-dedup: texts without a word have fingerprint 0 and are one group; decisions go by
+  id, so rows that share an id stay or go together, and rows without an id stay only where
+  no row of their group has one.
+* benchmark decontamination: decides by id too: where rows share an id (or have none), one
+  contaminated row takes the others along.
+* byte-level BPE: a null or empty text has no token.
 """
 
 from __future__ import annotations
@@ -19,9 +33,6 @@ from compostat.llm.shared import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Per cent of extra bytes that the second-best language must need at least.
-MIN_MARGIN = 0.1
-
 
 def files_of(docs: DataFrame) -> int:
     """Tasks that read a table.  ``docs`` is a plain scan, so this runs no job."""
@@ -29,10 +40,10 @@ def files_of(docs: DataFrame) -> int:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter or with a margin of under
-    ``MIN_MARGIN`` per cent go."""
+    """Documents with a language; those without a letter or with a margin below the one the
+    model was calibrated to go."""
     docs = docs.select(COLUMNS)
-    found = langid.identify(docs, language_model(docs), min_margin=MIN_MARGIN, keep=COLUMNS[1:])
+    found = langid.identify(docs, language_model(docs), keep=COLUMNS[1:])
     return found.filter(~F.col("rejected")).select(COLUMNS)
 
 
