@@ -106,22 +106,12 @@ def log_relative(spark, d):
     return rounded(C.log_relative(V.counts(spark, d))[0], "log_relative")
 
 
-@query(f"""WITH {COUNTS}, {CLR}, grid AS (SELECT sample, taxon, zero_clr FROM zeros CROSS JOIN (SELECT DISTINCT taxon FROM counts WHERE taxon LIKE 'SMALL%') x)
+@query(f"""WITH {COUNTS}, {CLR}, grid AS (SELECT sample, taxon, zero_clr FROM zeros CROSS JOIN (SELECT DISTINCT taxon FROM counts) x)
 SELECT sample, taxon, round(coalesce(clr, zero_clr), 6) + 0.0 AS clr FROM grid LEFT JOIN clr USING (sample, taxon)""")
 def clr_dense(spark, d):
-    return _clr_dense(spark, d, "SMALL%")
-
-
-def _clr_dense(spark, d, like="%"):
     counts = V.counts(spark, d)
     values, zeros, _ = C.clr(counts)
-    taxa = counts.filter(F.col("taxon").like(like)).select("taxon").distinct()
-    return rounded(C.dense(values, zeros, taxa), "clr")
-
-
-@query()
-def clr_dense_all(spark, d):
-    return _clr_dense(spark, d)
+    return rounded(C.dense(values, zeros, counts.select("taxon").distinct()), "clr")
 
 
 @query(f"""WITH {COUNTS}, reads AS (SELECT sample, taxon, unnest(range(1, n + 1)) AS k FROM counts),
@@ -137,14 +127,8 @@ def edge_weights(spark, d):
     return rel.select("sample", "taxon", r6(C.edge_weight(F.col("relative"))).alias("weight"))
 
 
-@query(f"WITH {COUNTS}, w AS (SELECT sample, taxon, n FROM counts WHERE taxon IN ('SMALL.Brand#1', 'LARGE.Brand#2', 'PROMO.Brand#3')) SELECT * FROM w")
+@query(f"WITH {COUNTS} SELECT sample, taxon, n FROM counts")
 def wide_round_trip(spark, d):
-    taxa = ["SMALL.Brand#1", "LARGE.Brand#2", "PROMO.Brand#3"]
-    return N.from_wide(N.to_wide(V.counts(spark, d).filter(F.col("taxon").isin(taxa)), taxa))
-
-
-@query()
-def wide_round_trip_all(spark, d):
     counts = V.counts(spark, d)
     taxa = [r[0] for r in counts.select("taxon").distinct().orderBy("taxon").limit(MAX_WIDE + 1).collect()]
     if len(taxa) > MAX_WIDE:

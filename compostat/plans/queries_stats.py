@@ -38,32 +38,19 @@ def alpha_spearman(spark, d):
     return rounded(B.spearman(df, [("depth", "richness"), ("depth", "shannon")]), "rho")
 
 
-SUB = "sub AS (SELECT sample FROM samples WHERE row_id < 60)"
-
-
-@query(f"""WITH {COUNTS}, {SAMPLES}, {SUB}, rel AS (SELECT sample, taxon, n / CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS p FROM counts WHERE sample IN (SELECT sample FROM sub)),
+@query(f"""WITH {COUNTS}, {SAMPLES}, rel AS (SELECT sample, taxon, n / CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS p FROM counts),
 k AS (SELECT DISTINCT sample FROM rel), m AS (SELECT x.sample AS a, y.sample AS b, sum(least(x.p, y.p)) AS s FROM rel x JOIN rel y USING (taxon) WHERE x.sample < y.sample GROUP BY 1, 2)
-SELECT x.sample AS a, y.sample AS b, round(greatest(0.0, 1 - coalesce(s, 0.0)), 6) AS d FROM k x JOIN k y ON x.sample < y.sample LEFT JOIN m ON m.a = x.sample AND m.b = y.sample""")
+SELECT x.sample AS a, y.sample AS b, round(greatest(0.0, 1 - coalesce(s, 0.0)) + 1e-9, 6) AS d FROM k x JOIN k y ON x.sample < y.sample LEFT JOIN m ON m.a = x.sample AND m.b = y.sample""")
 def bray_curtis(spark, d):
-    sub = V.samples(spark, d).filter("row_id < 60").select("sample")
-    return rounded(B.bray_curtis(C.relative_abundance(N.keep_samples(V.counts(spark, d), sub))), "d")
-
-
-@query()
-def bray_curtis_all(spark, d):
-    return rounded(B.bray_curtis_blocked(C.relative_abundance(V.counts(spark, d))), "d")
+    # Fractions of counts often end in a 5: the smallest bit more rounds such ties one way in all engines.
+    return rounded(B.bray_curtis_blocked(C.relative_abundance(V.counts(spark, d))).withColumn("d", F.col("d") + 1e-9), "d")
 
 
 _DIST = "sqrt(list_sum(list_transform(list_zip(x.vec, y.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
 
-@query(f"WITH {VECTORS} SELECT x.sample AS a, y.sample AS b, round({_DIST}, 6) AS d FROM vectors x JOIN vectors y ON x.sample < y.sample AND y.sample < 80")
+@query(f"WITH {VECTORS} SELECT x.sample AS a, y.sample AS b, round({_DIST}, 6) AS d FROM vectors x JOIN vectors y ON x.sample < y.sample")
 def aitchison(spark, d):
-    return rounded(B.euclidean_pairs(V.vectors(spark, d).filter("sample < 80")), "d")
-
-
-@query()
-def aitchison_all(spark, d):
     return rounded(B.euclidean_pairs(V.vectors(spark, d)), "d")
 
 
@@ -83,21 +70,13 @@ def permanova_r2(spark, d):
     return rounded(B.permanova(V.vectors(spark, d).withColumn("seventh", F.col("sample") % 7), ["project", "seventh"]), "pseudo_f", "r2")
 
 
-@query(f"""WITH {COUNTS}, {SAMPLES}, {SUB}, rel AS (SELECT sample, taxon, n / CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS p FROM counts WHERE sample IN (SELECT sample FROM sub)),
+@query(f"""WITH {COUNTS}, {SAMPLES}, rel AS (SELECT sample, taxon, n / CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS p FROM counts),
 k AS (SELECT DISTINCT sample, project FROM rel JOIN samples USING (sample)), m AS (SELECT x.sample AS a, y.sample AS b, sum(least(x.p, y.p)) AS s FROM rel x JOIN rel y USING (taxon) WHERE x.sample < y.sample GROUP BY 1, 2),
 d AS (SELECT x.project AS pa, y.project AS pb, greatest(0.0, 1 - coalesce(s, 0.0)) AS d FROM k x JOIN k y ON x.sample < y.sample LEFT JOIN m ON m.a = x.sample AND m.b = y.sample),
 z AS (SELECT project, count(*) AS m FROM k GROUP BY 1), n AS (SELECT sum(m) AS n, count(*) AS g FROM z),
 w AS (SELECT sum(s / m) AS ssw FROM (SELECT pa AS project, sum(d * d) AS s FROM d WHERE pa = pb GROUP BY 1) JOIN z USING (project)), t AS (SELECT sum(d * d) AS s FROM d)
 SELECT 'project' AS factor, CAST(n AS BIGINT) AS n, g AS n_groups, round(((s / n - ssw) / (g - 1)) / (ssw / (n - g)), 6) AS pseudo_f, round((s / n - ssw) / (s / n), 6) AS r2 FROM w, t, n""")
 def permanova_bray(spark, d):
-    sub = V.samples(spark, d).filter("row_id < 60").select("sample", "project")
-    rel = C.relative_abundance(N.keep_samples(V.counts(spark, d), sub))
-    groups = sub.join(rel.select("sample").distinct(), "sample", "left_semi")
-    return rounded(B.permanova_pairs(B.bray_curtis(rel), groups, "project"), "pseudo_f", "r2")
-
-
-@query()
-def permanova_bray_all(spark, d):
     return rounded(B.permanova_bray(C.relative_abundance(V.counts(spark, d)), V.samples(spark, d), "project"), "pseudo_f", "r2")
 
 
@@ -197,32 +176,19 @@ def meta_with_fdr(spark, d):
     return D.meta_analysis(_contrasts(spark, d))
 
 
-#: The taxa of the queries whose SQL says so; all other queries take every taxon.
-_SOME = "SMALL.Brand#1%"
-
-
-def _cells(spark, d, like="%"):
+def _cells(spark, d):
     counts, values, zeros = _clr(spark, d)
-    taxa = counts.filter(F.col("taxon").like(like)).select("taxon").distinct()
-    return C.dense(values, zeros, taxa).withColumnRenamed("clr", "v").join(V.frame(spark, d), "sample")
+    return C.dense(values, zeros, counts.select("taxon").distinct()).withColumnRenamed("clr", "v").join(V.frame(spark, d), "sample")
 
 
-@query(f"""WITH {_DENSE}, r AS (SELECT disease_category, project, taxon, y, v, {_rank_sql('v', 'disease_category, project, taxon')} AS r, count(*) OVER (PARTITION BY disease_category, project, taxon, v) AS t FROM (SELECT * REPLACE (round(v, 9) AS v) FROM dense WHERE taxon LIKE 'SMALL.Brand#1%')),
+@query(f"""WITH {_DENSE}, r AS (SELECT disease_category, project, taxon, y, v, {_rank_sql('v', 'disease_category, project, taxon')} AS r, count(*) OVER (PARTITION BY disease_category, project, taxon, v) AS t FROM (SELECT * REPLACE (round(v, 9) AS v) FROM dense)),
 g AS (SELECT disease_category, project, taxon, count(*) FILTER (WHERE y = 1) AS n_case, count(*) FILTER (WHERE y = 0) AS n_control, sum(r) FILTER (WHERE y = 1) AS r1, CAST(sum(t * t - 1) AS DOUBLE) AS ties, min(v) < max(v) AS varies FROM r GROUP BY 1, 2, 3)
 SELECT disease_category, project, taxon, n_case, n_control, CASE WHEN ok THEN u END AS u, round(CASE WHEN ok THEN 2 * u / (n_case * n_control) - 1 END, 6) + 0.0 AS rank_biserial, ties FROM (SELECT *, r1 - n_case * (n_case + 1) / 2.0 AS u, n_case >= 3 AND n_control >= 3 AND varies AS ok FROM g)""")
 def wilcoxon_u(spark, d):
-    return _wilcoxon_u(_cells(spark, d, _SOME))
-
-
-def _wilcoxon_u(cells):
+    cells = _cells(spark, d)
     return rounded(D.rank_sums(cells.withColumn("v", F.round("v", 9))), "rank_biserial")
 
 
-@query()
-def wilcoxon_u_all(spark, d):
-    return _wilcoxon_u(_cells(spark, d))
-
-
 @query()
 def wilcoxon_p(spark, d):
     return D.with_rank_p(D.rank_sums(_cells(spark, d)))
@@ -242,7 +208,7 @@ def bh_fdr(spark, d):
     return rounded(D.bh_fdr(p, by=["block"]), "q").withColumn("p", F.round("p", 9))
 
 
-_COMBAT = f"""{_DENSE}, x AS (SELECT disease_category, taxon, project, sample, y, v FROM dense WHERE taxon LIKE 'SMALL.Brand#1%'),
+_COMBAT = f"""{_DENSE}, x AS (SELECT disease_category, taxon, project, sample, y, v FROM dense),
 a1 AS (SELECT *, avg(v) OVER b AS mv, avg(CAST(y AS DOUBLE)) OVER b AS my FROM x WINDOW b AS (PARTITION BY disease_category, taxon, project)),
 a2 AS (SELECT *, coalesce(sum((y - my) * v) OVER c / nullif(sum((y - my) * (y - my)) OVER c, 0), 0) AS b FROM a1 WINDOW c AS (PARTITION BY disease_category, taxon)),
 a3 AS (SELECT *, mv - b * my AS a FROM a2), a4 AS (SELECT *, avg(a) OVER (PARTITION BY disease_category, taxon) AS grand, v - a - b * y AS res FROM a3),
@@ -253,18 +219,10 @@ combat AS (SELECT disease_category, taxon, project, sample, y, v, (z - gamma) /
 
 @query(f"WITH {_COMBAT} SELECT disease_category, taxon, project, sample, y, round(adjusted, 5) + 0.0 AS adjusted FROM combat")
 def combat_ls(spark, d):
-    return _combat_ls(_cells(spark, d, _SOME))
-
-
-def _combat_ls(cells):
+    cells = _cells(spark, d)
     return D.combat(cells, eb=False).select("disease_category", "taxon", "project", "sample", "y", (F.round("adjusted", 5) + 0.0).alias("adjusted"))
 
 
-@query()
-def combat_ls_all(spark, d):
-    return _combat_ls(_cells(spark, d))
-
-
 @query()
 def combat_eb(spark, d):
     return D.combat(_cells(spark, d))
@@ -274,19 +232,11 @@ def combat_eb(spark, d):
 s AS (SELECT *, sqrt((n1 * v1 + n0 * v0) / (n1 + n0 - 2) * (1.0 / n1 + 1.0 / n0)) AS se FROM m)
 SELECT disease_category, taxon, n1 AS n_case, n0 AS n_control, k AS k_projects, round(e, 5) + 0.0 AS effect, round(se, 5) AS se, round(e / se, 4) + 0.0 AS stat, CAST(n1 + n0 - 2 AS DOUBLE) AS dof FROM s""")
 def pooled_ols(spark, d):
-    return _pooled_ols(_cells(spark, d, _SOME))
-
-
-def _pooled_ols(cells):
+    cells = _cells(spark, d)
     out = D.pooled_ols(D.combat(cells, eb=False), with_p=False)
     return out.withColumns({"effect": F.round("effect", 5) + 0.0, "se": F.round("se", 5), "stat": F.round("stat", 4) + 0.0})
 
 
-@query()
-def pooled_ols_all(spark, d):
-    return _pooled_ols(_cells(spark, d))
-
-
 @query()
 def mixedlm(spark, d):
     return D.mixed_model(_cells(spark, d))
