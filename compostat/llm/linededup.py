@@ -38,7 +38,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_path, settings, shared_path, table_bytes
+from .shared import drop_path, files_for, settings, shared_path
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -55,13 +55,6 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _UPPER.lower()))
 
 
-def files_for(df: DataFrame, file_bytes: int = 32 << 20) -> int:
-    """A file for every 32 MB of text, at least 8; where Spark doesn't know the size of
-    ``df``, as many as it has partitions."""
-    size = table_bytes(df)
-    return max(8, -(-size // file_bytes)) if size < 1 << 60 else df.rdd.getNumPartitions()
-
-
 class LineRuns:
     """The levelled runs; each is a table bucketed and sorted by hash."""
 

@@ -3,7 +3,8 @@
 Old shards have sizes, new shards have capacities.  A flow network (old shard ->
 new shard, cost 0 for bytes that stay, 1 for bytes that move, or any cost matrix) is
 solved for the block transfers that move the fewest bytes; then the files of the
-shards that lose or gain rows are rewritten.
+shards that lose or gain rows are rewritten.  The files of other shards are neither read
+nor written: the new layout names them where they lie.
 
 Rows of an old shard are ordered by a 64-bit row hash and counted in ``2**hist_bits``
 equal hash ranges, so what comes back to the driver is of fixed size.  A transfer is
@@ -13,8 +14,10 @@ of its old shard and hash, computed where the row lies, and texts move once, int
 rewritten files.
 
 Defined cases: a null text has no byte (size 1, CRC of nothing); null, repeated and
-tied ids are ordered by hash of id and text, equal rows stay together; an empty table
-gives an empty one; other columns are rewritten with their row.
+tied ids are ordered by hash of id and text, equal rows stay together; a very long text is
+a row like any other, so the shards at whose bounds it lies differ by its size at most; an
+empty table gives an empty one; other columns are rewritten with their row by ``rewrite``
+and left out of ``documents_to_shards``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_path, text_bytes, written
+from .shared import files_for, shared_path, text_bytes
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -155,6 +158,14 @@ def plan_transfers(rows: DataFrame, old_shards: int, capacities: list[int] | Non
     return Plan(whole, moved, total, flow)
 
 
+def layout(df: DataFrame, old_shards: int, old_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with ``__old``, ``__size``, ``__crc`` and ``__place``.  Without ``old_col`` rows
+    lie in old shards by CRC-32 of their id."""
+    text = text_bytes(text_col)
+    old = F.col(old_col).cast("int") if old_col else (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % old_shards).cast("int")
+    return df.withColumns({"__old": old, "__size": F.octet_length(text).cast("bigint") + 1, "__crc": F.crc32(text), "__place": _mixed(F.col(id_col), F.col(text_col))})
+
+
 def reshard(
     df: DataFrame,
     new_shards: int = 16,
@@ -166,23 +177,31 @@ def reshard(
     hist_bits: int = 12,
 ) -> tuple[DataFrame, Plan]:
     """``df`` with ``__old``, ``__place``, ``__size``, ``__crc`` and ``__shard``, and
-    the plan.  Without ``old_col`` rows lie in old shards by CRC-32 of their id."""
-    text = text_bytes(text_col)
-    old = F.col(old_col).cast("int") if old_col else (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % old_shards).cast("int")
-    rows = df.withColumns({"__old": old, "__size": F.octet_length(text).cast("bigint") + 1, "__crc": F.crc32(text), "__place": _mixed(F.col(id_col), F.col(text_col))})
+    the plan."""
+    rows = layout(df, old_shards, old_col, id_col, text_col)
     plan = plan_transfers(rows.select("__old", "__place", "__size"), old_shards, capacities, new_shards, hist_bits)
     return rows.withColumn("__shard", plan.shard_of("__old", "__place")), plan
 
 
-def rewrite(rows: DataFrame, plan: Plan, folder: str, old_shards: int, new_shards: int) -> DataFrame:
-    """Write the files of all affected shards, one folder each; returns their rows as
-    read back.  Untouched shards keep their files."""
+def write_layout(rows: DataFrame, folder: str, by: str, shard_col: str) -> None:
+    """A folder for each shard: ``by`` is its number.  A task takes about half a gigabyte, so
+    that the file it writes for each shard isn't small."""
+    rows.coalesce(files_for(rows, 512 << 20)).withColumn(shard_col, F.col(by)).write.partitionBy(shard_col).parquet(folder)
+
+
+def rewrite(old: DataFrame, plan: Plan, folder: str, old_shards: int, new_shards: int) -> DataFrame:
+    """Write the files of all shards that lose or gain rows, a folder each; returns the rows
+    of the new layout as read from its files.  ``old`` reads the old layout and has
+    ``__shard`` (the row's new shard); of untouched shards its own files are read."""
     changed = plan.affected(old_shards, new_shards)
-    moved = rows.filter(F.col("__shard").isin(changed)) if len(changed) < new_shards else rows
-    moved.write.partitionBy("__shard").parquet(folder)
-    schema = rows.schema
-    back = rows.sparkSession.read.schema(schema).parquet(folder) if plan.total_bytes else rows
-    return back.select(rows.columns)
+    sources = [i for i in range(old_shards) if any(plan.flow[i][j] for j in changed)]
+    if not changed or not sources:
+        return old
+    # Only folders of shards that give rows to a rewritten one are read.
+    write_layout(old.filter(F.col("__old").isin(sources) & F.col("__shard").isin(changed)), folder, "__shard", "__folder")
+    back = old.sparkSession.read.schema(old.schema).parquet(folder).select(old.columns)
+    same = [j for j in range(min(old_shards, new_shards)) if j not in changed]
+    return back.unionByName(old.filter(F.col("__old").isin(same))) if same else back
 
 
 def with_slots(rows: DataFrame, shard_col: str = "__shard", hist_bits: int = 12) -> DataFrame:
@@ -200,17 +219,17 @@ def with_slots(rows: DataFrame, shard_col: str = "__shard", hist_bits: int = 12)
 
 
 def documents_to_shards(df: DataFrame, new_shards: int = 16, old_shards: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Reshard, rewrite the affected files in the shared folder, and list all rows:
-    ``(id, size, text_crc32, law, shard, slot, grown_shard, moved)``; law ``bytes``."""
+    """Write the old layout (``old_shards`` folders by a checksum of the id) to the shared
+    folder, reshard it, rewrite the affected files, and list all rows: ``(id, size,
+    text_crc32, law, shard, slot, grown_shard, moved)``; law ``bytes``."""
     spark = df.sparkSession
-    rows, plan = reshard(df, new_shards, old_shards, None, None, id_col, text_col)
-    changed = plan.affected(old_shards, new_shards)
-    back = rewrite(rows, plan, shared_path(spark, "shards"), old_shards, new_shards)
-    same = rows.filter(~F.col("__shard").isin(changed))
-    narrow = [F.col(id_col), *map(F.col, ("__old", "__place", "__size", "__crc", "__shard"))]
-    listed = back.select(narrow) if len(changed) == new_shards else back.select(narrow).unionByName(same.select(narrow))
-    placed = with_slots(listed)
+    before = shared_path(spark, "shards-before")
+    laid = layout(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), old_shards, None, "__id", "__text")
+    write_layout(laid, before, "__old", "__folder")
+    old = spark.read.schema(laid.schema).parquet(before)
+    plan = plan_transfers(old.select("__old", "__place", "__size"), old_shards, None, new_shards)
+    placed = with_slots(rewrite(old.withColumn("__shard", plan.shard_of("__old", "__place")), plan, shared_path(spark, "shards"), old_shards, new_shards).drop("__text"))
     return placed.select(
-        id_col, F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").cast("int").alias("shard"),
+        F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").cast("int").alias("shard"),
         F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), (F.col("__shard") != F.col("__old")).alias("moved"),
-    )
+    )

@@ -90,6 +90,13 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def files_for(df: DataFrame, file_bytes: int = 32 << 20) -> int:
+    """A file for every ``file_bytes`` of the table, at least 8; where Spark doesn't know the
+    size of ``df``, as many as it has partitions."""
+    size = table_bytes(df)
+    return max(8, -(-size // file_bytes)) if size < 1 << 60 else df.rdd.getNumPartitions()
+
+
 def text_bytes(col: str):
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")

@@ -354,11 +354,26 @@ def test_resharding(spark, docs):
     assert sharding.documents_to_shards(docs.limit(0)).count() == 0
 
 
-def test_resharding_leaves_unaffected_shards(spark):
-    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), (F.col("id") % 3).cast("int").alias("at"))
-    rows, plan = sharding.reshard(df, 3, 3, "at", [1000, 1500, 500])
+def test_resharding_leaves_unaffected_shards(spark, tmp_path):
+    from pathlib import Path
+
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("x" * 6), F.lpad(F.col("id").cast("string"), 3, "0")).alias("text"), (F.col("id") % 3).cast("int").alias("at"))
+    laid = sharding.layout(df, 3, "at")
+    sharding.write_layout(laid, str(tmp_path / "old"), "__old", "__folder")
+    old = spark.read.schema(laid.schema).parquet(str(tmp_path / "old"))
+    plan = sharding.plan_transfers(old.select("__old", "__place", "__size"), 3, [1000, 1500, 500], 3)
     assert plan.moved_bytes == 500 and plan.affected(3, 3) == [1, 2]
-    assert {r["__shard"]: r["n"] for r in rows.groupBy("__shard").agg(F.sum("__size").alias("n")).collect()} == {0: 1000, 1: 1500, 2: 500}
+    before = {f: f.stat().st_mtime_ns for f in Path(tmp_path / "old").rglob("*.parquet")}
+    new = sharding.rewrite(old.withColumn("__shard", plan.shard_of("__old", "__place")), plan, str(tmp_path / "new"), 3, 3)
+    assert {r["__shard"]: r["n"] for r in new.groupBy("__shard").agg(F.sum("__size").alias("n")).collect()} == {0: 1000, 1: 1500, 2: 500}
+    # Only the files of shards 1 and 2 are new; those of shard 0 are read where they lie.
+    assert sorted(x.name for x in (tmp_path / "new").iterdir() if x.is_dir()) == ["__folder=1", "__folder=2"]
+    assert before == {f: f.stat().st_mtime_ns for f in Path(tmp_path / "old").rglob("*.parquet")}
+    assert {Path(f).parent.name for f in new.filter("__shard = 0").inputFiles() if "/old/" in f} >= {"__folder=0"}
+    assert rows_of(new, "doc_id", "text") == rows_of(df, "doc_id", "text")
+    # The rows kept by a shard are those that the plan didn't move.
+    moved = new.filter("__shard != __old").agg(F.sum("__size")).first()[0]
+    assert moved == plan.moved_bytes
 
 
 @pytest.mark.parametrize("compression", ["none", "packbits", "lzw", "deflate"])
