@@ -229,13 +229,14 @@ def pcoa(pairs: DataFrame, k: int = 3, max_points: int = 5_000) -> tuple[pd.Data
     return coords, (values[order] / np.trace(centred)).tolist()
 
 
-def sequential_ss(vectors: DataFrame, terms: Sequence[str], vec: str = "vec", permutations: int = 0, seed: int = 42, max_columns: int = 2_000) -> DataFrame:
+def sequential_ss(vectors: DataFrame, terms: Sequence[str], vec: str = "vec", permutations: int = 0, seed: int = 42, max_columns: int = 2_000, id_col: str = "sample", max_rows: int = 20_000) -> DataFrame:
     """Type-I sums of squares of factors on Euclidean distance, in the order given, with a
     Residual row; rows with any null term go.  ``[X Z]'[X Z]`` is summed over the
     cluster; only its (columns x columns) solve runs on the driver, after a check.
-    Permutation p (0 permutations: null) needs a subsample within bounds."""
+    Permutation p (0 permutations: null) needs a subsample of ``max_rows`` rows at most,
+    taken in the order of ``id_col``, so that every partitioning gives the same p."""
     spark = vectors.sparkSession
-    rows = vectors.filter(" AND ".join(f"`{t}` IS NOT NULL" for t in terms)).select(vec, *(F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(terms)))
+    rows = vectors.filter(" AND ".join(f"`{t}` IS NOT NULL" for t in terms)).select(F.col(id_col).alias("__id"), vec, *(F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(terms)))
     levels = []
     for i in range(len(terms)):
         found = [r[0] for r in rows.select(f"t{i}").distinct().orderBy(f"t{i}").limit(max_columns + 1).collect()]
@@ -290,7 +291,9 @@ def sequential_ss(vectors: DataFrame, terms: Sequence[str], vec: str = "vec", pe
     out = spark.createDataFrame(table, "term_order int, factor string, df int, ss double, r2 double, pseudo_f double")
     if not permutations or not got:
         return out.withColumn("p", F.lit(None).cast("double"))
-    data = rows.orderBy(*[f"t{i}" for i in range(len(terms))]).toPandas()
+    data = rows.orderBy("__id", *[f"t{i}" for i in range(len(terms))]).limit(max_rows + 1).toPandas()
+    if len(data) > max_rows:
+        raise ValueError(f"over {max_rows} rows: subsample first")
     x, z = design(data), np.vstack(data[vec].to_numpy()).astype(float)
     z = z - z.mean(0)
     bases = [np.linalg.qr(x[:, :w])[0] for w in upto]

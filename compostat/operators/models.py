@@ -79,7 +79,8 @@ def make_model(kind: str, features: str, label: str, **kw):
 
 def cross_validated(df: DataFrame, kinds: Sequence[str], fold: str = "fold", label: str = "y", features: str = "features", key: str = "sample", **kw) -> DataFrame:
     """Out-of-fold scores ``(model, fold, key, label, score, prediction)``.  Each fold fits a
-    scaler and the models on the rest; fits are distributed jobs."""
+    scaler and the models on the rest; fits are distributed jobs.  Folds whose rest has one
+    label only are skipped; if all are, there is no row."""
     from pyspark.ml.functions import vector_to_array
 
     out = None
@@ -92,6 +93,9 @@ def cross_validated(df: DataFrame, kinds: Sequence[str], fold: str = "fold", lab
             model = make_model(kind, "__x", label, **kw).fit(train)
             got = model.transform(test).select(F.lit(kind).alias("model"), F.lit(f).cast("int").alias(fold), key, F.col(label).cast("double").alias(label), vector_to_array("probability")[1].alias("score"), "prediction")
             out = got if out is None else out.unionByName(got)
+    if out is None:
+        kept = df.select(key).schema[0].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"model string, `{fold}` int, `{key}` {kept}, `{label}` double, score double, prediction double")
     return out
 
 

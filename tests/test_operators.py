@@ -193,6 +193,11 @@ def test_permanova_matches_pairs(spark):
     assert B.inertia(v).first()["inertia"] == pytest.approx(B.inertia_of_pairs(B.euclidean_pairs(v), 45).first()["inertia"])
     seq = B.sequential_ss(v, ["g"], permutations=99).toPandas()
     assert seq.r2.sum() == pytest.approx(1) and seq.r2[0] == pytest.approx(a["r2"]) and seq.p[0] == pytest.approx(0.01) and pd.isna(seq.p[1])
+    noisy = v.withColumn("h", (F.col("sample") * 7 % 4).cast("string"))
+    ps = {tuple(r["p"] for r in B.sequential_ss(noisy.repartition(k), ["h", "g"], permutations=49).orderBy("term_order").collect()) for k in (1, 5)}
+    assert len(ps) == 1
+    with pytest.raises(ValueError):
+        B.sequential_ss(v, ["g"], permutations=9, max_rows=44)
     assert B.permanova_p(v, "g", 99).first()["p"] == pytest.approx(0.01)
     coords, share = B.pcoa(B.euclidean_pairs(v), 2)
     pcs, share2 = B.principal_coordinates(v, 2)
