@@ -173,21 +173,25 @@ def combat(cells: DataFrame, by: Sequence[str] = ("disease_category",), eb: bool
     each batch (project) are removed, the case effect is kept.  Adds ``adjusted``.
 
     The model value = batch mean + y effect per taxon has a closed form: y's effect is
-    the pooled within-batch slope.  Everything but the empirical-Bayes step is sums and
-    windows; that step takes one (batch x taxa) summary a group, not samples."""
+    the pooled within-batch slope.  Everything it needs is one set of central moments per
+    (taxon, batch), combined on the map side: cells are never sorted or put through a
+    window.  The empirical-Bayes step takes one batch's row of taxa, not its samples."""
     by = list(by)
-    cell, batch = [*by, "taxon"], [*by, "taxon", "project"]
-    wb, wc = Window.partitionBy(*batch), Window.partitionBy(*cell)
+    batch = [*by, "taxon", "project"]
     y = F.col("y").cast("double")
-    dy = y - F.avg(y).over(wb)
-    rows = cells.withColumn("__dy", dy).withColumn("__mv", F.avg("v").over(wb)).withColumn("__my", F.avg(y).over(wb))
-    slope = F.coalesce(F.sum(F.col("__dy") * F.col("v")).over(wc) / F.nullif(F.sum(F.col("__dy") * F.col("__dy")).over(wc), F.lit(0.0)), F.lit(0.0))
-    rows = rows.withColumn("__b", slope).withColumn("__a", F.col("__mv") - F.col("__b") * F.col("__my"))
+    n = F.count(F.lit(1))
+    per = cells.groupBy(*batch).agg(n.alias("n"), F.avg(y).alias("my"), F.avg("v").alias("mv"), (F.var_pop(y) * n).alias("syy"), (F.var_pop("v") * n).alias("svv"), (F.covar_pop(y, F.col("v")) * n).alias("syv"))
+    # Batches of a taxon: few and small rows.
+    wc = Window.partitionBy(*by, "taxon")
+    per = per.withColumn("__b", F.coalesce(F.sum("syv").over(wc) / F.nullif(F.sum("syy").over(wc), F.lit(0.0)), F.lit(0.0)))
+    per = per.withColumn("__a", F.col("mv") - F.col("__b") * F.col("my")).withColumn("__ss", F.greatest(F.lit(0.0), F.col("svv") - 2 * F.col("__b") * F.col("syv") + F.col("__b") * F.col("__b") * F.col("syy")))
     # Batch intercepts average to the grand one, weighted by batch size.
-    rows = rows.withColumn("__grand", F.avg("__a").over(wc)).withColumn("__res", F.col("v") - F.col("__a") - F.col("__b") * y)
-    rows = rows.withColumn("__sd", F.sqrt(F.avg(F.col("__res") * F.col("__res")).over(wc)))
-    rows = rows.withColumn("__z", F.coalesce((F.col("v") - F.col("__grand") - F.col("__b") * y) / F.nullif(F.col("__sd"), F.lit(0.0)), F.lit(0.0)))
-    summary = rows.groupBy(*batch).agg(F.count(F.lit(1)).alias("n"), F.avg("__z").alias("gamma_hat"), F.var_samp("__z").alias("delta_hat"), F.sum("__z").alias("sz"), F.sum(F.col("__z") * F.col("__z")).alias("szz"))
+    size = F.sum("n").over(wc)
+    per = per.withColumns({"__grand": F.sum(F.col("n") * F.col("__a")).over(wc) / size, "__sd": F.sqrt(F.sum("__ss").over(wc) / size)})
+    scale = F.nullif(F.col("__sd"), F.lit(0.0))
+    per = per.withColumns({"gamma_hat": F.coalesce((F.col("__a") - F.col("__grand")) / scale, F.lit(0.0)), "szz": F.coalesce(F.col("__ss") / (scale * scale), F.lit(0.0))})
+    summary = per.select(*batch, "n", "__b", "__grand", "__sd", "gamma_hat", (F.col("szz") / F.nullif(F.col("n") - 1, F.lit(0))).alias("delta_hat"), (F.col("n") * F.col("gamma_hat")).alias("sz"), (F.col("szz") + F.col("n") * F.col("gamma_hat") * F.col("gamma_hat")).alias("szz"))
+    model = [*batch, "__b", "__grand", "__sd"]
     if eb:
 
         def shrink(key, pdf):
@@ -208,14 +212,15 @@ def combat(cells: DataFrame, by: Sequence[str] = ("disease_category",), eb: bool
                     g_new, d_new = g_next, d_next
                     if change < tolerance:
                         break
-            return pd.DataFrame({**{c: pdf[c] for c in batch}, "gamma": g_new, "delta": d_new})
+            return pd.DataFrame({**{c: pdf[c] for c in model}, "gamma": g_new, "delta": d_new})
 
         kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-        found = summary.groupBy(*by, "project").applyInPandas(shrink, ", ".join(f"{c} {kinds[c]}" for c in batch) + ", gamma double, delta double")
+        found = summary.groupBy(*by, "project").applyInPandas(shrink, ", ".join(f"{c} {kinds[c]}" for c in batch) + ", __b double, __grand double, __sd double, gamma double, delta double")
     else:
-        found = summary.select(*batch, F.col("gamma_hat").alias("gamma"), F.when(F.col("delta_hat") > 0, F.col("delta_hat")).otherwise(1.0).alias("delta"))
-    back = (F.col("__z") - F.col("gamma")) / F.sqrt("delta") * F.col("__sd") + F.col("__grand") + F.col("__b") * y
-    return rows.join(found, batch).withColumn("adjusted", back).select(*cells.columns, "adjusted")
+        found = summary.select(*model, F.col("gamma_hat").alias("gamma"), F.when(F.col("delta_hat") > 0, F.col("delta_hat")).otherwise(1.0).alias("delta"))
+    fitted = F.col("__grand") + F.col("__b") * y
+    z = F.coalesce((F.col("v") - fitted) / F.nullif(F.col("__sd"), F.lit(0.0)), F.lit(0.0))
+    return cells.join(found, batch).withColumn("adjusted", (z - F.col("gamma")) / F.sqrt("delta") * F.col("__sd") + fitted).select(*cells.columns, "adjusted")
 
 
 def pooled_ols(cells: DataFrame, value: str = "adjusted", by: Sequence[str] = ("disease_category",), with_p: bool = True) -> DataFrame:
