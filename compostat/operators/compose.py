@@ -84,16 +84,33 @@ def log_relative(counts: DataFrame, pseudocount: float = 0.5, n_taxa: int | None
     return values, cells.groupBy("sample").agg((F.lit(math.log10(pseudocount)) - F.log10(F.max("filled"))).alias("zero_log_relative"))
 
 
-def rarefy(counts: DataFrame, depth: int, seed: int = 42) -> DataFrame:
+def rarefy(counts: DataFrame, depth: int, seed: int = 42, block: int = 65536) -> DataFrame:
     """Exactly ``depth`` reads of each sample that has as many, without replacement.
 
-    Every read has a place in an order by hash and the first ``depth`` stay.  A sample's
-    reads are one window partition; it holds the sample's reads and no more."""
-    reads = counts.filter("n > 0").select("sample", "taxon", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("read"))
-    order = Window.partitionBy("sample").orderBy(hash_order(seed, F.col("sample"), F.col("taxon"), F.col("read")), "taxon", "read")
-    whole = Window.partitionBy("sample")
-    drawn = reads.withColumn("place", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(whole))
-    return drawn.filter((F.col("total") >= depth) & (F.col("place") <= depth)).groupBy("sample", "taxon").agg(F.count(F.lit(1)).alias("n"))
+    Every read has a place in an order by hash and the first ``depth`` stay.  Hashes are
+    even, so of a large sample only reads below a bound go into the order: the share that
+    gives ``depth`` reads and ten deviations more.  A shuffle thus moves some ``depth``
+    reads of a sample, however many it has.  A sample left short by its bound (one in
+    10^20) takes all its reads.  Cells give their reads in blocks of ``block``."""
+    big = lambda k: F.lit(k).cast("bigint")
+    cells = counts.filter("n > 0").select("sample", "taxon", F.col("n").cast("bigint").alias("n"))
+    cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy("sample"))).filter(F.col("total") >= depth)
+
+    def reads(of: DataFrame) -> DataFrame:
+        starts = of.withColumn("first", F.explode(F.sequence(big(1), F.col("n"), big(block))))
+        each = starts.withColumn("read", F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + (block - 1)))))
+        return each.select("sample", "taxon", "read", hash_order(seed, F.col("sample"), F.col("taxon"), F.col("read")).alias("h"), *([F.col("bound")] if "bound" in of.columns else []))
+
+    # The bound is a hash's first twelve digits; no digit is as large as a "g".
+    share = (depth + 10.0 * math.sqrt(depth) + 100.0) / F.col("total")
+    bound = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex((share * float(16**12)).cast("bigint"))), 12, "0"))
+    low = reads(cells.withColumn("bound", bound)).filter("h < bound").drop("bound")
+    placed = low.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("h", "taxon", "read"))).filter(F.col("place") <= depth)
+    drawn = placed.groupBy("sample", "taxon").agg(F.count(F.lit(1)).alias("n"))
+    full = drawn.withColumn("kept", F.sum("n").over(Window.partitionBy("sample"))).filter(F.col("kept") == depth).select("sample", "taxon", "n")
+    short = reads(cells.join(full.select("sample").distinct(), "sample", "left_anti"))
+    again = short.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("h", "taxon", "read"))).filter(F.col("place") <= depth)
+    return full.unionByName(again.groupBy("sample", "taxon").agg(F.count(F.lit(1)).alias("n")))
 
 
 def edge_weight(relative, scale: float = 1e4):

@@ -25,11 +25,29 @@ def average_rank(column: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(tied) - 1) / F.lit(2.0)
 
 
+def rank_table(df: DataFrame, column: str, name: str, parts: int = 256) -> DataFrame:
+    """``(column, name)``: each value's ``average_rank`` over all rows, but not in one task: values with their counts fall
+    between approximate quantiles, ranks are found in each part and start where the counts
+    of the parts before end.  The quantiles decide which task has a value, not its rank."""
+    sizes = df.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    cuts = sizes.agg(F.percentile_approx("__v", [k / parts for k in range(1, parts)], 10000).alias("__cuts"))
+    values = sizes.join(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    before = F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as parts
+    firsts = values.groupBy("__part").agg(F.sum("__c").alias("__c")).select("__part", F.coalesce(before, F.lit(0)).alias("__first"))
+    inside = F.sum("__c").over(Window.partitionBy("__part").orderBy("__v"))
+    return values.withColumn("__up", inside).join(F.broadcast(firsts), "__part").select(F.col("__v").alias(column), (F.col("__first") + F.col("__up") - (F.col("__c") - 1) / F.lit(2.0)).alias(name))
+
+
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
     """Rank correlations, one row per pair (and group); ``p`` from Student's t."""
     out = None
     for a, b in pairs:
-        ranked = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
+        rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+        if by:
+            ranked = rows.select(*by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
+        else:
+            rows = rows.select(F.col(a).alias("a"), F.col(b).alias("b"))
+            ranked = rows.join(rank_table(rows, "a", "ra"), "a").join(rank_table(rows, "b", "rb"), "b")
         one = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho")).select(*by, F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -32,9 +32,32 @@ def shuffled_frames(frame: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
     return permute_within(ids, ["shuffle_id", "disease_category", "project"], "sample", "y", seed, "shuffle_id")
 
 
-def shuffle_null(values: DataFrame, zeros: DataFrame, frame: DataFrame, n: int = 10, z: float = 1.96, seed: int = 42, **kw) -> DataFrame:
-    """Meta-analysis hits (|z| over ``z``) per shuffle and category, in one job."""
-    moments = D.contrast_moments(values, zeros, shuffled_frames(frame, n, seed), scenario=["shuffle_id"], **kw)
+def shuffle_null(values: DataFrame, zeros: DataFrame, frame: DataFrame, n: int = 10, z: float = 1.96, seed: int = 42, min_prevalence: float = 0.10) -> DataFrame:
+    """Meta-analysis hits (|z| over ``z``) per shuffle and category, in one job.
+
+    A sample's labels of all shuffles are one array, so cells are joined and shuffled
+    once, whatever ``n``: each shuffle is a pair of sums in the same aggregate.  Arm sizes,
+    presence and the sums of both arms together are the same in every shuffle."""
+    block, steps = ["disease_category", "project"], range(n)
+    labels = shuffled_frames(frame, n, seed).groupBy("sample", *block).agg(F.array_sort(F.collect_list(F.struct("shuffle_id", "y"))).getField("y").alias("ys"))
+    rows = labels.join(zeros.toDF("sample", "zero"), "sample")
+    zz = F.col("zero") * F.col("zero")
+
+    def sums(x, xx):
+        """Sums of a value and its square in each shuffle's case arm, and over both arms."""
+        case = [F.col("ys")[k] == 1 for k in steps]
+        arrays = [F.array(*(F.sum(F.when(c, v).otherwise(0.0)) for c in case)) for v in (x, xx)]
+        return [*(a.alias(f"{name}1") for a, name in zip(arrays, ("s", "q"), strict=True)), F.sum(x).alias("s"), F.sum(xx).alias("q")]
+
+    arms = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at("ys", 1)).alias("n_case"), *sums(F.col("zero"), zz)).filter("n_case > 0 AND n_case < n")
+    cells = rows.join(values.toDF("sample", "taxon", "v"), "sample").groupBy(*block, "taxon").agg(F.count(F.lit(1)).alias("n_present"), *sums(F.col("v") - F.col("zero"), F.col("v") * F.col("v") - zz))
+    met = cells.alias("c").join(arms.alias("a"), block).filter(F.col("n_present") >= F.lit(min_prevalence) * F.col("n"))
+    both = lambda c: F.col(f"c.{c}") + F.col(f"a.{c}")
+    add = lambda c: F.zip_with(F.col(f"c.{c}"), F.col(f"a.{c}"), lambda x, y: x + y)
+    each = met.select(*block, "taxon", "n_case", (F.col("n") - F.col("n_case")).alias("n_control"), both("s").alias("s"), both("q").alias("q"), F.posexplode(F.arrays_zip(add("s1").alias("s1"), add("q1").alias("q1"))).alias("k", "e"))
+    each = each.select("*", "e.s1", "e.q1").withColumns({"s0": F.col("s") - F.col("s1"), "q0": F.col("q") - F.col("q1"), "shuffle_id": F.col("k") + 1})
+    ssd = lambda a, m: F.greatest(F.lit(0.0), F.col(f"q{a}") - F.col(f"s{a}") * F.col(f"s{a}") / F.col(m))
+    moments = each.select("shuffle_id", *block, "taxon", "n_case", "n_control", (F.col("s1") / F.col("n_case")).alias("m1"), (F.col("s0") / F.col("n_control")).alias("m0"), ssd(1, "n_case").alias("ssd1"), ssd(0, "n_control").alias("ssd0"))
     meta = D.meta_analysis(D.ols_contrasts(moments), scenario=["shuffle_id"], with_p=False)
     return meta.groupBy("shuffle_id", "disease_category").agg(F.count(F.lit(1)).alias("n_taxa"), F.count_if(F.abs("z") > z).alias("n_hits"))
 

@@ -53,6 +53,29 @@ def test_rarefaction_is_exact_and_repeatable(counts):
     assert C.rarefy(counts, 11).count() == 0
 
 
+def test_rarefaction_of_large_samples_is_the_order_by_hash(spark):
+    import hashlib
+
+    n = {("a", "x"): 3000, ("a", "y"): 900, ("b", "x"): 70, ("b", "z"): 5, ("c", "y"): 9}
+    got = {(r["sample"], r["taxon"]): r["n"] for r in C.rarefy(spark.createDataFrame([(*k, v) for k, v in n.items()], "sample string, taxon string, n bigint"), 20, seed=3, block=64).collect()}
+    want = {}
+    for s in "ab":
+        reads = sorted((hashlib.md5(f"3|{s}|{t}|{k}".encode()).hexdigest(), t) for (u, t), c in n.items() if u == s for k in range(1, c + 1))
+        for _, t in reads[:20]:
+            want[s, t] = want.get((s, t), 0) + 1
+    assert got == want
+
+
+@pytest.mark.parametrize("parts", [2, 7, 256])
+def test_ranks_in_parts(spark, parts):
+    from compostat.operators.diversity import average_rank, rank_table
+
+    rng = np.random.default_rng(parts)
+    df = spark.createDataFrame([(float(v),) for v in [*rng.integers(0, 9, 300), *rng.normal(size=100), 4.0]], "v double")
+    want = {r["v"]: r["r"] for r in df.select("v", average_rank("v").alias("r")).collect()}
+    assert {r["v"]: r["r"] for r in rank_table(df, "v", "r", parts).collect()} == want
+
+
 def test_wide_round_trip(spark, counts):
     back = N.from_wide(N.to_wide(counts, ["x", "y", "z"]))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, counts.collect()))
