@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_data, queries_eav, queries_graph, queries_more, queries_stats  # noqa: F401  they register themselves
+from .plans import queries_chain, queries_data, queries_eav, queries_graph, queries_more, queries_stats  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -61,12 +61,18 @@ _KEY = ["disease_category", "project", "taxon"]
 
 def contrast_moments(values: DataFrame, zeros: DataFrame, frame: DataFrame, min_prevalence: float = 0.10, scenario: Sequence[str] = (), min_arm: int = 1) -> DataFrame:
     """Per (scenario, category, project, taxon) and arm: n, mean and variance of the value,
-    for taxa present in at least ``min_prevalence`` of the contrast's samples."""
+    for taxa present in at least ``min_prevalence`` of the contrast's samples.
+
+    Scenario columns may be in any of the three tables: in the frame (depth), in both
+    tables of values (transforms), or in the frame and the values (tiers of taxa)."""
     block = [*scenario, "disease_category", "project"]
-    rows = frame.join(zeros.toDF("sample", "zero"), "sample")
+    known = lambda df, *others: ["sample", *(c for c in scenario if c in df.columns and all(c in o.columns for o in others))]
+    zero = [c for c in zeros.columns if c not in known(zeros)]
+    rows = frame.join(zeros.withColumnRenamed(zero[0], "zero"), known(zeros, frame))
     arms = rows.groupBy(*block).agg(*(F.count_if(F.col("y") == a).alias(f"n{a}") for a in (0, 1)), *(F.sum(F.when(F.col("y") == a, F.col("zero"))).alias(f"z{a}") for a in (0, 1)), *(F.sum(F.when(F.col("y") == a, F.col("zero") * F.col("zero"))).alias(f"zz{a}") for a in (0, 1)))
     arms = arms.filter((F.col("n0") >= min_arm) & (F.col("n1") >= min_arm))
-    met = rows.join(values.toDF("sample", "taxon", "v"), "sample")
+    value = [c for c in values.columns if c not in (*known(values), "taxon")]
+    met = rows.join(values.withColumnRenamed(value[0], "v"), known(values, rows))
     sums = []
     for a in (0, 1):
         mine = F.col("y") == a

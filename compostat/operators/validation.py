@@ -12,12 +12,15 @@ from . import differential as D
 from .sampling import permute_within
 
 
-def run_chain(values: DataFrame, zeros: DataFrame, frame: DataFrame, cells: DataFrame, alpha: float = 0.05, **kw) -> dict[str, DataFrame]:
-    """Per-project contrasts, meta-analysis, pooled test on adjusted values, concordance."""
-    per = D.within_project(values, zeros, frame, **kw)
-    meta = D.meta_analysis(per)
-    pooled = D.pooled_ols(D.combat(cells))
-    return {"per_project": per, "meta": meta, "pooled": pooled, "concordance": D.concordance(meta, pooled, alpha)}
+def run_chain(values: DataFrame, zeros: DataFrame, frame: DataFrame, cells: DataFrame, alpha: float = 0.05, scenario: Sequence[str] = (), eb: bool = True, **kw) -> dict[str, DataFrame]:
+    """Per-project contrasts, meta-analysis, pooled test on adjusted values, concordance.
+    With ``scenario`` columns (see ``contrast_moments``; ``cells`` has them too) the chain
+    runs for every scenario at once."""
+    per = D.within_project(values, zeros, frame, scenario=scenario, **kw)
+    meta = D.meta_analysis(per, scenario=scenario)
+    by = [*scenario, "disease_category"]
+    pooled = D.pooled_ols(D.combat(cells, by, eb), by=by)
+    return {"per_project": per, "meta": meta, "pooled": pooled, "concordance": D.concordance(meta, pooled, alpha, scenario)}
 
 
 def replicated_sets(concordance: DataFrame) -> DataFrame:
@@ -84,6 +87,21 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.groupBy("disease_category").agg(F.count("in_a").alias("hits_a"), F.count("in_b").alias("hits_b"), F.count_if(F.expr("in_a = 1 AND in_b = 1")).alias("hits_shared"))
 
 
+def transform_sensitivity(values: DataFrame, zeros: DataFrame, frame: DataFrame, a: str, b: str, alpha: float = 0.05, **kw) -> DataFrame:
+    """Meta-analysis on two transforms (column ``transform`` of values and zeros): per
+    category the taxa tested, hits of each and of both, and the rank correlation of the
+    effects of taxa tested in both."""
+    from .diversity import average_rank
+
+    meta = D.meta_analysis(D.within_project(values, zeros, frame, scenario=["transform"], **kw), scenario=["transform"])
+    key, pick = ["disease_category", "taxon"], lambda t, c: F.max(F.when(F.col("transform") == t, F.col(c)))
+    met = meta.groupBy(*key).agg(*(pick(t, c).alias(f"{c}_{n}") for n, t in (("a", a), ("b", b)) for c in ("q", "pooled_effect")))
+    hit = [F.coalesce(F.col(f"q_{n}") < alpha, F.lit(False)) for n in "ab"]
+    counts = met.groupBy("disease_category").agg(F.count(F.lit(1)).alias("n_taxa"), F.count_if(hit[0]).alias("hits_a"), F.count_if(hit[1]).alias("hits_b"), F.count_if(hit[0] & hit[1]).alias("hits_shared"))
+    ranked = met.filter("pooled_effect_a IS NOT NULL AND pooled_effect_b IS NOT NULL").select("disease_category", *(average_rank(f"pooled_effect_{n}", ["disease_category"]).alias(f"r{n}") for n in "ab"))
+    return counts.join(ranked.groupBy("disease_category").agg(F.corr("ra", "rb").alias("effect_rho")), "disease_category", "left")
+
+
 def in_tiers(prevalence: DataFrame, tiers: Sequence[float]) -> DataFrame:
     """(tier, taxon) for every tier whose threshold the taxon reaches."""
     return prevalence.select("taxon", F.explode(F.filter(F.array(*(F.lit(float(t)) for t in tiers)), lambda t: t <= F.col("prevalence"))).alias("tier"))

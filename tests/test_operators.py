@@ -307,3 +307,26 @@ def test_run_chain_and_checks(spark, shifted):
     assert D.concordance_summary(out["concordance"]).first()["n_taxa"] == 12
     assert V.repeated_keys(out["meta"], "disease_category", "taxon").count() == 0
     assert V.not_subset(out["meta"], shifted, "taxon").count() == 0
+
+
+def test_chain_in_scenarios_is_the_chain_of_each(spark, shifted):
+    zeros = shifted.select("sample").distinct().withColumn("z", F.lit(0.0))
+    frame = shifted.select("sample", "project", "disease_category", "y").distinct()
+    values = shifted.select("sample", "taxon", "v")
+    in_all = {r["taxon"]: r.asDict() for r in V.run_chain(values, zeros, frame, shifted)["concordance"].collect()}
+    two = lambda df: df.withColumn("tier", F.explode(F.array(F.lit(1), F.lit(2))))
+    few = F.expr("tier = 1 OR taxon < 't06'")
+    got = V.run_chain(two(values).filter(few), zeros, two(frame), two(shifted).filter(few), scenario=["tier"])["concordance"].collect()
+    first = {r["taxon"]: r.asDict() for r in got if r["tier"] == 1}
+    assert {t: {k: v for k, v in r.items() if k != "tier"} for t, r in first.items()}.keys() == in_all.keys()
+    for t, r in first.items():
+        assert r["meta_effect"] == pytest.approx(in_all[t]["meta_effect"]) and r["meta_q"] == pytest.approx(in_all[t]["meta_q"]) and r["pooled_q"] == pytest.approx(in_all[t]["pooled_q"])
+    assert {r["taxon"] for r in got if r["tier"] == 2} == {t for t in in_all if t < "t06"}
+
+
+def test_transform_sensitivity(spark, shifted):
+    frame = shifted.select("sample", "project", "disease_category", "y").distinct()
+    both = shifted.select("sample", "taxon", "v", F.explode(F.array(F.lit("one"), F.lit("two"))).alias("transform")).withColumn("v", F.when(F.col("transform") == "two", 3 * F.col("v")).otherwise(F.col("v")))
+    zeros = both.select("sample", "transform").distinct().withColumn("zero", F.lit(0.0))
+    r = V.transform_sensitivity(both, zeros, frame, "one", "two").first()
+    assert r["n_taxa"] == 12 and r["hits_a"] == r["hits_b"] == r["hits_shared"] > 0 and r["effect_rho"] == pytest.approx(1.0)
