@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..operators import compose as C
 from ..operators import counts as N
+from ..operators import differential as D
 from ..operators import validation as A
 from . import views as V
 from .queries_data import CLR, PREVALENCE, rounded
+from .queries_stats import _META, _contrasts
 from .views import COUNTS, FRAME, SAMPLES
 
 DEPTHS, TIERS, ALPHA = [400, 800, 1200], [0.2, 0.25], 0.05
@@ -87,10 +89,18 @@ def run_chain(spark, d):
 
 
 @query(f"""WITH {_BASE}, {_dense_sql('frame')}, {chain_sql()} SELECT disease_category, project, taxon, n_case, n_control, n_present, round(effect, 6) + 0.0 AS effect, round(se, 6) AS se, round(stat, 5) + 0.0 AS stat, dof, round(p, 6) AS p, round(q, 6) AS q FROM within""")
-def within_project_scores(spark, d):
-    _, values, zeros, frame, taxa = _parts(spark, d)
-    out = A.run_chain(values, zeros, frame, _cells(values, zeros, frame, taxa))["per_project"]
-    return rounded(out, "effect", "se", "p", "q").withColumn("stat", F.round("stat", 5) + 0.0)
+def within_project_tests(spark, d):
+    _, values, zeros, frame, _ = _parts(spark, d)
+    return rounded(D.within_project(values, zeros, frame), "effect", "se", "p", "q").withColumn("stat", F.round("stat", 5) + 0.0)
+
+
+@query(f"""WITH {_META}, sg AS (SELECT disease_category, taxon, avg(CAST(sign(w.effect) = sign(m.pooled_effect) AS DOUBLE)) AS sign_consistency FROM w JOIN meta m USING (disease_category, taxon) GROUP BY 1, 2),
+mp AS (SELECT *, {_normal_p('z')} AS p FROM meta JOIN sg USING (disease_category, taxon)), mq AS ({_q('mp', 'disease_category')})
+SELECT disease_category, taxon, k_projects, round(pooled_effect, 6) + 0.0 AS pooled_effect, round(se, 6) AS se, round(pooled_effect - 1.96 * se, 6) + 0.0 AS ci_low, round(pooled_effect + 1.96 * se, 6) + 0.0 AS ci_high, round(z, 5) + 0.0 AS z,
+  round(q_stat, 5) AS q_stat, round(i2, 4) AS i2, round(tau2, 6) AS tau2, n_case, n_control, round(sign_consistency, 6) AS sign_consistency, round(p, 6) AS p, round(q, 6) AS q FROM mq""")
+def meta_with_fdr(spark, d):
+    out = D.meta_analysis(_contrasts(spark, d))
+    return rounded(out, "pooled_effect", "se", "ci_low", "ci_high", "tau2", "sign_consistency", "p", "q").withColumns({"z": F.round("z", 5) + 0.0, "q_stat": F.round("q_stat", 5), "i2": F.round("i2", 4)})
 
 
 _DEPTH = f"t AS (SELECT sample, sum(n) AS depth FROM counts GROUP BY 1), fr AS (SELECT * EXCLUDE (depth) FROM (SELECT frame.*, depth, unnest({DEPTHS}) AS threshold FROM frame JOIN t USING (sample)) WHERE depth >= threshold)"

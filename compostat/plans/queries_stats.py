@@ -165,17 +165,6 @@ def meta_dl(spark, d):
     return rounded(out, "pooled_effect", "se", "ci_low", "ci_high", "tau2", "sign_consistency").withColumns({"z": F.round("z", 5) + 0.0, "q_stat": F.round("q_stat", 5), "i2": F.round("i2", 4)})
 
 
-@query()
-def within_project_tests(spark, d):
-    _, values, zeros = _clr(spark, d)
-    return D.within_project(values, zeros, V.frame(spark, d))
-
-
-@query()
-def meta_with_fdr(spark, d):
-    return D.meta_analysis(_contrasts(spark, d))
-
-
 def _cells(spark, d):
     counts, values, zeros = _clr(spark, d)
     return C.dense(values, zeros, counts.select("taxon").distinct()).withColumnRenamed("clr", "v").join(V.frame(spark, d), "sample")
