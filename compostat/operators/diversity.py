@@ -25,32 +25,45 @@ def average_rank(column: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(tied) - 1) / F.lit(2.0)
 
 
-def rank_table(df: DataFrame, column: str, name: str, parts: int = 256) -> DataFrame:
-    """``(column, name)``: each value's ``average_rank`` over all rows, but not in one task: values with their counts fall
-    between approximate quantiles, ranks are found in each part and start where the counts
-    of the parts before end.  The quantiles decide which task has a value, not its rank."""
-    sizes = df.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    cuts = sizes.agg(F.percentile_approx("__v", [k / parts for k in range(1, parts)], 10000).alias("__cuts"))
-    values = sizes.join(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
-    before = F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as parts
-    firsts = values.groupBy("__part").agg(F.sum("__c").alias("__c")).select("__part", F.coalesce(before, F.lit(0)).alias("__first"))
-    inside = F.sum("__c").over(Window.partitionBy("__part").orderBy("__v"))
-    return values.withColumn("__up", inside).join(F.broadcast(firsts), "__part").select(F.col("__v").alias(column), (F.col("__first") + F.col("__up") - (F.col("__c") - 1) / F.lit(2.0)).alias(name))
+def rank_table(df: DataFrame, column: str, name: str, by: Sequence[str] = (), parts: int = 256) -> DataFrame:
+    """``(by, column, name)``: each value's ``average_rank`` in its group, where a group may be
+    the whole table and so not in one task: values with their counts fall between
+    approximate quantiles, ranks are found in each part and start where the counts of the
+    parts before end.  The quantiles decide which task has a value, not its rank.  Groups
+    are few (columns, pairs), as their quantiles are broadcast."""
+    by, v = list(by), F.col("__v")
+    sizes = df.groupBy(*by, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    cuts = F.broadcast(sizes.groupBy(*by).agg(F.percentile_approx(v, [k / parts for k in range(1, parts)], 10000).alias("__cuts")))
+    met = sizes.join(cuts, by) if by else sizes.join(cuts)
+    values = met.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < v))).drop("__cuts")
+    before = F.sum("__c").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as parts
+    firsts = values.groupBy(*by, "__part").agg(F.sum("__c").alias("__c")).select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__first"))
+    inside = F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy("__v"))
+    placed = values.withColumn("__up", inside).join(F.broadcast(firsts), [*by, "__part"])
+    return placed.select(*by, v.alias(column), (F.col("__first") + F.col("__up") - (F.col("__c") - 1) / F.lit(2.0)).alias(name))
 
 
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlations, one row per pair (and group); ``p`` from Student's t."""
-    out = None
-    for a, b in pairs:
-        rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        if by:
-            ranked = rows.select(*by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
-        else:
-            rows = rows.select(F.col(a).alias("a"), F.col(b).alias("b"))
-            ranked = rows.join(rank_table(rows, "a", "ra"), "a").join(rank_table(rows, "b", "rb"), "b")
-        one = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho")).select(*by, F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rank correlations, one row per pair (and group); ``p`` from Student's t.  Without groups
+    all pairs are ranked together, as doubles, by ``rank_table``."""
+    filled = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    rho = F.when(~F.isnan("rho"), F.col("rho")).alias("rho")
+    if by:
+        out = None
+        for a, b in pairs:
+            ranked = df.filter(filled(a, b)).select(*by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
+            one = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho")).select(*by, F.lit(a).alias("a"), F.lit(b).alias("b"), "n", rho)
+            out = one if out is None else out.unionByName(one)
+        return out
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for k, (a, b) in enumerate(pairs)))
+    rows = df.select(F.explode(each).alias("e")).select("e.*").filter(filled("x", "y"))
+    long = rows.select("k", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("e")).select("k", "e.*")
+    ranks = rank_table(long, "v", "r", ["k", "side"])
+    side = lambda c: ranks.filter(F.col("side") == c).select("k", F.col("v").alias(c), F.col("r").alias(f"r{c}"))
+    got = rows.join(side("x"), ["k", "x"]).join(side("y"), ["k", "y"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    name = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in pairs)), F.col("k") + 1)
+    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("k"))
+    return every.join(got, "k", "left").select(name(0).alias("a"), name(1).alias("b"), F.coalesce("n", F.lit(0)).alias("n"), rho)
 
 
 def with_correlation_p(df: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_ranks_in_parts(spark, parts):
     rng = np.random.default_rng(parts)
     df = spark.createDataFrame([(float(v),) for v in [*rng.integers(0, 9, 300), *rng.normal(size=100), 4.0]], "v double")
     want = {r["v"]: r["r"] for r in df.select("v", average_rank("v").alias("r")).collect()}
-    assert {r["v"]: r["r"] for r in rank_table(df, "v", "r", parts).collect()} == want
+    assert {r["v"]: r["r"] for r in rank_table(df, "v", "r", parts=parts).collect()} == want
 
 
 def test_wide_round_trip(spark, counts):
