@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, langid, licences, linededup, sharding, simhash, substrings, tiff, toxicity, warc
+from . import bpe, decontam, dialogues, divergence, langid, licences, linededup, sharding, simhash, substrings, tiff, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiff": op8_tiff,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
+    "op11_dialogue_repair": op11_dialogue_repair,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_divergence": op13_divergence,
 }
