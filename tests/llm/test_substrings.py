@@ -66,7 +66,7 @@ def test_small_chunks_and_split_minimisers(docs, monkeypatch):
     for _, t in odd_rows():
         w = (t or "").encode().split()
         if len(w) >= 13:
-            every.append(substrings._sliding_min(substrings._sequences(substrings.word_hashes(w)[2], 3), 11))
+            every.append(substrings._sliding_min(substrings._sequences(substrings.word_hashes(w)[2], 2), 12) & substrings._BITS)
     hot = np.unique(np.concatenate(every))[::2]
     monkeypatch.setattr(substrings, "split_minimisers", lambda *a: hot)
     assert got(docs) == brute(odd_rows())
@@ -86,6 +86,8 @@ def test_split_minimisers_are_found(spark):
     rows = [(i, " ".join(f"{rng.random()}" for _ in range(12)) + " " + same + " " + " ".join(f"{rng.random()}" for _ in range(12))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert 0 < len(substrings.split_minimisers(substrings._rows(df, "doc_id", "text"), 13, 3, 40, 0.5)) <= 80
+    # Enough strings to train a dictionary on.
+    assert substrings.trained(substrings._rows(df, "doc_id", "text"), 13, 3, 1.0).dictionary
     assert got(df) == brute(rows)
 
 
