@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import settings, shared_path, text_bytes
+from .shared import drop_path, settings, shared_path, text_bytes
 
 _LAST = (1 << 63) - 1
 _MADE = ("__kept", "__n_words", "__n_removed")
@@ -228,23 +228,28 @@ def _sampled(rows: DataFrame, window: int, m: int, share: float) -> DataFrame:
     return _packed(sample, window, m, np.array([], np.uint64), None).filter("s IS NOT NULL")
 
 
-def trained(rows: DataFrame, window: int, m: int, share: float) -> Packing:
-    """A dictionary from a bounded sample of packed strings; none where there are few."""
+def trained(sample: DataFrame, strings: int) -> Packing:
+    """A dictionary from about ``_TRAINED_ON`` of the sample's ``strings``, by hash, so that no
+    task sends more than its part; none where there are few."""
     import zstandard
 
-    got = [bytes(r["s"]) for r in _sampled(rows, window, m, share).filter(F.octet_length("s") <= _LENGTH).select("s").orderBy(F.xxhash64("s"), "s").limit(_TRAINED_ON).collect()]
+    some = sample.filter(F.octet_length("s") <= _LENGTH)
+    if strings > _TRAINED_ON:
+        some = some.filter(F.pmod(F.xxhash64("s"), F.lit(1_000_000_000)) < int(1_000_000_000 * _TRAINED_ON / strings))
+    got = sorted(bytes(r["s"]) for r in some.select("s").limit(2 * _TRAINED_ON).collect())
     return Packing(zstandard.train_dictionary(_DICTIONARY, got, level=3).as_bytes() if len(got) >= _TRAINED_ON // 4 else b"")
 
 
-def split_minimisers(rows: DataFrame, window: int, m: int, partitions: int, share: float) -> np.ndarray:
+def split_minimisers(sample: DataFrame, partitions: int) -> tuple[np.ndarray, int]:
     """Hashes of minimisers that more than half of a shuffle partition's packed strings
-    have, on a sample of the documents: ``2 * partitions`` at most."""
-    seen = Observation()
-    per = _sampled(rows, window, m, share).groupBy("b").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total"))
-    most = per.filter("n >= 100").orderBy(F.desc("n")).limit(2 * partitions).collect()
+    have, ``2 * partitions`` at most, and the number of strings; of a sample."""
+    spark, seen, at = sample.sparkSession, Observation(), shared_path(sample.sparkSession, "minimisers")
+    sample.groupBy("b").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total")).filter("n >= 100").write.parquet(at)
     total = seen.get["total"] or 0
-    hot = [r for r in most if r["n"] * 2 * partitions >= total]
-    return np.sort(np.array([r["b"] for r in hot], np.uint64))
+    # At most 2 * partitions can have so many.
+    hot = spark.read.schema("b bigint, n bigint").parquet(at).filter(F.col("n") * (2 * partitions) >= total).select("b").collect()
+    drop_path(spark, at)
+    return np.sort(np.array([r["b"] for r in hot], np.uint64)), total
 
 
 def bucket_ranges(doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, strings: list[bytes], window: int) -> list[np.ndarray]:
@@ -325,8 +330,9 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         raise ValueError("a minimiser has at least one word and at most a window's")
     spark, rows = df.sparkSession, _rows(df, id_col, text_col)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = split_minimisers(rows, window, m, partitions, share)
-    packing = trained(rows, window, m, share)
+    sample = _sampled(rows, window, m, share)
+    split, strings = split_minimisers(sample, partitions)
+    packing = trained(sample, strings)
     dealt = _packed(rows, window, m, split, packing).repartition("b").sortWithinPartitions("b")
     at = shared_path(spark, "substring-ranges")
     # The packed strings are the largest thing on disk: they go when the ranges are written.

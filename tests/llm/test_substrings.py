@@ -68,7 +68,7 @@ def test_small_chunks_and_split_minimisers(docs, monkeypatch):
         if len(w) >= 13:
             every.append(substrings._sliding_min(substrings._sequences(substrings.word_hashes(w)[2], 2), 12) & substrings._BITS)
     hot = np.unique(np.concatenate(every))[::2]
-    monkeypatch.setattr(substrings, "split_minimisers", lambda *a: hot)
+    monkeypatch.setattr(substrings, "split_minimisers", lambda *a: (hot, 0))
     assert got(docs) == brute(odd_rows())
 
 
@@ -85,9 +85,11 @@ def test_split_minimisers_are_found(spark):
     same = " ".join(f"s{k}" for k in range(13))
     rows = [(i, " ".join(f"{rng.random()}" for _ in range(12)) + " " + same + " " + " ".join(f"{rng.random()}" for _ in range(12))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert 0 < len(substrings.split_minimisers(substrings._rows(df, "doc_id", "text"), 13, 3, 40, 0.5)) <= 80
+    sample = substrings._sampled(substrings._rows(df, "doc_id", "text"), 13, 3, 1.0)
+    hot, strings = substrings.split_minimisers(sample, 40)
+    assert 0 < len(hot) <= 80 and strings == sample.count()
     # Enough strings to train a dictionary on.
-    assert substrings.trained(substrings._rows(df, "doc_id", "text"), 13, 3, 1.0).dictionary
+    assert substrings.trained(sample, strings).dictionary
     assert got(df) == brute(rows)
 
 
