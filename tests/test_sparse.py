@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from compostat.operators import batch as T
 from compostat.operators import gram as R
 from compostat.operators import rankmerge as K
 from compostat.operators.differential import rank_sums
@@ -110,3 +112,80 @@ def test_rank_sums_without_an_arm(spark):
     (r,) = K.sparse_rank_sums(values, rows).collect()
     assert r["u"] is None and r["n_control"] == 0
     assert K.sparse_rank_sums(values.limit(0), rows).count() == 0
+
+
+def combat_dense(v, batch, mod, eb):
+    """ComBat on a matrix, from its paper: standardise, shrink, adjust."""
+    levels = sorted(set(batch))
+    b = np.array([[float(x == level) for level in levels] for x in batch])
+    n = b.sum(axis=0)
+    coef = np.linalg.pinv(np.hstack([b, mod])) @ v
+    model = (n / n.sum()) @ coef[: len(levels)] + mod @ coef[len(levels) :]
+    sd = np.sqrt(np.maximum(((v - np.hstack([b, mod]) @ coef) ** 2).mean(axis=0), 1e-8))
+    z = (v - model) / sd
+    out = np.empty_like(z)
+    for k, level in enumerate(levels):
+        own = np.array([x == level for x in batch])
+        g, d = z[own].mean(axis=0), np.maximum(z[own].var(axis=0, ddof=1), 1e-8)
+        if eb:
+            g_hat, t2, m, s2 = g, g.var(ddof=1), d.mean(), d.var(ddof=1)
+            lam, theta, mean = (m**2 + 2 * s2) / s2, (m**3 + m * s2) / s2, g.mean()
+            for _ in range(200):
+                new = (n[k] * t2 * g_hat + d * mean) / (n[k] * t2 + d)
+                scale = (0.5 * ((z[own] - new) ** 2).sum(axis=0) + theta) / (0.5 * n[k] + lam - 1)
+                small = max(np.max(np.abs(new - g) / (np.abs(g) + 1e-8)), np.max(np.abs(scale - d) / (np.abs(d) + 1e-8))) < 1e-4
+                g, d = new, scale
+                if small:
+                    break
+        out[own] = (z[own] - g) / np.sqrt(d)
+    return out * sd + model
+
+
+@pytest.mark.parametrize(("eb", "use"), [(False, []), (True, []), (True, [("age", 4)])])
+def test_combat_from_sums_equals_dense_combat(spark, eb, use):
+    values, zeros, frame, rows, dense, present = tables(spark, 7, n=150)
+    covariates = [c for c, _ in use]
+    # p2 lacks ages too often only within it: the pooled design is over all projects.
+    frame = frame.withColumn("age", F.coalesce("age", F.lit(33.0)) if use else F.col("age"))
+    rows = [(*r[:4], 33.0 if r[4] is None and use else r[4], r[5]) for r in rows]
+    got = {(r["disease_category"], r["taxon"]): r for r in T.combat_contrasts(values, T.pooled_rows(frame, zeros, covariates), covariates, eb=eb, parts=5).collect()}
+    for category in "cd":
+        at = [k for k, r in enumerate(rows) if r[2] == category]
+        x, ok, used = design([rows[k] for k in at], use)
+        keep = [j for j in range(dense.shape[1]) if present[at, j].mean() >= 0.1]
+        v, x = dense[at][:, keep][ok], x[ok]
+        a = combat_dense(v, [rows[k][1] for k, o in zip(at, ok, strict=True) if o], x[:, 1:], eb)
+        beta = np.linalg.lstsq(x, a, rcond=None)[0]
+        se = np.sqrt(((a - x @ beta) ** 2).sum(axis=0) / (len(x) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+        assert {k[1] for k in got if k[0] == category} == {f"t{j:02}" for j in keep}
+        for k, j in enumerate(keep):
+            r = got[category, f"t{j:02}"]
+            assert r["effect"] == pytest.approx(beta[1, k], abs=1e-8) and r["se"] == pytest.approx(se[k], abs=1e-8)
+            assert (r["k_projects"], r["covariates"], r["dof"]) == (3, used, len(x) - x.shape[1])
+            assert r["ci_high"] - r["ci_low"] == pytest.approx(3.92 * se[k])
+
+
+def test_mixed_model_with_covariates_maximises_the_likelihood(spark):
+    values, zeros, frame, rows, dense, _ = tables(spark, 8, n=120)
+    frame = frame.withColumn("age", F.coalesce("age", F.lit(33.0)))
+    rows = [(*r[:4], 33.0 if r[4] is None else r[4], r[5]) for r in rows]
+    got = {(r["disease_category"], r["taxon"]): r for r in T.mixed_contrasts(values, T.pooled_rows(frame, zeros, ["age"]), ["age"]).collect()}
+    at = [k for k, r in enumerate(rows) if r[2] == "c"]
+    x, _, _ = design([rows[k] for k in at], [("age", 4)])
+    z = np.array([[float(rows[k][1] == p) for p in ("p0", "p1", "p2")] for k in at])
+
+    def fit(v, ratio):
+        inv = np.linalg.inv(np.eye(len(v)) + ratio * z @ z.T)
+        a = x.T @ inv @ x
+        beta = np.linalg.solve(a, x.T @ inv @ v)
+        s2 = (v - x @ beta) @ inv @ (v - x @ beta) / (len(v) - x.shape[1])
+        return beta[1], np.sqrt(s2 * np.linalg.inv(a)[1, 1]), (len(v) - x.shape[1]) * np.log(s2) - np.linalg.slogdet(inv)[1] + np.linalg.slogdet(a)[1]
+
+    for j in range(dense.shape[1]):
+        r = got.get(("c", f"t{j:02}"))
+        if r is None:
+            continue
+        fits = [fit(dense[at, j], ratio) for ratio in np.exp(np.linspace(-14, 8, 400))]
+        best = min(fits, key=lambda f: f[2])
+        assert r["effect"] == pytest.approx(best[0], abs=2e-3) and r["se"] == pytest.approx(best[1], rel=0.02)
+    assert sum(k[0] == "c" for k in got) > 5
