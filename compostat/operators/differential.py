@@ -144,11 +144,24 @@ def with_rank_p(df: DataFrame) -> DataFrame:
     return df.withColumn("wilcoxon_p", rank_test_p(F.col("u"), F.col("n_case").cast("double"), F.col("n_control").cast("double"), F.col("ties")))
 
 
-def within_project(values: DataFrame, zeros: DataFrame, frame: DataFrame, min_prevalence: float = 0.10, floors: tuple[int, int] = (10, 10), scenario: Sequence[str] = ()) -> DataFrame:
-    """Every contrast over both floors: OLS, p, and q within the contrast."""
+def within_project(values: DataFrame, zeros: DataFrame, frame: DataFrame, min_prevalence: float = 0.10, floors: tuple[int, int] = (10, 10), scenario: Sequence[str] = (), covariates: Sequence[str] = (), min_coverage: float = 0.8, wilcoxon: bool = False) -> DataFrame:
+    """Every contrast over both floors: OLS, p, and q within the contrast.  With ``covariates``
+    (columns of the frame) each contrast is adjusted for those that its samples fill and
+    that vary there; samples that miss one go, and the floors must hold without them too.
+    With ``wilcoxon`` the rank test's p and rank-biserial correlation stand beside."""
     block = [*scenario, "disease_category", "project"]
-    m = contrast_moments(values, zeros, frame, min_prevalence, scenario)
-    done = ols_contrasts(m.filter((F.col("n_case") >= floors[0]) & (F.col("n_control") >= floors[1])))
+    if covariates or wilcoxon:
+        from .gram import contrast_rows, covariate_contrasts
+        from .rankmerge import sparse_rank_sums
+
+        rows = contrast_rows(frame, zeros, covariates, scenario, floors, min_coverage)
+        done = covariate_contrasts(values, rows, covariates, scenario, min_prevalence)
+        if wilcoxon:
+            ranks = with_rank_p(sparse_rank_sums(values, rows, scenario)).select(*block, "taxon", "wilcoxon_p", "rank_biserial")
+            done = done.join(ranks, [*block, "taxon"], "left")
+    else:
+        m = contrast_moments(values, zeros, frame, min_prevalence, scenario)
+        done = ols_contrasts(m.filter((F.col("n_case") >= floors[0]) & (F.col("n_control") >= floors[1])))
     return bh_fdr(done.withColumn("p", t_p("stat", "dof")), by=block)
 
 

@@ -12,14 +12,22 @@ from . import differential as D
 from .sampling import permute_within
 
 
-def run_chain(values: DataFrame, zeros: DataFrame, frame: DataFrame, cells: DataFrame, alpha: float = 0.05, scenario: Sequence[str] = (), eb: bool = True, **kw) -> dict[str, DataFrame]:
+def run_chain(values: DataFrame, zeros: DataFrame, frame: DataFrame, cells: DataFrame | None = None, alpha: float = 0.05, scenario: Sequence[str] = (), eb: bool = True, covariates: Sequence[str] = (), pooled_prevalence: float = 0.10, **kw) -> dict[str, DataFrame]:
     """Per-project contrasts, meta-analysis, pooled test on adjusted values, concordance.
     With ``scenario`` columns (see ``contrast_moments``; ``cells`` has them too) the chain
-    runs for every scenario at once."""
-    per = D.within_project(values, zeros, frame, scenario=scenario, **kw)
+    runs for every scenario at once.  The pooled test comes from sums, of taxa present in
+    ``pooled_prevalence`` of a category's samples, or from dense ``cells`` where given (which
+    know no covariates)."""
+    per = D.within_project(values, zeros, frame, scenario=scenario, covariates=covariates, **kw)
     meta = D.meta_analysis(per, scenario=scenario)
     by = [*scenario, "disease_category"]
-    pooled = D.pooled_ols(D.combat(cells, by, eb), by=by)
+    if cells is None:
+        from .batch import combat_contrasts, pooled_rows
+
+        rows = pooled_rows(frame, zeros, covariates, scenario)
+        pooled = D.bh_fdr(combat_contrasts(values, rows, covariates, scenario, pooled_prevalence, eb), by=by)
+    else:
+        pooled = D.pooled_ols(D.combat(cells, by, eb), by=by)
     return {"per_project": per, "meta": meta, "pooled": pooled, "concordance": D.concordance(meta, pooled, alpha, scenario)}
 
 

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..operators import batch as T
 from ..operators import compose as C
 from ..operators import counts as N
 from ..operators import differential as D
 from ..operators import validation as A
 from . import views as V
 from .queries_data import CLR, PREVALENCE, rounded
-from .queries_stats import _META, _contrasts
-from .views import COUNTS, FRAME, SAMPLES
+from .queries_stats import _EFFECT, _META, _RSS, _contrasts, _rank_sql, partial_sql, rank_p_sql
+from .views import COUNTS, FRAME, FRAME_COV, SAMPLES
 
 DEPTHS, TIERS, ALPHA = [400, 800, 1200], [0.2, 0.25], 0.05
 
@@ -74,18 +75,14 @@ def _parts(spark, d):
     return counts, values, zeros, V.frame(spark, d), counts.select("taxon").distinct()
 
 
-def _cells(values, zeros, frame, taxa):
-    return C.dense(values, zeros, taxa).withColumnRenamed("clr", "v").join(frame, "sample")
-
-
 def _concordance(out):
     return rounded(out["concordance"], "meta_effect", "meta_q", "pooled_effect", "pooled_q").withColumn("k_projects", F.col("k_projects").cast("double"))
 
 
 @query(f"WITH {_BASE}, {_dense_sql('frame')}, {chain_sql()} SELECT disease_category, taxon, {_ROUNDED}")
 def run_chain(spark, d):
-    _, values, zeros, frame, taxa = _parts(spark, d)
-    return _concordance(A.run_chain(values, zeros, frame, _cells(values, zeros, frame, taxa), eb=False))
+    _, values, zeros, frame, _ = _parts(spark, d)
+    return _concordance(A.run_chain(values, zeros, frame, eb=False, pooled_prevalence=0.0))
 
 
 @query(f"""WITH {_BASE}, {_dense_sql('frame')}, {chain_sql()} SELECT disease_category, project, taxon, n_case, n_control, n_present, round(effect, 6) + 0.0 AS effect, round(se, 6) AS se, round(stat, 5) + 0.0 AS stat, dof, round(p, 6) AS p, round(q, 6) AS q FROM within""")
@@ -94,6 +91,42 @@ def within_project_tests(spark, d):
     return rounded(D.within_project(values, zeros, frame), "effect", "se", "p", "q").withColumn("stat", F.round("stat", 5) + 0.0)
 
 
+# Dense cells with an age that some contrasts use; those that miss it don't count there.
+_COV = f"""{_BASE}, {FRAME_COV}, {_dense_sql('framec').replace('dense AS', 'dn AS').replace('coalesce(clr, zero_clr) AS v', 'round(coalesce(clr, zero_clr), 9) AS v')},
+us AS (SELECT disease_category, project, min(filled) >= 0.8 AND max(high) > min(low) AS used FROM (SELECT disease_category, project, y, avg(CAST(age IS NOT NULL AS DOUBLE)) AS filled, max(age) AS high, min(age) AS low FROM framec JOIN zeros USING (sample) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+dense AS (SELECT dn.*, used, NOT used OR age IS NOT NULL AS ok, CASE WHEN used THEN age ELSE 0 END AS x FROM dn JOIN us USING (disease_category, project)),
+pr AS (SELECT disease_category, project, taxon, count(*) FILTER (WHERE present) AS n_present, count(*) AS n_all, count(*) FILTER (WHERE y = 1 AND ok) AS n_case, count(*) FILTER (WHERE y = 0 AND ok) AS n_control, any_value(used) AS used FROM dense GROUP BY 1, 2, 3),
+sm AS (SELECT disease_category, project, taxon, {partial_sql('x')} FROM dense WHERE ok GROUP BY 1, 2, 3),
+ols AS (SELECT *, CAST(n_case + n_control - CASE WHEN used THEN 3 ELSE 2 END AS DOUBLE) AS dof, CASE WHEN used THEN {_EFFECT} ELSE syv / syy END AS effect, CASE WHEN used THEN {_RSS} * sxx / (syy * sxx - syx * syx) ELSE (svv - syv * syv / syy) / syy END AS sse
+  FROM pr JOIN sm USING (disease_category, project, taxon) WHERE n_case >= 10 AND n_control >= 10 AND n_present >= CAST(0.1 AS DOUBLE) * n_all),
+ot AS (SELECT *, sqrt(sse / dof) AS se, effect / sqrt(sse / dof) AS stat FROM ols), ps AS (SELECT *, {_t_p('stat', 'dof')} AS p FROM ot), within AS ({_q('ps', 'disease_category, project')}),
+rk AS (SELECT disease_category, project, taxon, y, {_rank_sql('v', 'disease_category, project, taxon')} AS r, count(*) OVER (PARTITION BY disease_category, project, taxon, v) AS t FROM dense WHERE ok),
+ru AS (SELECT disease_category, project, taxon, sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0 AS u, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM rk GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_COV} SELECT disease_category, project, taxon, n_case, n_control, n_present, round(effect, 6) + 0.0 AS effect, round(se, 6) AS se, round(stat, 5) + 0.0 AS stat, dof, round(p, 6) AS p, round(q, 6) AS q, CASE WHEN used THEN 'age' ELSE '' END AS covariates,
+round({rank_p_sql('u', 'n_case', 'n_control', 'ties')}, 6) AS wilcoxon_p, round(2 * u / (n_case * n_control) - 1, 6) + 0.0 AS rank_biserial FROM within JOIN ru USING (disease_category, project, taxon)""")
+def within_project_adjusted(spark, d):
+    _, values, zeros, _, _ = _parts(spark, d)
+    nine = lambda df, c: df.withColumn(c, F.round(c, 9))
+    out = D.within_project(nine(values, "clr"), nine(zeros, "zero_clr"), V.frame_with_covariates(spark, d), covariates=["age"], wilcoxon=True)
+    return rounded(out, "effect", "se", "p", "q", "wilcoxon_p", "rank_biserial").withColumn("stat", F.round("stat", 5) + 0.0)
+
+
+@query()
+def run_chain_adjusted(spark, d):
+    """The chain with two covariates and empirical Bayes: what SQL can't iterate."""
+    _, values, zeros, _, _ = _parts(spark, d)
+    return _concordance(A.run_chain(values, zeros, V.frame_with_covariates(spark, d), covariates=["age", "sex"]))
+
+
+@query()
+def mixed_adjusted(spark, d):
+    _, values, zeros, _, _ = _parts(spark, d)
+    rows = T.pooled_rows(V.frame_with_covariates(spark, d), zeros, ["age", "sex"])
+    return D.bh_fdr(T.mixed_contrasts(values, rows, ["age", "sex"]), by=["disease_category"])
+
+
 @query(f"""WITH {_META}, sg AS (SELECT disease_category, taxon, avg(CAST(sign(w.effect) = sign(m.pooled_effect) AS DOUBLE)) AS sign_consistency FROM w JOIN meta m USING (disease_category, taxon) GROUP BY 1, 2),
 mp AS (SELECT *, {_normal_p('z')} AS p FROM meta JOIN sg USING (disease_category, taxon)), mq AS ({_q('mp', 'disease_category')})
 SELECT disease_category, taxon, k_projects, round(pooled_effect, 6) + 0.0 AS pooled_effect, round(se, 6) AS se, round(pooled_effect - 1.96 * se, 6) + 0.0 AS ci_low, round(pooled_effect + 1.96 * se, 6) + 0.0 AS ci_high, round(z, 5) + 0.0 AS z,
@@ -108,9 +141,9 @@ _DEPTH = f"t AS (SELECT sample, sum(n) AS depth FROM counts GROUP BY 1), fr AS (
 
 @query(f"WITH {_BASE}, {_DEPTH}, {_dense_sql('fr')}, {chain_sql('threshold')} SELECT threshold, disease_category, taxon, {_ROUNDED}")
 def depth_sweep_chain(spark, d):
-    counts, values, zeros, frame, taxa = _parts(spark, d)
+    counts, values, zeros, frame, _ = _parts(spark, d)
     frame = A.at_thresholds(frame, N.sample_depth(counts), DEPTHS)
-    return _concordance(A.run_chain(values, zeros, frame, _cells(values, zeros, frame, taxa), scenario=["threshold"], eb=False))
+    return _concordance(A.run_chain(values, zeros, frame, scenario=["threshold"], eb=False, pooled_prevalence=0.0))
 
 
 _TIERS = "ti AS (SELECT tier, taxon FROM prevalence, (VALUES " + ", ".join(f"(CAST({t} AS DOUBLE))" for t in TIERS) + ") AS v(tier) WHERE prevalence >= tier)"
@@ -119,11 +152,10 @@ _TIERS = "ti AS (SELECT tier, taxon FROM prevalence, (VALUES " + ", ".join(f"(CA
 @query(f"""WITH {_BASE}, {PREVALENCE}, {_TIERS}, dense AS (SELECT f.*, t.tier, t.taxon, coalesce(clr, zero_clr) AS v, clr IS NOT NULL AS present FROM frame f JOIN zeros USING (sample) JOIN ti t ON TRUE LEFT JOIN clr ON clr.sample = f.sample AND clr.taxon = t.taxon),
 {chain_sql('tier')} SELECT tier, disease_category, taxon, {_ROUNDED}""")
 def prevalence_sweep_chain(spark, d):
-    counts, values, zeros, frame, taxa = _parts(spark, d)
+    counts, values, zeros, frame, _ = _parts(spark, d)
     tiers = A.in_tiers(N.prevalence(counts), TIERS)
     frames = frame.withColumn("tier", F.explode(F.array(*map(F.lit, TIERS))))
-    cells = _cells(values, zeros, frame, taxa).join(tiers, "taxon")
-    return _concordance(A.run_chain(values.join(tiers, "taxon"), zeros, frames, cells, scenario=["tier"], eb=False))
+    return _concordance(A.run_chain(values.join(tiers, "taxon"), zeros, frames, scenario=["tier"], eb=False, pooled_prevalence=0.0))
 
 
 @query(f"""WITH {_BASE}, filled AS (SELECT *, total + (t - k) * CAST(0.5 AS DOUBLE) AS total2 FROM stats),

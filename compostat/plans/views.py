@@ -47,6 +47,18 @@ def frame(spark: SparkSession, d: str) -> DataFrame:
 FRAME = "frame AS (SELECT sample, project, disease_category, CAST(disease_label = 'case' AS INT) AS y FROM samples)"
 
 
+def frame_with_covariates(spark: SparkSession, d: str) -> DataFrame:
+    """The frame with an age that some samples lack (half of those in one project) and a sex."""
+    c = F.col("row_id")
+    age = F.when(c % F.when(F.col("project") == "ASIA", 2).otherwise(11) > 0, (c * 37 % 83).cast("double"))
+    sex = F.when(c % 19 == 0, F.lit(None).cast("string")).when(c % 3 == 0, "Male").when(c % 17 == 0, "unknown").otherwise("female")
+    return samples(spark, d).select("sample", "project", "disease_category", (F.col("disease_label") == "case").cast("int").alias("y"), age.alias("age"), sex.alias("sex"))
+
+
+FRAME_COV = """framec AS (SELECT sample, project, disease_category, CAST(disease_label = 'case' AS INT) AS y,
+  CASE WHEN row_id % CASE WHEN project = 'ASIA' THEN 2 ELSE 11 END > 0 THEN CAST(row_id * 37 % 83 AS DOUBLE) END AS age FROM samples)"""
+
+
 def tags(spark: SparkSession, d: str) -> DataFrame:
     """Events as attribute values, with the usual words for missing."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
