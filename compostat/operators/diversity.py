@@ -264,8 +264,8 @@ def sequential_ss(vectors: DataFrame, terms: Sequence[str], vec: str = "vec", pe
     """Type-I sums of squares of factors on Euclidean distance, in the order given, with a
     Residual row; rows with any null term go.  ``[X Z]'[X Z]`` is summed over the
     cluster; only its (columns x columns) solve runs on the driver, after a check.
-    Permutation p (0 permutations: null) needs a subsample of ``max_rows`` rows at most,
-    taken in the order of ``id_col``, so that every partitioning gives the same p."""
+    Permutation p (0 permutations: null) needs a subsample of ``max_rows`` rows at most;
+    rows are permuted by MD5 of seed, permutation and ``id_col``."""
     spark = vectors.sparkSession
     rows = vectors.filter(" AND ".join(f"`{t}` IS NOT NULL" for t in terms)).select(F.col(id_col).alias("__id"), vec, *(F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(terms)))
     levels = []
@@ -328,14 +328,19 @@ def sequential_ss(vectors: DataFrame, terms: Sequence[str], vec: str = "vec", pe
     x, z = design(data), np.vstack(data[vec].to_numpy()).astype(float)
     z = z - z.mean(0)
     bases = [np.linalg.qr(x[:, :w])[0] for w in upto]
-    sent = spark.sparkContext.broadcast((bases, z))
+    sent = spark.sparkContext.broadcast((bases, z, [str(i) for i in data["__id"]]))
 
     def permuted(batches):
-        bases, z = sent.value
+        from hashlib import md5
+
+        bases, z, ids = sent.value
+        order = lambda start: sorted(range(len(ids)), key=lambda k: (md5(f"{start}|{ids[k]}".encode()).digest(), k))
+        at = order(f"{seed}")
         for pdf in batches:
             out = []
             for i in pdf["id"]:
-                y = z[np.random.default_rng([seed, i]).permutation(len(z))]
+                y = np.empty_like(z)
+                y[at] = z[order(f"{seed}|{i}")]
                 fit = [float(((q.T @ y) ** 2).sum()) for q in bases]
                 rest = float((y * y).sum()) - fit[-1]
                 out.append([(b - a) / max(rest, 1e-300) for a, b in zip(fit, fit[1:], strict=False)])

@@ -57,19 +57,22 @@ def degrees(edges: DataFrame, spine: DataFrame | None = None, key: str = "sample
     return d if spine is None else spine.select(key).distinct().join(d, key, "left").na.fill(0, ["degree"])
 
 
-def knn(vectors: DataFrame, k: int = 10, id_col: str = "sample", vec: str = "vec", group: str | None = None, block: int = 512) -> DataFrame:
+def knn(vectors: DataFrame, k: int = 10, id_col: str = "sample", vec: str = "vec", block: int = 512, all_pairs: int = 5_000) -> DataFrame:
     """Exact ``k`` nearest others of each row, ``(src, dst, dist, place)``; ties by id.
 
-    Blocked: rows are dealt into blocks, every pair of blocks is one Arrow task that
-    multiplies two matrices and keeps the best ``k`` per row and block, and the few kept
-    are ranked.  Meant for subsamples (cost is quadratic in rows)."""
+    Over ``all_pairs`` rows go through the pivot index (``neighbours``).  Fewer are dealt into
+    blocks: every pair of blocks is one Arrow task that keeps the best ``k`` per row and
+    block, and the few kept are ranked."""
     import numpy as np
     import pandas as pd
 
-    extra = [group] if group else []
     n = vectors.count()
+    if n > all_pairs:
+        from .neighbours import PivotIndex
+
+        return PivotIndex(vectors, id_col, vec, k).nearest()
     blocks = max(1, -(-n // block))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *(F.col(g).alias("g") for g in extra)).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     packed = rows.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     pairs = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1")).join(packed.select(F.col("b").alias("b2"), F.col("rows").alias("r2")))
     kind = rows.schema["id"].dataType.simpleString()

@@ -9,6 +9,7 @@ from ..registry import query
 from ..operators import compose as C
 from ..operators import counts as N
 from ..operators import graphs as G
+from ..operators import neighbours as NB
 from . import views as V
 from .queries_data import CLR, r6, rounded
 from .views import COUNTS, SAMPLES, VECTORS
@@ -91,6 +92,22 @@ def knn_same_project(spark, d):
     return rounded(G.knn_edges(G.knn(v), v)[1], "pct_same")
 
 
+@query(f"WITH {_KNN} SELECT src, dst, round(dist, 6) AS dist, CAST(place AS INTEGER) AS place FROM nn")
+def knn_index(spark, d):
+    return rounded(NB.PivotIndex(V.vectors(spark, d)).nearest(), "dist")
+
+
+@query()
+def knn_index_recall(spark, d):
+    """What searches of a few cells find of the exact neighbours, and what they look at."""
+    index = NB.PivotIndex(V.vectors(spark, d))
+    exact, out = index.nearest(), None
+    for probes in (1, 4, 8):
+        one = NB.recall(index.nearest(probes), exact).crossJoin(index.candidates(probes).select("mean", "most")).select(F.lit(probes).alias("probes"), "n", "recall", "mean", "most")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"""WITH {_KNN}, y AS (SELECT sample, CAST(project < 5 AS INT) AS y FROM vectors), p AS (SELECT avg(CAST(y AS DOUBLE)) AS p FROM y)
 SELECT count(*) AS n_edges, round(avg(CAST(a.y = b.y AS DOUBLE)), 6) AS agreement, round(min(p * p + (1 - p) * (1 - p)), 6) AS chance FROM nn JOIN y a ON a.sample = src JOIN y b ON b.sample = dst, p""")
 def knn_label_agreement(spark, d):

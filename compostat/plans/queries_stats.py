@@ -11,6 +11,7 @@ from ..operators import differential as D
 from ..operators import diversity as B
 from ..operators import gram as R
 from ..operators import models as M
+from ..operators import ordination as O
 from ..operators import rankmerge as K
 from ..operators import validation as A
 from . import views as V
@@ -82,9 +83,32 @@ def permanova_bray(spark, d):
     return rounded(B.permanova_bray(C.relative_abundance(V.counts(spark, d)), V.samples(spark, d), "project"), "pseudo_f", "r2")
 
 
-@query()
+def permutation_sql(pairs, rows, factor, n, seed=42):
+    """PERMANOVA with ``n`` permutations by MD5, over ``pairs (a, b, d)`` and ``rows (sample, factor)``."""
+    return f"""lb AS (SELECT sample, CAST({factor} AS VARCHAR) AS level FROM {rows}),
+ba AS (SELECT sample, row_number() OVER (ORDER BY md5('{seed}|' || sample), sample) AS k FROM lb),
+dr AS (SELECT i, level, row_number() OVER (PARTITION BY i ORDER BY md5('{seed}|' || i || '|' || sample), sample) AS k FROM lb, range(1, {n} + 1) AS r(i)),
+pe AS (SELECT 0 AS i, sample, level FROM lb UNION ALL SELECT i, sample, level FROM ba JOIN dr USING (k)),
+sz AS (SELECT level, count(*) AS m FROM lb GROUP BY 1), nn AS (SELECT sum(m) AS n, count(*) AS g FROM sz), al AS (SELECT sum(d * d) AS s FROM {pairs}),
+wi AS (SELECT x.i, x.level, sum(d * d) AS s FROM {pairs} p JOIN pe x ON x.sample = p.a JOIN pe y ON y.sample = p.b AND y.i = x.i AND y.level = x.level GROUP BY 1, 2),
+sw AS (SELECT i, sum(s / m) AS ssw FROM wi JOIN sz USING (level) GROUP BY 1), fs AS (SELECT i, n, g, s / n AS sst, ssw, ((s / n - ssw) / (g - 1)) / (ssw / (n - g)) AS f FROM sw, nn, al)
+SELECT CAST(r.n AS BIGINT) AS n, r.g AS n_groups, round(r.f, 6) AS pseudo_f, round((r.sst - r.ssw) / r.sst, 6) AS r2, count(*) AS n_permutations, (count(*) FILTER (WHERE x.f >= r.f * (1 - 1e-9)) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p
+FROM fs r JOIN fs x ON r.i = 0 AND x.i > 0 GROUP BY r.n, r.g, r.f, r.sst, r.ssw"""
+
+
+@query(f"WITH {VECTORS}, pr AS (SELECT x.sample AS a, y.sample AS b, {_DIST} AS d FROM vectors x JOIN vectors y ON x.sample < y.sample), {permutation_sql('pr', 'vectors', 'project', 999)}")
 def permanova_permutations(spark, d):
-    return B.permanova_p(V.vectors(spark, d), "project", 99)
+    v = V.vectors(spark, d)
+    return rounded(O.permutation_p(O.permutation_f(O.Blocks(v), v, "project", 999)), "pseudo_f", "r2")
+
+
+@query(f"""WITH {COUNTS}, {SAMPLES}, rel AS (SELECT sample, taxon, n / CAST(sum(n) OVER (PARTITION BY sample) AS DOUBLE) AS p FROM counts), k AS (SELECT DISTINCT sample, project FROM rel JOIN samples USING (sample)),
+m AS (SELECT x.sample AS a, y.sample AS b, sum(least(x.p, y.p)) AS s FROM rel x JOIN rel y USING (taxon) WHERE x.sample < y.sample GROUP BY 1, 2),
+pr AS (SELECT x.sample AS a, y.sample AS b, greatest(0.0, 1 - coalesce(s, 0.0)) AS d FROM k x JOIN k y ON x.sample < y.sample LEFT JOIN m ON m.a = x.sample AND m.b = y.sample), {permutation_sql('pr', 'k', 'project', 99)}""")
+def permanova_bray_permutations(spark, d):
+    relative = C.relative_abundance(V.counts(spark, d))
+    v = C.vectors(relative, relative.select("sample").distinct().withColumn("none", F.lit(0.0)), relative.select("taxon").distinct(), "relative", "none")
+    return rounded(O.permutation_p(O.permutation_f(O.Blocks(v, O.bray), V.samples(spark, d), "project", 99)), "pseudo_f", "r2")
 
 
 @query(f"""WITH {VECTORS}, v AS (SELECT *, sample % 7 AS seventh FROM vectors), c AS (SELECT project, unnest(vec) AS x, generate_subscripts(vec, 1) AS j FROM v),
@@ -98,7 +122,7 @@ def dbrda_one_term(spark, d):
 
 @query()
 def dbrda_sequential(spark, d):
-    return B.sequential_ss(V.vectors(spark, d).withColumn("seventh", F.col("sample") % 7), ["seventh", "project"], permutations=49)
+    return B.sequential_ss(V.vectors(spark, d).withColumn("seventh", F.col("sample") % 7), ["seventh", "project"], permutations=999)
 
 
 @query()
