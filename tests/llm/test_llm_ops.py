@@ -132,34 +132,55 @@ def test_components_of_a_chain(spark):
 
 
 def brute_licences(rows, known=licences.SENTENCES, rules=licences.RULES, max_gap=3):
-    ids, out = {s: i for i, s in reversed(known)}, []
+    ids, slots, out = {s: i for i, s in reversed(known)}, [], []
+    for i, s in known:
+        if "*" in s:
+            before, after = (x.strip() for x in s.split("*"))
+            slots.append((re.compile(f"{before} .{{1,160}}?" + (f" {after}" if after else "")), i))
+            if len(after.split()) >= 8:
+                ids.setdefault(after, i)
     for doc, t in rows:
-        seq = []
+        seq, strange = [], []
         for p, s in enumerate(re.sub(r"([.!?])[ \t\r\n]+", r"\1\n", t or "").split("\n")):
             low = s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
             key = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", low).strip(" ")
-            if key in ids:
-                seq.append((p, ids[key]))
-        runs, found = [], []
+            sid = ids.get(key) or next((i for pattern, i in slots if pattern.fullmatch(key)), None)
+            if sid:
+                seq.append((p, sid))
+            elif len(key.split(" ")) >= 4 and not re.match("(https?|copyright) ", key) and not any(key.startswith(pattern.pattern.split(".{")[0]) for pattern, _ in slots):
+                strange.append(p)
+        runs, found = [], []  # (identifiers, whether an unknown sentence follows)
         for k, (p, i) in enumerate(seq):
-            if not k or p - seq[k - 1][0] > max_gap:
-                runs.append([])
-            runs[-1].append(i)
+            after = seq[k + 1][0] if k + 1 < len(seq) else 1 << 40
+            odd = any(p < q < after and q - p <= max_gap for q in strange)
+            if not k or runs[-1][1] is not None:
+                runs.append([[], None])
+            runs[-1][0].append(i)
+            if odd or after - p > max_gap:
+                runs[-1][1] = odd
         for licence, want in rules:
+            want, calm = [w for w in want if w != "$"], want[-1] == "$"
             k = 0
             while k < len(runs):
-                at = next((j for j in range(len(runs[k]) - len(want) + 1) if tuple(runs[k][j : j + len(want)]) == tuple(want)), None)
+                own, odd = runs[k]
+                at = next((j for j in range(len(own) - len(want) + 1) if own[j : j + len(want)] == want and not (calm and odd and j + len(want) == len(own))), None)
                 if at is None:
                     k += 1
                     continue
                 found.append(licence)
-                runs[k : k + 1] = [runs[k][:at], runs[k][at + len(want) :]]
-        out.append((doc, len(seq), ",".join(i for _, i in seq), ",".join(dict.fromkeys(found)), sum(map(len, runs))))
+                runs[k : k + 1] = [[own[:at], False], [own[at + len(want) :], odd]]
+        out.append((doc, len(seq), ",".join(i for _, i in seq), ",".join(dict.fromkeys(found)), sum(len(r[0]) for r in runs)))
     return sorted(out, key=repr)
 
 
+def filled(known=licences.SENTENCES):
+    """Sentences by identifier, usual holders in their slots."""
+    usual = {"bsd_endorse": "the copyright holder", "bsd_as_is": "the copyright holders and contributors", "mit_liability": "the authors or copyright holders", "bsd_acknowledge": "the University"}
+    return {i: s.replace("*", usual.get(i, "the University")) for i, s in known}
+
+
 def test_licence_scan_matches_brute_force(spark, docs):
-    text = dict(licences.SENTENCES)
+    text = filled()
     mit = ". ".join(text[i].upper() for i in ("mit_grant", "mit_notice", "mit_as_is")) + "."
     bsd = ".\n".join(text[i] for i in ("bsd_grant", "bsd_source", "bsd_binary"))
     rows = [(1, mit + " All rights reserved."), (2, bsd), (3, bsd + "!\na\nb\nc\nd\n" + text["bsd_endorse"]), (4, "x. Licensed under the Apache License, Version 2.0. Licensed under the MIT License."), (5, text["mit_notice"]), (6, None), (6, None), (7, "All rights reserved.\n" * 3), (None, "(All, rights -- reserved)")]
@@ -174,7 +195,7 @@ def test_licence_scan_matches_brute_force(spark, docs):
 def test_licence_scan_finds_wrapped_texts(spark):
     import textwrap
 
-    text = dict(licences.SENTENCES)
+    text = filled()
     para = lambda i, mark="", width=72: "\n".join(mark + x for x in textwrap.wrap(text[i].capitalize() + ".", width))
     mit, bsd = ("mit_grant", "mit_notice", "mit_as_is"), ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")
     rows = [
@@ -198,6 +219,29 @@ def test_licence_scan_finds_wrapped_texts(spark):
     assert got == want
 
 
+def test_licences_with_holders_and_unknown_sentences(spark):
+    text = filled()
+    bsd2 = ". ".join(text[i] for i in ("bsd_grant", "bsd_source", "bsd_binary")) + ". "
+    as_is = "THIS SOFTWARE IS PROVIDED BY {} ``AS IS\'\' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    endorse = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission. "
+    odd = "You may not use this for weapons of any kind. "
+    header = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; version 2 of the License.\n"
+    texts = {
+        bsd2 + endorse.format("Acme Inc.") + as_is.format("ACME INC."): "BSD-3-Clause", bsd2 + endorse.format("the University") + as_is.format("THE REGENTS"): "BSD-3-Clause",
+        bsd2 + endorse.format("the\nUniversity of Somewhere"): "BSD-3-Clause", bsd2 + as_is.format("ACME CORP."): "BSD-2-Clause", bsd2 + as_is.format("JANE DOE"): "BSD-2-Clause",
+        bsd2 + odd + as_is.format("JANE DOE"): "BSD, clauses unknown", bsd2 + odd: "BSD, clauses unknown", bsd2: "BSD-2-Clause", bsd2 + "All rights reserved.": "BSD-2-Clause,all rights reserved",
+        bsd2 + "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University. " + endorse.format("the University"): "BSD-4-Clause",
+        "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied.": "Apache-2.0",
+        header: "GPL-2.0-only", header.replace("; version", "; either version").replace("License.\n", "License, or (at your option) any later version.\n"): "GPL-2.0-or-later",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": "MIT,Apache-2.0", "# SPDX-License-Identifier: (GPL-2.0-only AND BSD-3-Clause) OR ISC\nx = 1": "GPL-2.0-only,BSD-3-Clause,ISC",
+        "SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only", "SPDX-License-Identifier: BSL-1.0": "BSL-1.0", "Released under the MIT License, see LICENSE.": "MIT", "Tea OR coffee": "",
+        "Licensed under the Eclipse Public License, version 2.0": "EPL-2.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licences.scan(df).collect()}
+    assert [(t, got[k], want) for k, (t, want) in enumerate(texts.items()) if got[k] != want] == []
+
+
 def brute_lines(rows):
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(upper)
