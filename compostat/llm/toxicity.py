@@ -155,7 +155,8 @@ def fit(
     marks = (labels if labels is not None else labelled).select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
     # Only keys and hashes are joined and ordered; texts are fetched for the sample alone.
     order = F.abs(F.xxhash64(F.lit("sample"), "k") % 2**40)
-    rows = marks.join(texts.select("k"), "k").select("k", "y", order.alias("h"))
+    # A key counts once for a label, however often it stands in either table.
+    rows = marks.distinct().join(texts.select("k").distinct(), "k").select("k", "y", order.alias("h"))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     drawn = []
     for y, most in ((1, max_toxic), (0, max_ordinary)):
@@ -164,12 +165,15 @@ def fit(
     sample: dict[int, list[str]] = {0: [], 1: []}
     spark = labelled.sparkSession
     if drawn:
-        wanted = F.broadcast(spark.createDataFrame([tuple(r) for r in drawn], rows.schema).distinct())
+        wanted = F.broadcast(spark.createDataFrame([tuple(r) for r in drawn], rows.schema))
         place = f"cast(1 + h % greatest(1, coalesce(char_length(t), 0) - {excerpt_chars} + 1) as int)"
-        found = texts.join(wanted, "k").select("y", "h", F.expr(f"coalesce(substring(t, {place}, {excerpt_chars}), '')").alias("x"))
+        # Of the texts of one key the least excerpt: a row for each key drawn, at most.
+        found = texts.join(wanted, "k").groupBy("k", "y", "h").agg(F.min(F.expr(f"coalesce(substring(t, {place}, {excerpt_chars}), '')")).alias("x")).select("y", "h", "x")
         for r in sorted(found.collect(), key=lambda r: (r["h"], r["x"])):
             sample[r["y"]].append(r["x"])
     n1, n0 = len(sample[1]), len(sample[0])
+    if any(counts.get(y) and not sample[y] for y in (0, 1)):
+        raise RuntimeError("a label has texts of which none was drawn")
     if not n1 or not n0:
         return ToxicityModel(b"", b"", level, min_match, window_words, counts.get(1, 0) / max(1, sum(counts.values())))
     words = {y: [[w for ws in words_of(t) for w in ws] for t in sample[y]] for y in (0, 1)}

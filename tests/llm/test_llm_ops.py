@@ -628,3 +628,20 @@ def test_classifiers_on_odd_rows(spark, docs):
     one = toxicity.fit(labelled.filter("toxic = 0"))
     assert {r["score"] for r in toxicity.score(docs, one).collect()} == {0.0}
     assert langid.identify(docs.limit(0), model).count() == 0 and toxicity.score(docs.limit(0), one).count() == 0
+
+
+def test_toxicity_fit_with_repeated_ids(spark, monkeypatch):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    some = lambda: " ".join(rng.choice(words) for _ in range(60))
+    rows = [(i, some() + (" vile brute scum" if i < 9 else ""), int(i < 9)) for i in range(200)]
+    # One id stands in the table 5,000 times, in the labels too.
+    for repeated in (3, 150):
+        many = [r for r in rows if r[0] != repeated] + [(repeated, f"{rows[repeated][1]} {k % 7}", rows[repeated][2]) for k in range(5000)]
+        df = spark.createDataFrame(many, "doc_id bigint, text string, toxic int")
+        drawn = []
+        monkeypatch.setattr(toxicity, "trained", lambda parts, *a: drawn.append(parts) or b"x" * 300)
+        model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), max_toxic=5, max_ordinary=20)
+        assert model.weights and model.prior == pytest.approx(9 / 200)
+        # Windows of at most 20 ordinary excerpts, and at most 5 toxic ones.
+        assert max(map(len, drawn)) <= 20 * 10
