@@ -14,7 +14,7 @@ of its old shard and hash, computed where the row lies, and texts move once, int
 rewritten files.
 
 Defined cases: a null text has no byte (size 1, CRC of nothing); null, repeated and
-tied ids are ordered by hash of id and text, equal rows stay together; a very long text is
+tied ids are ordered by hash of id and text, equal rows in the order they were read, so that a cut may part them; a very long text is
 a row like any other, so the shards at whose bounds it lies differ by its size at most; an
 empty table gives an empty one; other columns are rewritten with their row by ``rewrite``
 and left out of ``documents_to_shards``.
@@ -160,10 +160,11 @@ def plan_transfers(rows: DataFrame, old_shards: int, capacities: list[int] | Non
 
 def layout(df: DataFrame, old_shards: int, old_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``__old``, ``__size``, ``__crc`` and ``__place``.  Without ``old_col`` rows
-    lie in old shards by CRC-32 of their id."""
+    lie in old shards by CRC-32 of their id.  A row's place is a hash of id and text; its last
+    24 bits are the row's own, so that a cut may fall between equal rows."""
     text = text_bytes(text_col)
     old = F.col(old_col).cast("int") if old_col else (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % old_shards).cast("int")
-    return df.withColumns({"__old": old, "__size": F.octet_length(text).cast("bigint") + 1, "__crc": F.crc32(text), "__place": _mixed(F.col(id_col), F.col(text_col))})
+    return df.withColumns({"__old": old, "__size": F.octet_length(text).cast("bigint") + 1, "__crc": F.crc32(text), "__place": _mixed(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 24) - 1)))})
 
 
 def reshard(

@@ -398,6 +398,17 @@ def test_resharding(spark, docs):
     assert sharding.documents_to_shards(docs.limit(0)).count() == 0
 
 
+def test_resharding_cuts_between_equal_rows(spark):
+    rows = [(k, f"text {k}") for k in range(300)] + [(7, "the same row")] * 2000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sharding.documents_to_shards(df, new_shards=16, old_shards=12).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    # A shard has at most one cut for each old shard that gives to it; a row a cut is the slack.
+    assert len(sizes) == 16 and sizes.max() - sizes.min() <= 3 * got["size"].max()
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
 def test_resharding_leaves_unaffected_shards(spark, tmp_path):
     from pathlib import Path
 
