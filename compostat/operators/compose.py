@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,33 +86,50 @@ def log_relative(counts: DataFrame, pseudocount: float = 0.5, n_taxa: int | None
     return values, cells.groupBy("sample").agg((F.lit(math.log10(pseudocount)) - F.log10(F.max("filled"))).alias("zero_log_relative"))
 
 
-def rarefy(counts: DataFrame, depth: int, seed: int = 42, block: int = 65536) -> DataFrame:
+def hypergeometric(u: float, good: int, total: int, draws: int) -> int:
+    """The number of good among ``draws`` of ``total`` without replacement, from a uniform ``u``: the
+    least number whose probability and that of all smaller ones is over ``u``.  Probabilities
+    are taken around the likeliest number, as far as they matter to a double."""
+    low, high = max(0, draws - (total - good)), min(good, draws)
+    if low == high:
+        return low
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(max(1.0, draws * (good / total) * (1 - good / total) * (total - draws) / max(1, total - 1)))
+    reach = int(40 * spread) + 40
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=float)
+    steps = np.log((good - k) * (draws - k)) - np.log((k + 1) * (total - good - draws + k + 1))
+    weights = np.exp(np.append(0.0, np.cumsum(steps)) - np.append(0.0, np.cumsum(steps)).max())
+    upto = np.cumsum(weights)
+    return first + int(np.searchsorted(upto, u * upto[-1], "right"))
+
+
+def rarefy(counts: DataFrame, depth: int, seed: int = 42) -> DataFrame:
     """Exactly ``depth`` reads of each sample that has as many, without replacement.
 
-    Every read has a place in an order by hash and the first ``depth`` stay.  Hashes are
-    even, so of a large sample only reads below a bound go into the order: the share that
-    gives ``depth`` reads and ten deviations more.  A shuffle thus moves some ``depth``
-    reads of a sample, however many it has.  A sample left short by its bound (one in
-    10^20) takes all its reads.  Cells give their reads in blocks of ``block``."""
-    big = lambda k: F.lit(k).cast("bigint")
+    Cell by cell in the order of taxa, a cell's reads among those still to be drawn follow
+    the hypergeometric distribution; its uniform number is the MD5 of seed, sample and taxon.  So
+    the work is a step a cell, however many reads it has, and a sample's cells pass through
+    a task as a stream that holds two numbers."""
     cells = counts.filter("n > 0").select("sample", "taxon", F.col("n").cast("bigint").alias("n"))
     cells = cells.withColumn("total", F.sum("n").over(Window.partitionBy("sample"))).filter(F.col("total") >= depth)
-
-    def reads(of: DataFrame) -> DataFrame:
-        starts = of.withColumn("first", F.explode(F.sequence(big(1), F.col("n"), big(block))))
-        each = starts.withColumn("read", F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + (block - 1)))))
-        return each.select("sample", "taxon", "read", hash_order(seed, F.col("sample"), F.col("taxon"), F.col("read")).alias("h"), *([F.col("bound")] if "bound" in of.columns else []))
-
-    # The bound is a hash's first twelve digits; no digit is as large as a "g".
-    share = (depth + 10.0 * math.sqrt(depth) + 100.0) / F.col("total")
-    bound = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex((share * float(16**12)).cast("bigint"))), 12, "0"))
-    low = reads(cells.withColumn("bound", bound)).filter("h < bound").drop("bound")
-    placed = low.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("h", "taxon", "read"))).filter(F.col("place") <= depth)
-    drawn = placed.groupBy("sample", "taxon").agg(F.count(F.lit(1)).alias("n"))
-    full = drawn.withColumn("kept", F.sum("n").over(Window.partitionBy("sample"))).filter(F.col("kept") == depth).select("sample", "taxon", "n")
-    short = reads(cells.join(full.select("sample").distinct(), "sample", "left_anti"))
-    again = short.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy("h", "taxon", "read"))).filter(F.col("place") <= depth)
-    return full.unionByName(again.groupBy("sample", "taxon").agg(F.count(F.lit(1)).alias("n")))
+    digits = F.substring(hash_order(seed, F.col("sample"), F.col("taxon")), 1, 13)
+    # Hashed partitioning by sample is the window's: no second shuffle.
+    cells = cells.withColumn("u", F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))).sortWithinPartitions("sample", "taxon")
+    kind = counts.schema["sample"].dataType.simpleString()
+
+    def run(batches):
+        now, left, need = None, 0, 0
+        for b in batches:
+            sample, taken = b.column("sample").to_pylist(), []
+            for s, n, total, u in zip(sample, *(b.column(c).to_pylist() for c in ("n", "total", "u")), strict=True):
+                if s != now:
+                    now, left, need = s, total, depth
+                taken.append(hypergeometric(u, n, left, need))
+                left, need = left - n, need - taken[-1]
+            yield pa.RecordBatch.from_arrays([b.column("sample"), b.column("taxon"), pa.array(taken, pa.int64())], ["sample", "taxon", "n"])
+
+    return cells.mapInArrow(run, f"sample {kind}, taxon string, n bigint").filter("n > 0")
 
 
 def edge_weight(relative, scale: float = 1e4):

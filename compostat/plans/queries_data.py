@@ -114,9 +114,18 @@ def clr_dense(spark, d):
     return rounded(C.dense(values, zeros, counts.select("taxon").distinct()), "clr")
 
 
-@query(f"""WITH {COUNTS}, reads AS (SELECT sample, taxon, unnest(range(1, n + 1)) AS k FROM counts),
-o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY md5('42|' || sample || '|' || taxon || '|' || CAST(k AS VARCHAR)), taxon, k) AS place, count(*) OVER (PARTITION BY sample) AS total FROM reads)
-SELECT sample, taxon, count(*) AS n FROM o WHERE total >= 500 AND place <= 500 GROUP BY 1, 2""")
+# Cell by cell, the number drawn is where the hypergeometric distribution passes the hash's number.
+_LN_CHOOSE = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+_WEIGHT = f"exp({_LN_CHOOSE.format(n='c.n', k='x')} + {_LN_CHOOSE.format(n='(r.rest - c.n)', k='(r.need - x)')} - {_LN_CHOOSE.format(n='r.rest', k='r.need')})"
+
+
+@query(f"""WITH RECURSIVE {COUNTS}, cells AS (SELECT * FROM (SELECT sample, taxon, n, sum(n) OVER (PARTITION BY sample) AS total, row_number() OVER (PARTITION BY sample ORDER BY taxon) AS k,
+  CAST('0x' || substr(md5('42|' || sample || '|' || taxon), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM counts) WHERE total >= 500),
+walk AS (SELECT DISTINCT sample, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS taxon, CAST(total AS BIGINT) AS rest, CAST(500 AS BIGINT) AS need, CAST(0 AS BIGINT) AS n FROM cells
+  UNION ALL SELECT sample, k, taxon, rest - cn, need - took, took FROM (SELECT *, low + CAST(len(list_filter(range(1, len(w) + 1), lambda i: list_sum(w[1:i]) <= u * list_sum(w))) AS BIGINT) AS took
+    FROM (SELECT r.sample, c.k, c.taxon, r.rest, r.need, c.n AS cn, c.u, greatest(0, r.need - (r.rest - c.n)) AS low, list_transform(range(greatest(0, r.need - (r.rest - c.n)), least(c.n, r.need) + 1), lambda x: {_WEIGHT}) AS w
+      FROM walk r JOIN cells c ON c.sample = r.sample AND c.k = r.k + 1)))
+SELECT sample, taxon, n FROM walk WHERE k > 0 AND n > 0""")
 def rarefied_counts(spark, d):
     return C.rarefy(V.counts(spark, d), 500)
 

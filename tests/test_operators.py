@@ -53,17 +53,33 @@ def test_rarefaction_is_exact_and_repeatable(counts):
     assert C.rarefy(counts, 11).count() == 0
 
 
-def test_rarefaction_of_large_samples_is_the_order_by_hash(spark):
-    import hashlib
-
-    n = {("a", "x"): 3000, ("a", "y"): 900, ("b", "x"): 70, ("b", "z"): 5, ("c", "y"): 9}
-    got = {(r["sample"], r["taxon"]): r["n"] for r in C.rarefy(spark.createDataFrame([(*k, v) for k, v in n.items()], "sample string, taxon string, n bigint"), 20, seed=3, block=64).collect()}
-    want = {}
-    for s in "ab":
-        reads = sorted((hashlib.md5(f"3|{s}|{t}|{k}".encode()).hexdigest(), t) for (u, t), c in n.items() if u == s for k in range(1, c + 1))
-        for _, t in reads[:20]:
-            want[s, t] = want.get((s, t), 0) + 1
-    assert got == want
+def test_rarefaction_follows_the_hypergeometric_distribution(spark):
+    # Many samples with the same counts, each with its own hashes.
+    n, depth, samples = {"x": 3000, "y": 900, "z": 90, "w": 10}, 200, 1500
+    rows = [(f"s{k}", t, c) for k in range(samples) for t, c in n.items()]
+    got = C.rarefy(spark.createDataFrame(rows, "sample string, taxon string, n bigint"), depth).toPandas()
+    assert (got.groupby("sample")["n"].sum() == depth).all() and got["sample"].nunique() == samples
+    total = sum(n.values())
+    for t, c in n.items():
+        drawn = got[got["taxon"] == t].set_index("sample")["n"].reindex([f"s{k}" for k in range(samples)]).fillna(0)
+        share = c / total
+        var = depth * share * (1 - share) * (total - depth) / (total - 1)
+        assert abs(drawn.mean() - depth * share) < 4 * (var / samples) ** 0.5 and drawn.var() == pytest.approx(var, rel=0.15)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.floats(0, 1, exclude_max=True), st.integers(0, 60), st.integers(0, 60), st.integers(0, 120))
+def test_hypergeometric_is_the_inverse_of_its_distribution(u, good, bad, draws):
+    draws = min(draws, good + bad)
+    ways = [math.comb(good, k) * math.comb(bad, draws - k) if draws >= k else 0 for k in range(good + 1)]
+    k = C.hypergeometric(u, good, good + bad, draws)
+    upto, target = sum(ways[:k]), u * sum(ways)
+    assert upto <= target * (1 + 1e-9) and target <= (upto + ways[k]) * (1 + 1e-9) and ways[k] > 0
+
+
+def test_hypergeometric_of_large_cells():
+    assert C.hypergeometric(0.5, 10**9, 3 * 10**9, 10**6) == pytest.approx(333_333, abs=3)
+    assert C.hypergeometric(0.0, 10**9, 10**9, 77) == 77 and C.hypergeometric(0.99, 0, 10**9, 10**6) == 0
 
 
 @pytest.mark.parametrize("parts", [2, 7, 256])
