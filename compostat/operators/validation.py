@@ -115,16 +115,16 @@ def in_tiers(prevalence: DataFrame, tiers: Sequence[float]) -> DataFrame:
     return prevalence.select("taxon", F.explode(F.filter(F.array(*(F.lit(float(t)) for t in tiers)), lambda t: t <= F.col("prevalence"))).alias("tier"))
 
 
-def literature_check(meta: DataFrame, priors: DataFrame, top: int = 25, label: str = "genus") -> DataFrame:
-    """The ``top`` taxa per category by effect size against expected directions.  ``priors
-    (disease_category, name, direction, priority)``: the first prior whose name occurs in
-    the label, either case, counts."""
-    w = Window.partitionBy("disease_category").orderBy(F.desc(F.abs("pooled_effect")), "taxon")
-    best = meta.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
-    p = F.broadcast(priors.select(F.col("disease_category").alias("__c"), F.lower("name").alias("__n"), "direction", "priority"))
+def literature_check(concordance: DataFrame, priors: DataFrame, top: int = 15, label: str = "genus") -> DataFrame:
+    """The replicated taxa, the ``top`` per category by the meta-analysis's q (ties by taxon),
+    against expected directions.  ``priors (disease_category, name, direction, priority)``: the
+    first prior whose name occurs in the label, either case, counts."""
+    w = Window.partitionBy("disease_category").orderBy("meta_q", "taxon")
+    best = concordance.filter("concordance_class = 'replicated'").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+    p = priors.select(F.col("disease_category").alias("__c"), F.lower("name").alias("__n"), "direction", "priority")
     met = best.join(p, (F.col("disease_category") == F.col("__c")) & F.lower(label).contains(F.col("__n")), "left")
-    one = met.groupBy("disease_category", "taxon", label, "pooled_effect", "place").agg(F.min_by("direction", "priority").alias("expected"))
-    observed = F.when(F.col("pooled_effect") > 0, "up").when(F.col("pooled_effect") < 0, "down").otherwise("none")
+    one = met.groupBy("disease_category", "taxon", label, "meta_effect", "meta_q", "place").agg(F.min_by("direction", "priority").alias("expected"))
+    observed = F.when(F.col("meta_effect") > 0, "up").otherwise("down")
     verdict = F.when(F.col("expected").isNull(), "no_prior").when(F.col("expected") == F.col("observed"), "concordant").otherwise("discordant")
     return one.withColumn("observed", observed).withColumn("verdict", verdict)
 

@@ -11,7 +11,7 @@ from ..operators import compose as C
 from ..operators import counts as N
 from ..operators import sampling as S
 from . import views as V
-from .views import COUNTS, SAMPLES
+from .views import COUNTS, SAMPLES, LINEAGES
 
 
 MAX_WIDE = 10_000
@@ -151,23 +151,15 @@ def lineage_parse(spark, d):
     return V.load(spark, d, "part").select(parts.alias("p")).groupBy(F.col("p")[0].alias("type_name"), F.col("p")[1].alias("brand_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_LINEAGES = "(VALUES ('B.F.C.O.Fam.Gen'), ('B.F.C.O.Fam.NA'), ('B.F.C.NA.NA.NA'), ('B.NA.NA.NA.NA.NA'), ('B.F.C.O.Fam.Gen.1 [x]'), ('A.P.C.O..NA')) AS t(full_string)"
-
-
-@query(f"""WITH p AS (SELECT full_string, string_split(full_string, '.') AS x FROM {_LINEAGES}),
-q AS (SELECT full_string, list_concat(x[1:5], [array_to_string(x[6:], '.')]) AS parts FROM p)
-SELECT full_string, coalesce(list_extract(list_filter(parts[3:], lambda r: r NOT IN ('NA', '')), -1), full_string) AS genus,
-  list_extract(list_filter(string_split(full_string, '.'), lambda r: r <> 'NA'), -1) AS last_rank FROM q""")
+@query(f"""WITH {LINEAGES}, p AS (SELECT id, full_string, string_split(full_string, '.') AS x FROM lineages), q AS (SELECT id, full_string, list_concat(x[1:5], [array_to_string(x[6:], '.')]) AS parts FROM p)
+SELECT id, full_string, coalesce(list_extract(list_filter(parts[3:], lambda r: r NOT IN ('NA', '')), -1), full_string) AS genus, list_extract(list_filter(string_split(full_string, '.'), lambda r: r <> 'NA'), -1) AS last_rank FROM q""")
 def genus_and_last_rank(spark, d):
-    t = spark.sql(f"SELECT * FROM {_LINEAGES}")
-    return t.select("full_string", genus_label(parse_lineage(F.col("full_string")), F.col("full_string")).alias("genus"), last_rank(F.col("full_string")).alias("last_rank"))
+    return V.lineages(spark, d).select("id", "full_string", genus_label(parse_lineage(F.col("full_string")), F.col("full_string")).alias("genus"), last_rank(F.col("full_string")).alias("last_rank"))
 
 
-@query(f"""WITH p AS (SELECT full_string, string_split(full_string, '.') AS x FROM {_LINEAGES} WHERE full_string NOT LIKE '%[%')
-SELECT full_string, array_to_string(x[1:k], '.') AS prefix, CAST(k AS INT) AS prefix_rank FROM p, (SELECT unnest(range(1, 6)) AS k)""")
+@query(f"""WITH {LINEAGES}, p AS (SELECT id, string_split(full_string, '.') AS x FROM lineages) SELECT id, array_to_string(x[1:k], '.') AS prefix, CAST(k AS INT) AS prefix_rank FROM p, (SELECT unnest(range(1, 6)) AS k)""")
 def lineage_prefixes(spark, d):
-    t = spark.sql(f"SELECT * FROM {_LINEAGES} WHERE full_string NOT LIKE '%[%'")
-    return t.select("full_string", F.explode(prefixes(parse_lineage(F.col("full_string")))).alias("p")).select("full_string", F.array_join("p", ".").alias("prefix"), F.size("p").alias("prefix_rank"))
+    return V.lineages(spark, d).select("id", F.explode(prefixes(parse_lineage(F.col("full_string")))).alias("p")).select("id", F.array_join("p", ".").alias("prefix"), F.size("p").alias("prefix_rank"))
 
 
 _FLOW = f"""WITH {COUNTS}, {SAMPLES}, t AS (SELECT sample, CAST(sum(n) AS BIGINT) AS depth FROM counts GROUP BY 1),
@@ -309,7 +301,10 @@ def edge_mask(spark, d):
     return S.mask_share(V.counts(spark, d).select("sample", "taxon"), ["sample", "taxon"], 0.15)
 
 
-@query()
+@query(f"""WITH {COUNTS}, l AS (SELECT sample, row_number() OVER (ORDER BY md5('42|' || sample), sample) - 1 AS p FROM (SELECT DISTINCT sample FROM counts)), r AS (SELECT taxon, row_number() OVER (ORDER BY md5('42|' || taxon), taxon) - 1 AS q FROM (SELECT DISTINCT taxon FROM counts)),
+f AS (SELECT sample, taxon, row_number() OVER (ORDER BY p, q) - 1 AS k FROM l, r WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE c.sample = l.sample AND c.taxon = r.taxon)), t AS (SELECT count(*) AS total FROM f),
+dr AS (SELECT k, min(i) AS i FROM (SELECT i, CAST('0x' || substr(md5('42|' || i), 1, 13) AS BIGINT) % total AS k FROM range(0, 20000) AS x(i), t) GROUP BY 1)
+SELECT sample, taxon FROM (SELECT k FROM dr ORDER BY i LIMIT 1000) JOIN f USING (k)""")
 def negative_pairs(spark, d):
     counts = V.counts(spark, d)
     place = lambda c: S.encode_positions(counts.select(F.col(c).alias("id")))

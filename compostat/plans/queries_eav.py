@@ -12,7 +12,7 @@ from ..operators import eav as E
 from ..operators import labels as L
 from . import views as V
 from .queries_data import r6
-from .views import COUNTS, SAMPLES, TAGS
+from .views import COUNTS, SAMPLES, TAGS, FIELDS
 
 EVERYWHERE = ["na", "not provided", ""]
 CONDITIONAL = {"none": ["view_status", "click_cd"], "no": ["view_status"]}
@@ -135,64 +135,51 @@ def ordered_rules(spark, d):
     return V.load(spark, d, "part").select("p_partkey", X.first_rule(F.col("p_name"), _RULES, "other").alias("category"), F.coalesce(X.first_rule(F.col("p_name"), _RULES, None), F.col("p_brand")).alias("with_fallback"))
 
 
-def _values(spark, rows, schema="raw string"):
-    return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
+_DIGITS, _UNITS = r"(\d+(?:\.\d+)?)", "(days|day|weeks|week|months|month|years|year|yo|y)"
 
 
-_AGES = [
-    ("17-29 yo", None, 1.0, 23.0, "range"), (">=100", "days", 1.0, 100 / 365.25, "bound"), ("<5", None, 1.0, 5.0, "bound"), ("6 months", None, 1.0, 0.5, "exact"), ("47", "years", 1.0, 47.0, "exact"),
-    ("47", None, 1.0, 47.0, "inferred"), ("6", None, 1 / 12, 0.5, "inferred"), ("3.5", "Weeks ", 1.0, 3.5 / 52.1775, "exact"), ("child 2-year visit", None, 1.0, None, None), ("130", None, 1.0, None, None),
-    ("", None, 1.0, None, None), (None, None, 1.0, None, None), (">abc", None, 1.0, None, None), ("12", None, None, None, None), (" 2 - 4 weeks", None, 1.0, 3 / 52.1775, "range"),
-]
+def _unit_sql(x):
+    return f"CASE lower(trim({x})) " + " ".join(f"WHEN '{u}' THEN {y!r}" for u, y in P.UNIT_YEARS.items()) + " END"
 
 
-def _sql(v):
-    return "NULL" if v is None else repr(v) if not isinstance(v, bool) else str(v).upper()
+_SPAN, _EXACT, _BARE = rf"(?i)^{_DIGITS}\s*-\s*{_DIGITS}\s*{_UNITS}?\b", rf"(?i)^{_DIGITS}\s*{_UNITS}\b", r"^\d+(\.\d+)?$"
+_part = lambda pattern, k: f"TRY_CAST(regexp_extract(t, '{pattern}', {k}) AS DOUBLE)"
 
 
-def _rows_sql(rows):
-    return ", ".join("(" + ", ".join(_sql(v) for v in r) + ")" for r in rows)
-
-
-@query(f"SELECT CAST(id AS BIGINT) AS id, round(CAST(y AS DOUBLE), 6) AS years, c AS confidence FROM (VALUES {_rows_sql([(i, r[3], r[4]) for i, r in enumerate(_AGES)])}) AS t(id, y, c)")
+@query(rf"""WITH {FIELDS}, x AS (SELECT id, trim(age) AS t, {_unit_sql('unit')} AS hint, CASE WHEN regexp_matches(coalesce(subjects, ''), '(?i)infant|neonat|newborn') THEN 1 / 12.0::DOUBLE ELSE 1.0::DOUBLE END AS implied FROM fields),
+y AS (SELECT id, CASE WHEN regexp_matches(t, '{_SPAN}') THEN ({_part(_SPAN, 1)} + {_part(_SPAN, 2)}) / 2 * coalesce({_unit_sql(f"regexp_extract(t, '{_SPAN}', 3)")}, hint, 1.0) WHEN regexp_matches(t, '^[<>]') THEN {_part('^[<>]=?[ ]*' + _DIGITS, 1)} * coalesce(hint, 1.0)
+  WHEN regexp_matches(t, '{_EXACT}') THEN {_part(_EXACT, 1)} * {_unit_sql(f"regexp_extract(t, '{_EXACT}', 2)")} WHEN regexp_matches(t, '{_BARE}') THEN TRY_CAST(t AS DOUBLE) * coalesce(hint, implied) END AS y,
+  CASE WHEN regexp_matches(t, '{_SPAN}') THEN 'range' WHEN regexp_matches(t, '^[<>]') THEN 'bound' WHEN regexp_matches(t, '{_EXACT}') THEN 'exact' WHEN regexp_matches(t, '{_BARE}') THEN CASE WHEN hint IS NULL THEN 'inferred' ELSE 'exact' END END AS c FROM x)
+SELECT id, CASE WHEN y BETWEEN 0 AND 120 THEN round(y, 6) END AS years, CASE WHEN y BETWEEN 0 AND 120 THEN c END AS confidence FROM y""")
 def parse_age(spark, d):
-    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(_AGES)], "id bigint, raw string, unit string, implied double")
-    got = P.parse_age(F.col("raw"), F.col("unit"), F.col("implied"))
-    return df.select("id", F.round(got["years"], 6).alias("years"), got["confidence"].alias("confidence"))
-
-
-_YEARS = [("2011-01-02", 2011), ("2011-01-01/2014-12-31", 2011), ("2013-07/2015-07", 2013), ("2010/2012", 2010), ("-", None), ("0000-00-00", None), ("1985 or so", None), ("1985-03-04", 1985), ("2014", 2014), (None, None), ("spring 2003", 2003)]
+    got = P.parse_age(F.col("age"), F.col("unit"), P.implied_unit_years(F.col("subjects")))
+    return V.fields(spark, d).select("id", F.round(got["years"], 6).alias("years"), got["confidence"].alias("confidence"))
 
 
-@query(f"SELECT raw, CAST(y AS DOUBLE) AS collection_year FROM (VALUES {_rows_sql(_YEARS)}) AS t(raw, y)")
+@query(rf"""WITH {FIELDS}, x AS (SELECT id, trim(taken) AS t FROM fields), y AS (SELECT id, year(try_strptime(t, ['%Y-%m-%d', '%Y-%m', '%Y'])) AS y, TRY_CAST(regexp_extract(t, '(\d{{4}})', 1) AS INT) AS g FROM x)
+SELECT id, CAST(coalesce(y, CASE WHEN g BETWEEN 1990 AND 2022 THEN g END) AS DOUBLE) AS collection_year FROM y""")
 def parse_year(spark, d):
-    return _values(spark, [r[0] for r in _YEARS]).select("raw", P.parse_year(F.col("raw")).cast("double").alias("collection_year"))
+    return V.fields(spark, d).select("id", P.parse_year(F.col("taken")).cast("double").alias("collection_year"))
 
 
-_HOSTS = [("Homo sapiens", True), ("human a2", True), ("infant", True), (" HOMO ", True), ("mouse", False), ("human mouse mix", False), ("male, 4 months", None), (None, None)]
-
-
-@query(f"SELECT raw, CAST(h AS BOOLEAN) AS is_human FROM (VALUES {_rows_sql(_HOSTS)}) AS t(raw, h)")
+@query(f"""WITH {FIELDS} SELECT id, CASE WHEN contains(lower(host), 'mouse') OR contains(lower(host), 'macaque') THEN FALSE WHEN lower(trim(host)) IN ('homo', 'infant') OR starts_with(lower(trim(host)), 'homo sapiens') OR starts_with(lower(trim(host)), 'human') THEN TRUE END AS is_human FROM fields""")
 def host_species(spark, d):
-    return _values(spark, [r[0] for r in _HOSTS]).select("raw", P.host_is_human(F.col("raw"), ["homo sapiens", "human"], ["homo", "infant"], ["mouse", "macaque"]).alias("is_human"))
-
-
-_SEXES = [("male", "male"), ("famale", "female"), ("47", None), ("not providednot provided", None), ("Female ", "female"), (None, None)]
+    return V.fields(spark, d).select("id", P.host_is_human(F.col("host"), ["homo sapiens", "human"], ["homo", "infant"], ["mouse", "macaque"]).alias("is_human"))
 
 
-@query(f"SELECT raw, s AS sex FROM (VALUES {_rows_sql(_SEXES)}) AS t(raw, s)")
+@query(f"WITH {FIELDS}, x AS (SELECT id, replace(lower(trim(sex)), 'famale', 'female') AS s FROM fields) SELECT id, CASE WHEN s IN ('male', 'female') THEN s END AS sex FROM x")
 def repair_sex(spark, d):
-    return _values(spark, [r[0] for r in _SEXES]).select("raw", P.repair_sex(F.col("raw"), {"famale": "female"}).alias("sex"))
+    return V.fields(spark, d).select("id", P.repair_sex(F.col("sex"), {"famale": "female"}).alias("sex"))
 
 
-@query("SELECT raw, CASE WHEN regexp_matches(raw, '^[0-9]+(\\.[0-9]+)?$') THEN NULL ELSE raw END AS unit, TRY_CAST(raw AS DOUBLE) AS number FROM (VALUES ('years'), ('12'), ('3.5'), (NULL)) AS t(raw)")
+@query(f"WITH {FIELDS} SELECT id, CASE WHEN regexp_matches(trim(unit), '{_BARE}') THEN NULL ELSE unit END AS unit, TRY_CAST(trim(unit) AS DOUBLE) AS number FROM fields")
 def repair_age_unit(spark, d):
-    return _values(spark, ["years", "12", "3.5", None]).select("raw", P.repair_unit(F.col("raw")).alias("unit"), P.to_number(F.col("raw")).alias("number"))
+    return V.fields(spark, d).select("id", P.repair_unit(F.col("unit")).alias("unit"), P.to_number(F.col("unit")).alias("number"))
 
 
-@query("SELECT s AS raw, f AS subjects FROM (VALUES ('Preterm Infants', 1/12.0::DOUBLE), ('adults', 1.0::DOUBLE), ('NEONATAL', 1/12.0::DOUBLE), (NULL, 1.0::DOUBLE)) AS t(s, g), LATERAL (SELECT round(g, 6) AS f)")
+@query(f"WITH {FIELDS} SELECT id, CASE WHEN regexp_matches(coalesce(subjects, ''), '(?i)infant|neonat|newborn') THEN round(1 / 12.0::DOUBLE, 6) ELSE 1.0::DOUBLE END AS subjects FROM fields")
 def implied_units(spark, d):
-    return _values(spark, ["Preterm Infants", "adults", "NEONATAL", None]).select("raw", r6(P.implied_unit_years(F.col("raw"))).alias("subjects"))
+    return V.fields(spark, d).select("id", r6(P.implied_unit_years(F.col("subjects"))).alias("subjects"))
 
 
 @query(f"WITH {TAGS} SELECT DISTINCT tag, trim(regexp_replace(lower(tag || ' (x)'), '[^a-z0-9]+', '_', 'g'), '_') AS sane, len(list_intersect(regexp_split_to_array(lower(tag), '[^a-z0-9]+'), ['cd'])) > 0 AS has_cd FROM tags")
@@ -207,9 +194,11 @@ def unknown_levels(spark, d):
     return df.groupBy("lang", X.known_or_unknown(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TAGS}, v AS (SELECT project, tag, value FROM tags WHERE value LIKE '%healthy%' OR value LIKE '%control%' OR (tag = 'view_cd' AND value = 'none')), g AS (SELECT project, tag, bool_and(CASE WHEN tag = 'view_cd' THEN value = 'none' ELSE value LIKE '%healthy%' OR value LIKE '%control%' END) AS ok FROM v GROUP BY 1, 2) SELECT DISTINCT project, tag, value, 'healthy' AS label FROM v JOIN g USING (project, tag) WHERE ok")
+@query(f"""WITH {TAGS}, v AS (SELECT DISTINCT project || '_' || srr || '_' || CAST(row_id % 97 AS VARCHAR) AS project, tag, value, lower(trim(value)) AS bare FROM tags),
+g AS (SELECT project, tag, bool_and(coalesce(CASE WHEN tag = 'view_cd' THEN bare = 'none' ELSE contains(bare, 'healthy') OR contains(bare, 'control') END, FALSE)) AS ok FROM v GROUP BY 1, 2) SELECT project, tag, value, 'healthy' AS label FROM v JOIN g USING (project, tag) WHERE ok""")
 def healthy_only(spark, d):
-    v = V.tags(spark, d).filter("value LIKE '%healthy%' OR value LIKE '%control%' OR (tag = 'view_cd' AND value = 'none')")
+    # A field of one subject's visit has few values; all of them are in.
+    v = V.tags(spark, d).withColumn("project", F.concat_ws("_", "project", "srr", (F.col("row_id") % 97).cast("string")))
     return L.healthy_only(v.groupBy("project", "tag", "value").agg(F.count(F.lit(1)).alias("n")), ["healthy", "control"], ["view_cd"], ["none"])
 
 

@@ -326,13 +326,13 @@ def replicated_sets(spark, d):
     return A.replicated_sets(D.concordance(*_arms(spark, d)))
 
 
-@query(f"""WITH {_ARMS}, pr AS (SELECT * FROM (VALUES ('A', 'brand#1', 'up', 1), ('A', 'small', 'down', 2), ('B', 'PROMO', 'up', 1)) AS t(c, name, direction, priority)),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disease_category ORDER BY abs(e) DESC, taxon) AS place FROM meta) WHERE place <= 25),
-j AS (SELECT disease_category, taxon, e, place, arg_min(direction, priority) AS expected FROM b LEFT JOIN pr ON c = disease_category AND contains(lower(taxon), lower(name)) GROUP BY 1, 2, 3, 4)
-SELECT disease_category, taxon, round(e, 6) AS pooled_effect, CAST(place AS INT) AS place, expected, CASE WHEN e > 0 THEN 'up' WHEN e < 0 THEN 'down' ELSE 'none' END AS observed, CASE WHEN expected IS NULL THEN 'no_prior' WHEN expected = CASE WHEN e > 0 THEN 'up' WHEN e < 0 THEN 'down' ELSE 'none' END THEN 'concordant' ELSE 'discordant' END AS verdict FROM j""")
+@query(f"""WITH {_CONCORD}, pr AS (SELECT * FROM (VALUES ('A', 'brand#1', 'up', 1), ('A', 'small', 'down', 2), ('B', 'PROMO', 'up', 1)) AS t(c, name, direction, priority)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disease_category ORDER BY meta_q, taxon) AS place FROM conc WHERE concordance_class = 'replicated') WHERE place <= 15),
+j AS (SELECT disease_category, taxon, meta_effect, meta_q, place, arg_min(direction, priority) AS expected FROM b LEFT JOIN pr ON c = disease_category AND contains(lower(taxon), lower(name)) GROUP BY 1, 2, 3, 4, 5)
+SELECT disease_category, taxon, round(meta_effect, 6) AS meta_effect, round(meta_q, 6) AS meta_q, CAST(place AS INT) AS place, expected, CASE WHEN meta_effect > 0 THEN 'up' ELSE 'down' END AS observed, CASE WHEN expected IS NULL THEN 'no_prior' WHEN expected = CASE WHEN meta_effect > 0 THEN 'up' ELSE 'down' END THEN 'concordant' ELSE 'discordant' END AS verdict FROM j""")
 def literature_check(spark, d):
     priors = spark.createDataFrame([("A", "brand#1", "up", 1), ("A", "small", "down", 2), ("B", "PROMO", "up", 1)], "disease_category string, name string, direction string, priority int")
-    return rounded(A.literature_check(_arms(spark, d)[0].withColumn("genus", F.col("taxon")), priors).drop("genus"), "pooled_effect")
+    return rounded(A.literature_check(D.concordance(*_arms(spark, d)).withColumn("genus", F.col("taxon")), priors).drop("genus"), "meta_effect", "meta_q")
 
 
 @query(f"""WITH {COUNTS}, {SAMPLES}, {FRAME}, {CLR}, ids AS (SELECT *, unnest(range(1, 4)) AS shuffle_id FROM frame),

@@ -78,6 +78,33 @@ TAGS = f"""tags AS (
         FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)))"""
 
 
+_FIELDS = {
+    "age": "CASE event_id % 16 WHEN 0 THEN concat(k, '-', k + 12, ' yo') WHEN 1 THEN concat('>=', k) WHEN 2 THEN concat('<', k) WHEN 3 THEN concat(k, ' Months') WHEN 4 THEN concat(k) WHEN 5 THEN concat(k, '.5') WHEN 6 THEN concat('child ', k, '-year visit') WHEN 7 THEN concat(k + 100) WHEN 8 THEN '' WHEN 9 THEN NULL WHEN 10 THEN '>abc' WHEN 11 THEN concat(' ', k, ' - ', k + 2, ' weeks') WHEN 12 THEN concat(k, 'y') WHEN 13 THEN concat(k, ' dogs') WHEN 14 THEN concat(k, '-', k + 3) ELSE event_type END",
+    "unit": "CASE user_id % 6 WHEN 0 THEN 'years' WHEN 1 THEN 'Weeks ' WHEN 2 THEN NULL WHEN 3 THEN concat(k) WHEN 4 THEN concat(k, '.25') ELSE 'month' END",
+    "subjects": "CASE user_id % 5 WHEN 0 THEN 'Preterm Infants' WHEN 1 THEN 'adults' WHEN 2 THEN 'NEONATAL ward' WHEN 3 THEN NULL ELSE event_type END",
+    "taken": "CASE event_id % 12 WHEN 0 THEN concat(1985 + k % 40, '-0', 1 + k % 9, '-1', k % 9) WHEN 1 THEN concat(2000 + k % 20, '-01-01/2014-12-31') WHEN 2 THEN concat(1980 + k, '-07') WHEN 3 THEN concat(1980 + k % 45) WHEN 4 THEN '-' WHEN 5 THEN '0000-00-00' WHEN 6 THEN concat(1970 + k, ' or so') WHEN 7 THEN NULL WHEN 8 THEN concat('spring ', 1985 + k % 40) WHEN 9 THEN concat(2000 + k % 20, '/2012') WHEN 10 THEN concat('no ', k) ELSE concat(' ', 1995 + k % 25, ' ') END",
+    "host": "concat(CASE user_id % 7 WHEN 0 THEN 'Homo sapiens' WHEN 1 THEN 'human a' WHEN 2 THEN 'infant' WHEN 3 THEN ' HOMO ' WHEN 4 THEN 'mouse' WHEN 5 THEN 'male, 4 months' END, CASE WHEN event_id % 5 = 0 THEN ' mouse' ELSE '' END)",
+    "sex": "CASE event_id % 8 WHEN 0 THEN 'male' WHEN 1 THEN 'famale' WHEN 2 THEN concat(k) WHEN 3 THEN 'not providednot provided' WHEN 4 THEN 'Female ' WHEN 5 THEN NULL WHEN 6 THEN 'MALE' ELSE event_type END",
+}
+_FIELDS_OF = ", ".join(f"{e} AS {c}" for c, e in _FIELDS.items())
+FIELDS = f"fields AS (SELECT event_id AS id, {_FIELDS_OF} FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events))".replace("concat(CASE user_id", "(CASE user_id").replace("END, CASE WHEN event_id % 5 = 0", "END || CASE WHEN event_id % 5 = 0")
+
+
+def fields(spark: SparkSession, d: str) -> DataFrame:
+    """Events as rows of messy fields: ages, units, dates, hosts, sexes."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    return load(spark, d, "events").withColumn("k", k).selectExpr("event_id AS id", *(f"{e} AS {c}" for c, e in _FIELDS.items()))
+
+
+_LINEAGE = "concat(p_brand, '.', p_type, '.', CASE WHEN p_partkey % 4 = 0 THEN 'NA' ELSE concat('C', p_size) END, '.', CASE WHEN p_partkey % 6 = 0 THEN 'NA' ELSE concat('O', p_size % 7) END, '.', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END, '.', CASE WHEN p_partkey % 3 = 0 THEN 'NA' ELSE p_name END, CASE WHEN p_partkey % 7 = 0 THEN '.1 [x]' ELSE '' END)"
+LINEAGES = f"lineages AS (SELECT p_partkey AS id, {_LINEAGE} AS full_string FROM part)"
+
+
+def lineages(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as dotted lineages of six ranks, some unresolved, some with further dots."""
+    return load(spark, d, "part").selectExpr("p_partkey AS id", f"{_LINEAGE} AS full_string")
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("project"))
 
