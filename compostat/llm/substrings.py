@@ -30,12 +30,13 @@ for ``__kept``, ``__n_words`` and ``__n_removed``, which it replaces.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import drop_path, settings, shared_path, text_bytes
@@ -54,8 +55,8 @@ _ROWS = 20_000
 _BITS = np.uint64((1 << 40) - 1)
 #: Strings a dictionary is trained on at most, their length at most, and the dictionary's.
 _TRAINED_ON, _LENGTH, _DICTIONARY = 20_000, 1024, 112_640
-_SCHEMA = "b bigint, doc bigint, row bigint, at int, n int, s binary"
-_RANGES = "doc bigint, row bigint, at int, n int"
+_SCHEMA = "b bigint, doc bigint, row int, at int, n int, s binary"
+_RANGES = "doc bigint, row int, at int, n int"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -181,7 +182,7 @@ def _combine(chunk: list, seen: dict[bytes, int], window: int, m: int, split: np
     for doc, row, at, n in _merged(gone):
         out.append((_spread(doc, row), doc, row, at, n, None))
     cols = list(zip(*out, strict=True)) or [()] * 6
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["b", "doc", "row", "at", "n", "s"])
 
 
@@ -199,9 +200,14 @@ def _merged(ranges: list[tuple]) -> Iterator[tuple]:
         yield now
 
 
+def _row(text: Column) -> Column:
+    """What tells rows of one id apart: 32 bits of a hash of the text."""
+    return F.shiftright(F.xxhash64(text), 32).cast("int")
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_bytes(text_col)
-    return df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), _row(text).alias("row"), text.alias("text"))
 
 
 def _packed(rows: DataFrame, window: int, m: int, split: np.ndarray, packing: Packing | None) -> DataFrame:
@@ -236,7 +242,8 @@ def trained(sample: DataFrame, strings: int) -> Packing:
     some = sample.filter(F.octet_length("s") <= _LENGTH)
     if strings > _TRAINED_ON:
         some = some.filter(F.pmod(F.xxhash64("s"), F.lit(1_000_000_000)) < int(1_000_000_000 * _TRAINED_ON / strings))
-    got = sorted(bytes(r["s"]) for r in some.select("s").limit(2 * _TRAINED_ON).collect())
+    # In a fixed order that isn't the words': the trainer takes neighbouring samples together.
+    got = sorted((bytes(r["s"]) for r in some.select("s").limit(2 * _TRAINED_ON).collect()), key=lambda s: (zlib.crc32(s), s))
     return Packing(zstandard.train_dictionary(_DICTIONARY, got, level=3).as_bytes() if len(got) >= _TRAINED_ON // 4 else b"")
 
 
@@ -325,7 +332,7 @@ def _owned(packed: DataFrame, window: int, packing: Packing) -> DataFrame:
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, m: int = 2, share: float = 1 / 16) -> DataFrame:
     """``(doc, row, ranges)``: ``ranges`` of ``(at, n)``, ``n`` windows from word ``at`` on that
-    go; ``row`` is a hash of the text.  Only texts that lose words have a row."""
+    go; ``row`` is 32 bits of a hash of the text.  Only texts that lose words have a row."""
     if not 1 <= m <= window:
         raise ValueError("a minimiser has at least one word and at most a window's")
     spark, rows = df.sparkSession, _rows(df, id_col, text_col)
@@ -338,7 +345,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     # The packed strings are the largest thing on disk: they go when the ranges are written.
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         _owned(dealt, window, packing).groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n")).alias("ranges")).write.parquet(at)
-    return spark.read.schema("doc bigint, row bigint, ranges array<struct<at: int, n: int>>").parquet(at)
+    return spark.read.schema("doc bigint, row int, ranges array<struct<at: int, n: int>>").parquet(at)
 
 
 def without(data: bytes, ranges: list | None, window: int) -> tuple[bytes, int, int]:
@@ -360,7 +367,7 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     gone = removed(df, id_col, text_col, window, m)
     names = [c for c in df.columns if c not in _MADE]
     text = text_bytes(text_col)
-    whole = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    whole = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), _row(text).alias("row"), text.alias("text"))
     met = whole.join(gone, ["doc", "row"], "left").select(*(f"c{k}" for k in range(len(names))), "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
