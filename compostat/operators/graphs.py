@@ -32,7 +32,7 @@ def taxonomy_checks(nodes: DataFrame, max_depth: int = 6) -> DataFrame:
     up = nodes.select(F.col("node_id").alias("__n"), F.col("parent").alias("__p"))
     walk = nodes.select("node_id", F.col("parent").alias("at"), "is_leaf", "parent")
     for _ in range(max_depth - 1):
-        walk = walk.join(F.broadcast(up), F.col("at") == F.col("__n"), "left").select("node_id", "is_leaf", "parent", F.coalesce("__p", F.lit(-1)).alias("at"))
+        walk = walk.join(up, F.col("at") == F.col("__n"), "left").select("node_id", "is_leaf", "parent", F.coalesce("__p", F.lit(-1)).alias("at"))
     return walk.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.expr("is_leaf")).alias("n_leaves"), F.count_if(F.expr("NOT is_leaf")).alias("n_internal"), F.count_if(F.expr("parent = -1")).alias("n_roots"), F.count_if(F.expr("at != -1")).alias("n_unrooted"))
 
 
@@ -240,7 +240,7 @@ def sample_graphs(values: DataFrame, zeros: DataFrame, nodes: DataFrame, stats:
     """Per-sample graphs on one shared skeleton: leaf features (CLR, present, log10
     prevalence), zeros at inner nodes.  ``nodes (node_id, taxon or null)``."""
     grid = zeros.join(F.broadcast(nodes.select("node_id", "taxon")))
-    met = grid.join(values.select("sample", "taxon", "clr"), ["sample", "taxon"], "left").join(F.broadcast(stats.select("taxon", "log10_prevalence")), "taxon", "left")
+    met = grid.join(values.select("sample", "taxon", "clr"), ["sample", "taxon"], "left").join(stats.select("taxon", "log10_prevalence"), "taxon", "left")
     leaf = F.col("taxon").isNotNull()
     return met.select("sample", "node_id", F.array(F.when(leaf, F.coalesce("clr", "zero_clr")).otherwise(0.0), F.when(leaf, F.col("clr").isNotNull().cast("double")).otherwise(0.0), F.when(leaf, F.coalesce("log10_prevalence", F.lit(0.0))).otherwise(0.0)).alias("features"))
 

@@ -51,7 +51,7 @@ def resolved_contrasts(value_counts: DataFrame, review: DataFrame) -> DataFrame:
     """``(project, tag, value, label)`` of confirmed pairs by subset sums.
     ``value_counts (project, tag, value, n, first_row)`` is small per pair (a field has
     few values), so each pair is one group."""
-    asked = value_counts.join(F.broadcast(review.filter("bucket = 'CONFIRMED'").select("project", F.col("field").alias("tag"), F.col("controls").cast("bigint").alias("controls"), F.col("cases").cast("bigint").alias("cases"))), ["project", "tag"])
+    asked = value_counts.join(review.filter("bucket = 'CONFIRMED'").select("project", F.col("field").alias("tag"), F.col("controls").cast("bigint").alias("controls"), F.col("cases").cast("bigint").alias("cases")), ["project", "tag"])
 
     def solve(key, pdf):
         import pandas as pd
@@ -76,7 +76,7 @@ def derive_labels(tags: DataFrame, cleaned: Column, review: DataFrame, control_t
     """``(labels, unresolved)`` for all curated pairs in one grouped pass: label, category
     (of cases: by rule, else the project's condition category) and source field."""
     curated = review.filter("bucket IN ('CONFIRMED', 'HEALTHY_ONLY')").select("project", F.col("field").alias("tag"), "bucket", "controls", "cases")
-    scoped = tags.join(F.broadcast(curated.select("project", "tag", "bucket")), ["project", "tag"]).withColumn("value", cleaned).filter("value IS NOT NULL")
+    scoped = tags.join(curated.select("project", "tag", "bucket"), ["project", "tag"]).withColumn("value", cleaned).filter("value IS NOT NULL")
     counts = scoped.groupBy("project", "tag", "bucket", "value").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
     split = resolved_contrasts(counts.filter("bucket = 'CONFIRMED'").drop("bucket"), review)
     whole = healthy_only(counts.filter("bucket = 'HEALTHY_ONLY'").drop("bucket"), control_tokens, family_fields, family_controls)
@@ -84,7 +84,7 @@ def derive_labels(tags: DataFrame, cleaned: Column, review: DataFrame, control_t
     category = F.coalesce(X.first_rule(F.col("value"), rules, None), F.col("condition_category"), F.lit("other"))
     labels = (
         scoped.join(known, ["project", "tag", "value"])
-        .join(F.broadcast(conditions.select("project", "condition_category")), "project", "left")
+        .join(conditions.select("project", "condition_category"), "project", "left")
         .select("srr", "project", F.col("label").alias("disease_label"), F.when(F.col("label") == "case", category).alias("disease_category"), F.col("tag").alias("disease_field"))
     )
     unresolved = curated.select("project", "tag", "bucket").join(known.select("project", "tag").distinct(), ["project", "tag"], "left_anti")

@@ -47,7 +47,7 @@ def leakage_gap(scores: DataFrame, by: Sequence[str], scheme: str = "cv_scheme",
 def encode_labels(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     """Codes from 0 by sorted label."""
     codes = df.select(label).distinct().withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(codes), label)
+    return df.join(codes, label)
 
 
 def _scaled(train: DataFrame, test: DataFrame, features: str):
@@ -60,7 +60,7 @@ def _scaled(train: DataFrame, test: DataFrame, features: str):
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
     total = df.agg(F.count(F.lit(1)).alias("__n"), F.count_distinct(label).alias("__k"))
-    return df.join(F.broadcast(counts), label).join(F.broadcast(total)).withColumn("weight", F.col("__n") / (F.col("__k") * F.col("__c"))).drop("__c", "__n", "__k")
+    return df.join(counts, label).join(F.broadcast(total)).withColumn("weight", F.col("__n") / (F.col("__k") * F.col("__c"))).drop("__c", "__n", "__k")
 
 
 def make_model(kind: str, features: str, label: str, **kw):

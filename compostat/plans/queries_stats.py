@@ -220,12 +220,12 @@ def rank_p_sql(u, n1, n0, ties):
 
 @query(f"""WITH {_DENSE}, r AS (SELECT disease_category, project, taxon, y, v, {_rank_sql('v', 'disease_category, project, taxon')} AS r, count(*) OVER (PARTITION BY disease_category, project, taxon, v) AS t FROM (SELECT * REPLACE (round(v, 9) AS v) FROM dense)),
 g AS (SELECT disease_category, project, taxon, count(*) FILTER (WHERE y = 1) AS n_case, count(*) FILTER (WHERE y = 0) AS n_control, sum(r) FILTER (WHERE y = 1) AS r1, CAST(sum(t * t - 1) AS DOUBLE) AS ties, min(v) < max(v) AS varies FROM r GROUP BY 1, 2, 3),
-o AS (SELECT *, r1 - n_case * (n_case + 1) / 2.0 AS u FROM g WHERE n_case > 8 AND n_control > 8 AND varies)
-SELECT disease_category, project, taxon, n_case, n_control, u, round({rank_p_sql('u', 'n_case', 'n_control', 'ties')}, 6) AS wilcoxon_p FROM o""")
+o AS (SELECT *, CASE WHEN n_case >= 3 AND n_control >= 3 AND varies THEN r1 - n_case * (n_case + 1) / 2.0 END AS u FROM g)
+SELECT disease_category, project, taxon, n_case, n_control, u, CASE WHEN u IS NOT NULL AND (least(n_case, n_control) > 8 OR ties > 0) THEN round({rank_p_sql('u', 'n_case', 'n_control', 'ties')}, 6) END AS wilcoxon_p FROM o""")
 def wilcoxon_p(spark, d):
-    # Arms of 8 and less have exact p where nothing is tied; tests have these.
-    ranks = _rank_sums(spark, d).filter("n_case > 8 AND n_control > 8 AND u IS NOT NULL")
-    return rounded(D.with_rank_p(ranks).select("disease_category", "project", "taxon", "n_case", "n_control", "u", "wilcoxon_p"), "wilcoxon_p")
+    # Arms of 8 and less without ties have an exact p, which the SQL leaves null: the smallest
+    # table alone has such arms.
+    return rounded(D.with_rank_p(_rank_sums(spark, d)).select("disease_category", "project", "taxon", "n_case", "n_control", "u", "wilcoxon_p"), "wilcoxon_p")
 
 
 def partial_sql(x, y="y", v="v"):

@@ -37,7 +37,7 @@ def read_wide_counts(spark: SparkSession, path: str, key: str = "sample") -> tup
     cells = F.filter(F.transform(F.array(*(F.col(f"c{at + 1 + i}") for i in range(len(taxa)))), lambda n, i: F.struct(i.alias("taxon_id"), n.alias("n"))), lambda c: c["n"] != 0)
     long = lines.select(F.col(f"c{at}").alias("sample"), F.explode(cells).alias("c")).select("sample", "c.taxon_id", F.col("c.n").cast("bigint").alias("n"))
     table = spark.createDataFrame([(i, t, t.split(".", len(RANKS) - 1)) for i, t in enumerate(taxa)], "taxon_id int, taxon string, parts array<string>")
-    return long.join(F.broadcast(table.select("taxon_id", "taxon")), "taxon_id").select("sample", "taxon", "n"), table
+    return long.join(table.select("taxon_id", "taxon"), "taxon_id").select("sample", "taxon", "n"), table
 
 
 def read_tags(spark: SparkSession, path: str, columns: Sequence[str] = ("project", "srs", "srr", "tag", "value")) -> DataFrame:
