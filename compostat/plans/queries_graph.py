@@ -102,7 +102,7 @@ def knn_index_recall(spark, d):
     """What searches of a few cells find of the exact neighbours, and what they look at."""
     index = NB.PivotIndex(V.vectors(spark, d))
     exact, out = index.nearest(), None
-    for probes in (1, 4, 8):
+    for probes in (4, 8, 16):
         one = NB.recall(index.nearest(probes), exact).crossJoin(index.candidates(probes).select("mean", "most")).select(F.lit(probes).alias("probes"), "n", "recall", "mean", "most")
         out = one if out is None else out.unionByName(one)
     return out
