@@ -121,3 +121,17 @@ def graph_leakage_cv(spark, d):
 @query(f"WITH {COUNTS}, {CLR_STATS} SELECT sample, 1 AS n_graphs, k AS n_present FROM stats")
 def degrees_by_sample(spark, d):
     return G.degrees(N.presence(V.counts(spark, d))).select("sample", F.lit(1).alias("n_graphs"), F.col("degree").alias("n_present"))
+
+
+@query()
+def message_net_cv(spark, d):
+    """A trained network on abundance edges, held-out samples only receiving."""
+    from ..operators import messagenet as T
+
+    counts, s = V.counts(spark, d), V.samples(spark, d)
+    labels = S.stratified_folds(s.select("sample", (F.col("disease_label") == "case").cast("int").alias("y")), "y", "sample", 2)
+    depth = N.sample_depth(counts)
+    own = s.join(depth, "sample", "left").select(F.lit("sample").alias("type"), F.col("sample").alias("id"), F.array(F.log1p(F.coalesce("depth", F.lit(0)).cast("double")), F.log1p(F.coalesce("n_nonzero", F.lit(0)).cast("double"))).alias("x"))
+    taxa = N.prevalence(counts).select(F.lit("taxon").alias("type"), F.col("taxon").alias("id"), F.array("prevalence").alias("x"))
+    got = T.cross_validated(own.unionByName(taxa), _edges(spark, d), labels, hidden=8, passes=8)
+    return M.roc_auc(got, ["protocol", "fold"])

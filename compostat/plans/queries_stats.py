@@ -429,3 +429,14 @@ def leakage_cv(spark, d):
         s = M.cross_validated(t, ["logreg"]).withColumn("cv_scheme", F.lit(t.select("cv_scheme").first()[0]))
         out = s if out is None else out.unionByName(s)
     return M.roc_auc(out, ["cv_scheme", "model", "fold"])
+
+
+@query()
+def batch_leakage(spark, d):
+    """Both schemes and models: penalty 1; 60 rounds of depth 3, a pass each level."""
+    from ..operators import folds as L
+    from ..operators.sampling import group_folds, stratified_folds
+
+    v = V.vectors(spark, d).select("sample", (F.col("project") % 2).alias("y"), (F.col("sample") % 5).alias("study"), F.col("vec").alias("features"))
+    dealt = group_folds(stratified_folds(v, "y", "sample", 5).withColumnRenamed("fold", "random"), "study").withColumnRenamed("fold", "lopo")
+    return L.batch_leakage(dealt, {"random": "random", "lopo": "lopo"}, rounds=60)
