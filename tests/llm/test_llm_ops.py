@@ -63,6 +63,23 @@ def test_bpe_on_table_and_empty(spark, docs):
     assert bpe.encode_documents(docs.limit(0), Q.ranks(), Q.pattern()).count() == 0
 
 
+def test_bpe_query_writes_few_files(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate([None, "", "a few words " * 5000, "it's 'quoted' 日本 😀"] * 10)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(20).write.parquet(f"{tmp_path}/documents.parquet")
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # about a partition for each file
+    try:
+        docs = Q.table(spark, str(tmp_path), "documents")
+        assert docs.rdd.getNumPartitions() > 15
+        out = Q.op1_byte_bpe(spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() <= 8
+        got = rows_of(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    want = [(i, len(tokens(t)), hashlib.sha256(tokens(t).tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    assert got == sorted(want, key=repr)
+
+
 def test_stitch_without_common_boundary_is_one_piece():
     assert bpe.stitch(30, [0, 10, 20], [], [[], [12], []], [[12], [], []]) == [(0, 0, 0, 12), (1, 1, 12, 20), (2, 1, 20, 30)]
     assert bpe.stitch(5, [0], [], [[]], [[]]) == [(0, 0, 0, 5)]
