@@ -36,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_path, settings, shared_path, text_bytes
@@ -250,11 +250,15 @@ def trained(sample: DataFrame, strings: int) -> Packing:
 def split_minimisers(sample: DataFrame, partitions: int) -> tuple[np.ndarray, int]:
     """Hashes of minimisers that more than half of a shuffle partition's packed strings
     have, ``2 * partitions`` at most, and the number of strings; of a sample."""
-    spark, seen, at = sample.sparkSession, Observation(), shared_path(sample.sparkSession, "minimisers")
-    sample.groupBy("b").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total")).filter("n >= 100").write.parquet(at)
-    total = seen.get["total"] or 0
+    spark, at = sample.sparkSession, shared_path(sample.sparkSession, "minimisers")
+    counts = sample.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    # Rare ones are one row without hash.  No Observation: a session that has had one can't be
+    # serialised, and what a logistic regression scores with holds its session.
+    counts.groupBy(F.when(F.col("n") >= 100, F.col("b")).alias("b")).agg(F.sum("n").alias("n")).write.parquet(at)
+    found = spark.read.schema("b bigint, n bigint").parquet(at)
+    total = found.agg(F.sum("n")).first()[0] or 0
     # At most 2 * partitions can have so many.
-    hot = spark.read.schema("b bigint, n bigint").parquet(at).filter(F.col("n") * (2 * partitions) >= total).select("b").collect()
+    hot = found.filter("b IS NOT NULL").filter(F.col("n") * (2 * partitions) >= total).select("b").collect()
     drop_path(spark, at)
     return np.sort(np.array([r["b"] for r in hot], np.uint64)), total
 

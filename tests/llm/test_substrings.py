@@ -93,6 +93,16 @@ def test_split_minimisers_are_found(spark):
     assert got(df) == brute(rows)
 
 
+def test_classifiers_run_in_the_same_session_after(spark):
+    """What a logistic regression scores with holds the session, which must still serialise."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    assert Q.op12_substring_dedup(spark, SF).count() > 0
+    rows = spark.createDataFrame([(Vectors.dense(float(k)), k % 2) for k in range(8)], ["features", "label"])
+    assert len(LogisticRegression(maxIter=2).fit(rows).transform(rows).select("prediction").collect()) == 8
+
+
 def test_query_and_empty(spark, docs):
     table = Q.table(spark, SF, "documents")
     want = {i: (n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute([(r["doc_id"], r["text"]) for r in table.collect()])}
