@@ -15,8 +15,8 @@ bounded number of shares at any size.  A cell sums over terms that occur in it a
 what absent terms would give, so that terms absent from both groups cost nothing anywhere:
 they are one product per pair of groups.
 
-Counts are summed in the map tasks before any shuffle; no language, source or term is one
-task's work.
+Counts are summed in the map tasks, group by group, before the only shuffle of them; no
+language, source or term is one task's work.
 
 Defined cases: a null text, language or source is the empty string; an empty text has no
 term; a group without kept terms has no occurrences (all its shares are equal); a language
@@ -41,53 +41,86 @@ from .shared import text_bytes, written
 _LETTERS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 #: Distinct counts that a map task holds before it gives them on.
 _HELD = 200_000
+#: Bytes of rows that a map task gathers, to count each group of them as a whole.
+_GATHERED = 32 << 20
 _PAIR_KEY = ["lang", "source", "other"]
 
 
-def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences and documents of each term per group."""
-    rows = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))), text_bytes(text_col).alias("text"))
+def group_counts(rows: pa.Table, held: int) -> Iterator[tuple[str, str, Counter, Counter]]:
+    """``(lang, source, occurrences, documents)`` of the terms of each group; a group's rows are
+    counted together, and again from nothing after ``held`` terms."""
+    groups: dict = {}
+    for k, group in enumerate(zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), strict=True)):
+        groups.setdefault(group, []).append(k)
+    texts = list(rows.column("text"))
+    for group, own in groups.items():
+        counts, docs = Counter(), Counter()
+        for k in own:
+            words = texts[k].as_py().translate(_LETTERS).split(b" ")
+            counts.update(words)
+            docs.update(set(words))
+            if len(counts) >= held:
+                yield *group, counts, docs
+                counts, docs = Counter(), Counter()
+        yield *group, counts, docs
+
+
+def count_batches(batches: Iterator[pa.RecordBatch], held: int, gathered: int) -> Iterator[pa.RecordBatch]:
+    """Batches ``lang, source, term, n, docs`` from batches ``lang, source, text`` (bytes)."""
+
+    def gather() -> Iterator[pa.Table]:
+        some, size = [], 0
+        for b in batches:
+            some.append(b)
+            size += b.nbytes
+            if size >= gathered:
+                yield pa.Table.from_batches(some)
+                some, size = [], 0
+        if some:
+            yield pa.Table.from_batches(some)
+
+    def batch(parts: list[tuple]) -> pa.RecordBatch:
+        lang, source, terms, n, docs = zip(*parts, strict=True)
+        each = np.repeat(np.arange(len(parts)), [len(t) for t in terms])
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()).take(pa.array(each)), pa.array(source, pa.string()).take(pa.array(each)), pa.concat_arrays(terms), pa.array(np.concatenate(n)), pa.array(np.concatenate(docs))], ["lang", "source", "term", "n", "docs"])
+
+    for rows in gather():
+        parts, size = [], 0
+        for lang, source, counts, docs in group_counts(rows, held):
+            del counts[b""]
+            if not counts:
+                continue
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            parts.append((lang, source, terms, np.fromiter(counts.values(), np.int64, len(counts)), np.fromiter(map(docs.__getitem__, counts), np.int64, len(counts))))
+            size += len(counts)
+            if size >= held:
+                yield batch(parts)
+                parts, size = [], 0
+        if parts:
+            yield batch(parts)
 
-    def batch(held: dict) -> pa.RecordBatch:
-        out = [(*group, term, n, docs[term]) for group, (counts, docs) in held.items() for term, n in counts.items()]
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        terms = pa.array([t.decode() for t in cols[2]], pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), terms, pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        size = 0
-        for b in batches:
-            for lang, source, text in zip(*(b.column(k) for k in range(3)), strict=True):
-                words = Counter(text.as_py().translate(_LETTERS).split(b" "))
-                del words[b""]
-                if not words:
-                    continue
-                counts, docs = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
-                size -= len(counts)
-                counts.update(words)
-                docs.update(words.keys())
-                size += len(counts)
-                if size >= _HELD:
-                    yield batch(held)
-                    held, size = {}, 0
-        if held:
-            yield batch(held)
-
-    raw = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
-    return raw.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``(lang, source, term, n, docs)``: occurrences and documents of each term per group.  Map
+    tasks have summed them already; their rows are dealt by term and language, for this sum and
+    for ``kept_terms``."""
+    rows = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))), text_bytes(text_col).alias("text"))
+    held, gathered = _HELD, _GATHERED
+    raw = rows.mapInArrow(lambda batches: count_batches(batches, held, gathered), "lang string, source string, term string, n bigint, docs bigint")
+    return raw.repartition("term", "lang").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counts: DataFrame, min_docs: int = 30) -> DataFrame:
     """``(lang, source, term, n, n_lang)`` of the terms that the language keeps; ``first`` marks
-    one row of each (language, term).  A window's partition has a row for each source."""
-    over = Window.partitionBy("lang", "term")
-    whole = counts.withColumns({"__docs": F.sum("docs").over(over), "n_lang": F.sum("n").over(over), "__at": F.row_number().over(over.orderBy("source"))})
-    return whole.filter(F.col("__docs") >= min_docs).select("lang", "source", "term", "n", "n_lang", (F.col("__at") == 1).alias("first"))
+    one row of each (language, term).  A window's partition has a row for each source; it is
+    sorted by term first, as few languages tell rows apart."""
+    over = Window.partitionBy("term", "lang")
+    whole = counts.withColumns({"__docs": F.sum("docs").over(over), "n_lang": F.sum("n").over(over), "__least": F.min("source").over(over)})
+    return whole.filter(F.col("__docs") >= min_docs).select("lang", "source", "term", "n", "n_lang", (F.col("source") == F.col("__least")).alias("first"))
 
 
 def floor_div(top: Column, low: Column) -> Column:
-    """Whole quotient of two non-negative decimals as a bigint."""
+    """Whole quotient of two non-negative whole numbers or decimals as a bigint."""
     return F.call_function("div", top, low)
 
 
@@ -107,11 +140,12 @@ class Audit:
         self.groups = written(whole.withColumn("p0", self.share(zero, F.col("total"), F.col("v"))), "audit-groups")
 
     def share(self, count: Column, total: Column, terms: Column) -> Column:
-        """A share in whole numbers; 38 digits hold the product, and the share is below
-        ``scale + 2``.  A language without kept terms has none (null)."""
-        top = (count + F.lit(self.alpha)).cast("decimal(20,0)") * F.lit(self.scale).cast("decimal(12,0)")
-        low = (total + F.lit(self.alpha) * terms).cast("decimal(20,0)")
-        return F.when(terms > 0, F.lit(1) + floor_div(top, low))
+        """A share in whole numbers, below ``scale + 2``; where the product passes 64 bits, 38
+        digits hold it.  A language without kept terms has none (null)."""
+        top, low = count + F.lit(self.alpha), total + F.lit(self.alpha) * terms
+        wide = floor_div(top.cast("decimal(20,0)") * F.lit(self.scale).cast("decimal(12,0)"), low.cast("decimal(20,0)"))
+        short = floor_div(top * F.lit(self.scale), low)
+        return F.when(terms > 0, F.lit(1) + F.when(top <= (2**63 - 1) // self.scale, short).otherwise(wide))
 
     def shares(self) -> DataFrame:
         """``(lang, source, g, term, p, q, v, p0)``: the group's and the language's share of each

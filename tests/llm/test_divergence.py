@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from compostat.llm import divergence
 
@@ -66,3 +68,29 @@ def test_empty_table(spark):
     assert got(df) == []
     alone = spark.createDataFrame([("en", "s", "a b")], "lang string, source string, text string")
     assert got(alone, min_docs=1) == []
+
+
+def test_counts_are_shuffled_once(spark):
+    df = spark.createDataFrame(odd_rows(), "lang string, source string, text string").repartition(2)
+    plan = divergence.kept_terms(divergence.term_counts(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_interleaved_groups_give_each_term_once():
+    """Many more counts than are held, but no group has so many: a row each."""
+    rows = [("en", f"s{k % 7}", f"word{chr(97 + k % 5)} term{chr(97 + k % 3)}".encode()) for k in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 50], strict=True)], ["lang", "source", "text"]) for k in range(0, 400, 50)]
+    out = [tuple(r.values()) for b in divergence.count_batches(iter(batches), 20, 1 << 20) for r in b.to_pylist()]
+    whole = Counter((lang, source, t) for lang, source, text in rows for t in text.decode().split())
+    assert sorted(out) == sorted((*k, n, n) for k, n in whole.items())
+    assert len(out) > 20
+
+
+def test_shares_beyond_64_bits(spark):
+    df = spark.createDataFrame([("en", "s", "a")], "lang string, source string, text string")
+    audit = divergence.Audit(df, min_docs=1)
+    limit = (2**63 - 1) // audit.scale - audit.alpha
+    cases = [(n, total, v) for n in (0, 1, limit - 1, limit, limit + 1, 10**17) for total in (n, n + 7, 3 * n + 11) for v in (1, 1000)]
+    at = spark.createDataFrame(cases, "n bigint, total bigint, v bigint")
+    got = at.select("n", "total", "v", audit.share(F.col("n"), F.col("total"), F.col("v")).alias("p")).collect()
+    assert sorted(map(tuple, got)) == sorted((n, total, v, 1 + audit.scale * (n + 5) // (total + 5 * v)) for n, total, v in cases)
