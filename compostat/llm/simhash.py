@@ -104,7 +104,8 @@ def links(fps: DataFrame, max_bits: int = 3, segments: int = 4) -> DataFrame:
         .filter("(k0 & flip) = 0")
         .select("i", F.expr("k0 | flip").alias("k"), "r1", "flip")
     )
-    met = asked.join(filed, ["i", "k"]).filter("flip != 0 OR r1 != r2")
+    # Both sides have a multiple of the rows that Spark counts on: neither may be broadcast.
+    met = asked.join(filed.hint("merge"), ["i", "k"]).filter("flip != 0 OR r1 != r2")
     for length in range(3, segments):
         met = met.filter(F.expr(f"bit_count(shiftrightunsigned(r1 ^ r2, {64 - length * width})) <= {length * max_bits // segments}"))
     met = met.filter(f"bit_count(r1 ^ r2) <= {max_bits}")

@@ -142,6 +142,12 @@ def test_pigeonring_finds_every_pair(spark):
         simhash.links(df, 4, 4)
 
 
+def test_links_broadcast_neither_side(spark):
+    # Both sides hold a multiple of the rows that Spark estimates from the fingerprints.
+    plan = simhash.links(spark.range(100).select(F.col("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = dict(simhash.components(pairs).collect())
