@@ -8,8 +8,12 @@ hold enough vectors, which bounds the k-th distance from above, and then into th
 bound from below isn't beyond it: nothing else can be nearer.  An approximate search looks
 into the ``probes`` nearest cells alone.
 
-Cells are dealt to tasks in blocks of vectors and parts of queries, both bounded, as a
-cogrouped join by cell: no pair outside the cells asked for is ever formed.  Equal vectors are
+Where a search looks into few cells, these are dealt to tasks in blocks of vectors and parts of
+queries, both bounded, as a cogrouped join by cell: no pair outside the cells asked for is ever
+formed.  The cells that an exact search still has to see may be most of them, so a copy of each
+query for each cell would grow with the square of the table: cells are packed into blocks there, and
+blocks of queries meet blocks of vectors as a Cartesian product of partitions, which shuffles
+nothing; queries that ask for none of a block's cells are left out of it.  Equal vectors are
 one row of the index with their smallest ids, so a vector that a third of all rows share costs
 what any other does.  Pivots are the means of a few rounds of k-means on a bounded sample and are
 all that is sent out.  Rows without a vector have no neighbours and are nobody's.
@@ -24,6 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut
+
+#: Rows of requests that leave a task at once, and blocks of vectors that one task sees.
+_REQUESTS, _BLOCKS = 4096, 8
+#: What two distances may differ by and still round to one at nine digits, with some slack.
+_TIE = 2e-9
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of all rows of a to all of b; by differences, so that equal vectors are at 0."""
@@ -64,12 +75,59 @@ class Cells:
             if within is None:
                 out.append(first)
                 continue
-            bound = np.maximum.reduce([row - self.high, self.low - row, (row - row.min()) / 2])
-            # A little slack for rounding: a cell too many costs time only.
-            may = np.flatnonzero((self.size > 0) & (bound <= within[k] * (1 + 1e-9) + 1e-12))
-            out.append(np.setdiff1d(may, first, assume_unique=True))
+            out.append(np.setdiff1d(np.flatnonzero(self.may(row, within[k])), first, assume_unique=True))
         return out
 
+    def may(self, row: np.ndarray, within: float) -> np.ndarray:
+        """Whether each cell may hold something ``within`` reach of a row of distances to the pivots."""
+        bound = np.maximum.reduce([row - self.high, self.low - row, (row - row.min()) / 2])
+        # A little slack for rounding: a cell too many costs time only.
+        return (self.size > 0) & (bound <= within * (1 + 1e-9) + _TIE)
+
+
+class Best:
+    """The nearest of all blocks seen so far of each row of ``q``, with all ties of the last."""
+
+    def __init__(self, q: np.ndarray, within: np.ndarray, k: int):
+        self.q, self.k, self.qq, self.bound = q, k, (q * q).sum(axis=1), within.copy()
+        self.src, self.dst, self.dist = np.zeros(0, int), None, np.zeros(0)
+
+    def see(self, rows: np.ndarray, x: np.ndarray, names: pa.Array) -> None:
+        """Look at the vectors ``x`` for the given rows."""
+        xx, most = (x * x).sum(axis=1), 1 << 16
+        src, dst, dist = [self.src], [], [self.dist]
+        step = max(1, (1 << 20) // max(1, len(x)))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            # By dot products, to choose whose distance is taken by differences.
+            d2 = self.qq[part][:, None] + xx - 2 * (self.q[part] @ x.T)
+            slack = 1e-11 * (self.qq[part] + xx.max())
+            reach = (self.bound[part] * (1 + 1e-9) + _TIE) ** 2 + slack
+            if len(x) > self.k + 1 and np.count_nonzero(d2 <= reach[:, None]) > 4 * (self.k + 1) * len(part):
+                last = np.sqrt(np.maximum(0.0, np.partition(d2, self.k, axis=1)[:, self.k] + slack))
+                reach = np.minimum(reach, (last * (1 + 1e-9) + _TIE) ** 2 + slack)
+            i, j = np.nonzero(d2 <= reach[:, None])
+            for a in range(0, len(i), most):
+                u, w = part[i[a : a + most]], j[a : a + most]
+                src.append(u)
+                dst.append(w)
+                dist.append(np.sqrt(((x[w] - self.q[u]) ** 2).sum(axis=1)))
+        found = names.take(pa.array(np.concatenate([*dst, np.zeros(0, int)])))
+        self.src, self.dist = np.concatenate(src), np.concatenate(dist)
+        self.dst = found if self.dst is None else pa.concat_arrays([self.dst, found])
+        self._prune()
+
+    def _prune(self) -> None:
+        order = np.lexsort((self.dist, self.src))
+        src, dist = self.src[order], self.dist[order]
+        start = np.searchsorted(src, np.arange(len(self.q)))
+        # The k + 1 nearest: one may be the row itself.
+        end, last = np.append(start[1:], len(src)), start + self.k
+        full = last < end
+        self.bound[full] = np.minimum(self.bound[full], dist[last[full]])
+        stays = dist <= self.bound[src] * (1 + 1e-9) + _TIE
+        self.src, self.dist, self.dst = src[stays], dist[stays], self.dst.take(pa.array(order[stays]))
+
 
 class PivotIndex:
     """An index over ``vectors``; at most ``pivots`` cells, from about ``sample`` vectors."""
@@ -113,10 +171,11 @@ class PivotIndex:
             for b in batches:
                 within = None if first else b.column("within").to_numpy()
                 cells = ask(_distances(_matrix(b.column("v")), at), within, probes)
-                times = np.array([len(c) for c in cells], int)
-                which = pa.array(np.repeat(np.arange(len(cells)), times))
-                bound = pa.array(np.full(int(times.sum()), np.inf)) if first else b.column("within").take(which)
-                yield pa.RecordBatch.from_arrays([b.column("src").take(which), b.column("v").take(which), bound, pa.array(np.concatenate([*cells, np.zeros(0, int)]), pa.int32())], ["src", "v", "within", "cell"])
+                rows, asked = np.repeat(np.arange(len(cells)), [len(c) for c in cells]), np.concatenate([*cells, np.zeros(0, int)])
+                for k in range(0, len(rows), _REQUESTS):
+                    which = pa.array(rows[k : k + _REQUESTS], pa.int64())
+                    bound = pa.array(np.full(len(which), np.inf)) if first else b.column("within").take(which)
+                    yield pa.RecordBatch.from_arrays([b.column("src").take(which), b.column("v").take(which), bound, pa.array(asked[k : k + _REQUESTS], pa.int32())], ["src", "v", "within", "cell"])
 
         return queries.mapInArrow(run, f"src {self.kind}, v array<double>, within double, cell int")
 
@@ -137,7 +196,7 @@ class PivotIndex:
                 d = np.sqrt(((x - u) ** 2).sum(axis=1))
                 # The k + 1 nearest (one may be the query itself) and all ties with the last.
                 last = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                near = np.flatnonzero(d <= min(last, within[i]) * (1 + 1e-9) + 1e-12)
+                near = np.flatnonzero(d <= min(last, within[i]) * (1 + 1e-9) + _TIE)
                 src.append(np.full(len(near), i))
                 dst.append(near)
                 dist.append(d[near])
@@ -158,10 +217,65 @@ class PivotIndex:
         first = self._best(self._search(self._requests(every, probes or 1)), self.k)
         if probes is not None:
             return first
-        # The k-th distance so far is the bound; where there are fewer others, all have been seen.
+        # The k-th distance so far is the bound; where there are fewer others, all must be seen.
         bound = first.groupBy("src").agg(F.max("dist").alias("within"), F.count(F.lit(1)).alias("n")).select("src", F.when(F.col("n") < self.k, F.lit(float("inf"))).otherwise(F.col("within")).alias("within"))
-        again = every.join(bound, "src").select("src", "v", "within")
-        return self._best(first.drop("place").unionByName(self._search(self._requests(again, 1))), self.k)
+        return self._best(self._within(bound), self.k)
+
+    def _within(self, bound: DataFrame) -> DataFrame:
+        """``(src, dst, dist)`` for every vector: the nearest of all that are ``bound (src, within)`` away
+        at most, ``k`` of them or more, from each part of the table."""
+        k, at, cells = self.k, self.pivots, Cells(self.size, self.low, self.high, self.k)
+        may = cells.may
+        # Cells side by side fill a block; large ones fill several.
+        first, parts, n, room = [], [], -1, 0
+        for s in self.size.astype(int).tolist():
+            several = max(1, -(-s // self.block))
+            if several > 1 or s > room:
+                n, room = n + 1, self.block
+            first.append(n)
+            parts.append(several)
+            n, room = n + several - 1, 0 if several > 1 else room - s
+        blocks, first, parts = max(1, n + 1), np.array(first), np.array(parts)
+        of = lambda x: F.element_at(F.array(*(F.lit(int(c)) for c in x)), F.col("cell") + 1)
+        dealt = self.table.select("rep", "v", (of(first) + F.pmod(F.xxhash64("rep"), of(parts))).cast("int").alias("b"))
+        held = dealt.groupBy("b").agg(F.collect_list(F.struct("rep", "v")).alias("r")).select("b", F.col("r.rep").alias("dst"), F.flatten("r.v").alias("w"))
+        asks = dealt.join(bound, F.col("rep") == F.col("src"), "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
+        asked = asks.groupBy(F.col("b").alias("a")).agg(F.collect_list(F.struct("rep", "v", "within")).alias("q")).select("a", F.col("q.rep").alias("src"), F.flatten("q.v").alias("v"), "q.within")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = best = src = wants = None
+
+            def found() -> pa.RecordBatch:
+                dst = best.dst if best.dst is not None else src[:0]
+                return pa.RecordBatch.from_arrays([src.take(pa.array(best.src)), dst, pa.array(best.dist)], ["src", "dst", "dist"])
+
+            for b in batches:
+                for r in range(b.num_rows):
+                    a = b.column("a")[r].as_py()
+                    if a != now:
+                        if now is not None:
+                            yield found()
+                        src = b.column("src")[r].values
+                        q, within = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("v", "within"))
+                        q = q.reshape(len(src), -1)
+                        now, best, wants = a, Best(q, within, k), np.zeros((len(q), blocks), bool)
+                        for i, row in enumerate(_distances(q, at)):
+                            own = may(row, within[i])
+                            for s in np.unique(parts[own]):
+                                starts = first[own & (parts == s)]
+                                for more in range(s):
+                                    wants[i, starts + more] = True
+                    rows = np.flatnonzero(wants[:, b.column("b")[r].as_py()])
+                    if len(rows):
+                        names = b.column("dst")[r].values
+                        best.see(rows, b.column("w")[r].values.to_numpy(zero_copy_only=False).reshape(len(names), -1), names)
+            if now is not None:
+                yield found()
+
+        # A block of queries stays with a task, which sees a few blocks of vectors, one at a time.
+        left, right = asked.repartition(blocks, "a"), held.repartition(-(-blocks // _BLOCKS), "b").hint("shuffle_replicate_nl")
+        met = cut(left.crossJoin(right).mapInArrow(run, f"src {self.kind}, dst {self.kind}, dist double"), "neighbours", batch_rows=1)
+        return met.filter("src != dst")
 
     def nearest(self, probes: int | None = None) -> DataFrame:
         """``(src, dst, dist, place)``: the ``k`` nearest others of each row, ties by id; exact, or in

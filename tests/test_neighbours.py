@@ -59,3 +59,16 @@ def test_few_rows_and_none(spark):
     assert found == [("a", "b", 0.0), ("a", "c", 1.0), ("b", "a", 0.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "b", 1.0)]
     assert N.PivotIndex(few.limit(0), k=5).nearest().count() == 0
     assert N.PivotIndex(few.limit(1), k=5).nearest().count() == 0
+
+
+def test_exact_search_copies_no_query_for_every_cell(spark, monkeypatch):
+    # Without clusters the bounds rule out few cells: an exact search then looks at nearly all pairs.
+    x = np.random.default_rng(5).normal(0, 1, (600, 32))
+    x[100:140] = np.round(x[100:140])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    asked, search = [], N.PivotIndex._search
+    monkeypatch.setattr(N.PivotIndex, "_search", lambda self, requests: (asked.append(requests.count()), search(self, requests))[1])
+    monkeypatch.setattr(N, "_BLOCKS", 2)
+    index = N.PivotIndex(spark.createDataFrame(rows, "sample bigint, vec array<double>"), k=4, block=64)
+    assert got(index.nearest()) == brute(rows, 4)
+    assert sum(asked) <= 2 * len(rows)
