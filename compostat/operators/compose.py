@@ -8,6 +8,7 @@ absent taxon has the same value, kept once per sample.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,17 @@ def clr(counts: DataFrame, pseudocount: float = 0.5, method: str = "additive", n
     return values, zeros, excluded
 
 
-def dense(values: DataFrame, zeros: DataFrame, taxa: DataFrame, value: str = "clr", zero: str = "zero_clr") -> DataFrame:
-    """Every (sample, taxon) cell; ``taxa`` is the short list of prevalent taxa."""
-    grid = zeros.select("sample", zero).join(F.broadcast(taxa.select("taxon")))
-    return grid.join(values.select("sample", "taxon", value), ["sample", "taxon"], "left").select("sample", "taxon", F.coalesce(value, zero).alias(value))
+def dense(values: DataFrame, zeros: DataFrame, taxa: DataFrame, value: str = "clr", zero: str = "zero_clr", keep: Sequence[str] = ()) -> DataFrame:
+    """Every (sample, taxon) cell, with columns ``keep`` of ``zeros``; ``taxa`` is the short list of
+    prevalent taxa.  A sample's present cells are gathered and its absent ones added in place, so
+    only cells that are there are ever shuffled."""
+    known = F.broadcast(taxa.select("taxon").distinct())
+    present = values.select("sample", "taxon", value).join(known, "taxon", "left_semi").groupBy("sample").agg(F.collect_list(F.struct("taxon", F.col(value).cast("double").alias("v"))).alias("__present"))
+    every = F.broadcast(known.agg(F.collect_list("taxon").alias("__taxa")))
+    met = zeros.select("sample", *keep, F.col(zero).cast("double").alias("__zero")).join(present, "sample", "left").join(every)
+    absent = F.transform(F.array_except("__taxa", F.coalesce(F.col("__present.taxon"), F.array().cast("array<string>"))), lambda t: F.struct(t.alias("taxon"), F.lit(None).cast("double").alias("v")))
+    cells = F.concat(F.coalesce("__present", F.array().cast("array<struct<taxon:string,v:double>>")), absent)
+    return met.select("sample", *keep, "__zero", F.explode(cells).alias("__c")).select("sample", "__c.taxon", F.coalesce("__c.v", "__zero").alias(value), *keep)
 
 
 def vectors(values: DataFrame, zeros: DataFrame, taxa: DataFrame, value: str = "clr", zero: str = "zero_clr") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import normal_p, rank_test_p, t_p, t_two_sided
 from ..functions.text import recode
+from ..sources.sinks import cut
 
 
 def analysis_frame(df: DataFrame, grouping: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -237,6 +238,8 @@ def combat(cells: DataFrame, by: Sequence[str] = ("disease_category",), eb: bool
         found = summary.groupBy(*by, "project").applyInPandas(shrink, ", ".join(f"{c} {kinds[c]}" for c in batch) + ", __b double, __grand double, __sd double, gamma double, delta double")
     else:
         found = summary.select(*model, F.col("gamma_hat").alias("gamma"), F.when(F.col("delta_hat") > 0, F.col("delta_hat")).otherwise(1.0).alias("delta"))
+    # Written, so that its size is known: a row a taxon and batch, which as a rule goes to the cells and not they to it.
+    found = cut(found, "combat-model")
     fitted = F.col("__grand") + F.col("__b") * y
     z = F.coalesce((F.col("v") - fitted) / F.nullif(F.col("__sd"), F.lit(0.0)), F.lit(0.0))
     return cells.join(found, batch).withColumn("adjusted", (z - F.col("gamma")) / F.sqrt("delta") * F.col("__sd") + fitted).select(*cells.columns, "adjusted")

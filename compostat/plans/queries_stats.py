@@ -193,7 +193,7 @@ def meta_dl(spark, d):
 
 def _cells(spark, d):
     counts, values, zeros = _clr(spark, d)
-    return C.dense(values, zeros, counts.select("taxon").distinct()).withColumnRenamed("clr", "v").join(V.frame(spark, d), "sample")
+    return C.dense(values, zeros.join(V.frame(spark, d), "sample"), counts.select("taxon").distinct(), keep=["project", "disease_category", "y"]).withColumnRenamed("clr", "v")
 
 
 @query(f"""WITH {_DENSE}, r AS (SELECT disease_category, project, taxon, y, v, {_rank_sql('v', 'disease_category, project, taxon')} AS r, count(*) OVER (PARTITION BY disease_category, project, taxon, v) AS t FROM (SELECT * REPLACE (round(v, 9) AS v) FROM dense)),

@@ -189,3 +189,15 @@ def test_mixed_model_with_covariates_maximises_the_likelihood(spark):
         best = min(fits, key=lambda f: f[2])
         assert r["effect"] == pytest.approx(best[0], abs=2e-3) and r["se"] == pytest.approx(best[1], rel=0.02)
     assert sum(k[0] == "c" for k in got) > 5
+
+
+def test_dense_cells_shuffle_present_ones_only(spark):
+    from compostat.operators import compose as C
+
+    values = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("b", "z", 2.0), ("c", "x", 9.0)], "sample string, taxon string, clr double")
+    zeros = spark.createDataFrame([("a", -1.0, "p"), ("b", -2.0, "q"), ("d", -3.0, "q")], "sample string, zero_clr double, project string")
+    cells = C.dense(values, zeros, spark.createDataFrame([("x",), ("y",)], "taxon string"), keep=["project"])
+    assert sorted(map(tuple, cells.collect())) == [("a", "x", 1.0, "p"), ("a", "y", -1.0, "p"), ("b", "x", -2.0, "q"), ("b", "y", -2.0, "q"), ("d", "x", -3.0, "q"), ("d", "y", -3.0, "q")]
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    # Nothing is joined to the cells after they are made.
+    assert plan.index("Generate") < plan.index("Join")
