@@ -87,3 +87,17 @@ def test_ranks_of_values_that_differ_when_taken_again(spark):
     df = spark.range(300).select("id", again("id").alias("x"))
     got = B.spearman(df, [("id", "x")]).first()
     assert got["n"] == 300 and got["rho"] == pytest.approx(1)
+
+
+def test_euclidean_pairs_in_blocks_are_equal_to_the_last_bit(spark):
+    import numpy as np
+
+    from compostat.operators import diversity as B
+
+    x = np.random.default_rng(2).normal(size=(70, 33))
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(70, None), (71, None)]
+    df = spark.createDataFrame(rows, "sample bigint, vec array<double>")
+    one, many = ({(r["a"], r["b"]): r["d"] for r in f.collect()} for f in (B.euclidean_pairs(df), B.euclidean_pairs_blocked(df, block=16)))
+    assert one == many and len(many) == 72 * 71 // 2
+    plan = catalog.QUERIES["aitchison"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
