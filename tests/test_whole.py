@@ -101,3 +101,13 @@ def test_euclidean_pairs_in_blocks_are_equal_to_the_last_bit(spark):
     assert one == many and len(many) == 72 * 71 // 2
     plan = catalog.QUERIES["aitchison"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_graph_features_are_written_once(spark, monkeypatch):
+    from compostat.operators import models as M
+
+    made, cut = [], M.cut
+    monkeypatch.setattr(M, "cut", lambda df, name: (made.append(name), cut(df, name))[1])
+    got = catalog.QUERIES["graph_leakage_cv"](spark, SF)
+    # Whole edges once, and two protocols for each of two folds.
+    assert made == ["graph-features"] * 5 and got.count() == 6
